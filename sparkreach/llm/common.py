@@ -66,3 +66,14 @@ def row_ids() -> Iterator[int]:
 
 def sha256(data: bytes | str) -> str:
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def veiled(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs' columns under names that clash with no operator's, and text beside them; the names, for unveiled."""
+    names = [f"_in{i}" for i in range(len(docs.columns))]
+    return docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names, strict=True)), docs["text"].alias("text")), names
+
+
+def unveiled(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from those that veiled made of them."""
+    return df.select(*(df[f"_in{i}"].alias(c) for i, c in enumerate(docs.columns)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, secrets
+from . import decontamination, language, pii, quality_rules, secrets, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -24,11 +24,26 @@ def op4_decontamination(spark, sf_dir):
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op5_arc_to_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_language_id(spark, sf_dir):
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op4_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
