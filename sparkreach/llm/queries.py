@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, pii, quality_rules, secrets, warc
+from . import decontamination, kneser_ney, language, pii, quality_rules, secrets, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -39,6 +39,12 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op8_quality_classifier(spark, sf_dir):
+    found = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "ppl", "kept")
+
+
 @query
 def op9_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
