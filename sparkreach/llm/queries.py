@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, kneser_ney, language, pii, quality_rules, secrets, warc
+from . import decontamination, kneser_ney, language, pii, quality_rules, secrets, suffix_dedup, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -14,6 +14,11 @@ def query(f):
     return f
 
 
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_secret_scan(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
