@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, kneser_ney, language, pii, quality_rules, secrets, suffix_dedup, warc
+from . import decontamination, kneser_ney, language, ngram_join, pii, quality_rules, secrets, suffix_dedup, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -55,6 +55,11 @@ def op9_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op4_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
