@@ -21,7 +21,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, sha256, written
+from .common import map_rows, unveiled, veiled, written
 
 WINDOW = 13
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -138,3 +138,9 @@ def judged(found: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     found = judged(find_contamination(docs, benchmark, **kw))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """The rows of docs that are not contaminated."""
+    hidden, names = veiled(docs)
+    return unveiled(judged(find_contamination(hidden, benchmark, keep=names, **kw)).where(~F.col("contaminated")), docs)

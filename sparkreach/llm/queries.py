@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, kneser_ney, language, ngram_join, pii, quality_rules, secrets, suffix_dedup, warc
+import public_tokenizers
+
+from . import bpe, decontamination, kneser_ney, language, ngram_join, pii, quality_rules, secrets, suffix_dedup, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -24,6 +26,11 @@ def op2_secret_scan(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_byte_bpe(spark, sf_dir):
+    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query
 def op4_decontamination(spark, sf_dir):
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
