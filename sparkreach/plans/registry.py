@@ -1,4 +1,371 @@
-"""The reachability queries by name, with their SQL."""
+"""The reachability queries by name, each with its SQL for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import names, nodes
+from ..operators import andersen, facts, fixpoint, graph, lookups, reachability, triage
+from ..streaming import traces
+from .fixtures import ctes, fx
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None, *views: str, recursive: bool = False):
+    """Registers the query; sql follows the views' definitions."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            head = f"WITH {'RECURSIVE ' if recursive else ''}{ctes(*views)}"
+            ORACLES[f.__name__] = head + (", " if sql.startswith("+") else " ") + sql.lstrip("+")
+        return f
+
+    return keep
+
+
+# ---- nodes
+
+
+@query("SELECT fn, ln, (fn + 1) * 65536 + ln + 1 AS word, fn AS symbol, CAST(ln AS INTEGER) AS local_idx FROM fx_line", "fx_line")
+def fx_node_pack(spark, sf_dir):
+    rows = fx(spark, sf_dir, "fx_line").withColumn("word", nodes.pack(F.col("fn"), F.col("ln")))
+    return rows.select("fn", "ln", "word", nodes.symbol_of(F.col("word")).alias("symbol"), nodes.local_of(F.col("word")).alias("local_idx"))
+
+
+@query("SELECT fn, ln, concat('0x', lpad(lower(to_hex(fn)), 16, '0'), ':0x', lpad(lower(to_hex(ln)), 4, '0')) AS node FROM fx_line", "fx_line")
+def fx_node_text(spark, sf_dir):
+    rows = fx(spark, sf_dir, "fx_line").withColumn("node", nodes.text(F.col("fn"), F.col("ln")))
+    back = nodes.from_text(F.col("node"))
+    return rows.where((back["symbol"] == F.col("fn")) & (back["local"] == F.col("ln"))).select("fn", "ln", "node")
+
+
+@query("SELECT fn, pos, word - 500 AS x, CASE WHEN word >= 500 THEN (word - 500) * 2 ELSE (500 - word) * 2 - 1 END AS z FROM fx_stream", "fx_stream")
+def fx_zigzag(spark, sf_dir):
+    rows = fx(spark, sf_dir, "fx_stream").withColumn("x", F.col("word") - 500).withColumn("z", nodes.zigzag(F.col("x")))
+    return rows.where(nodes.unzigzag(F.col("z")) == F.col("x")).select("fn", "pos", "x", "z")
+
+
+@query("SELECT fn, pos, CAST(sum(word) OVER (PARTITION BY fn ORDER BY pos) AS BIGINT) % 4294967296 AS value FROM fx_stream", "fx_stream")
+def fx_delta_decode(spark, sf_dir):
+    return lookups.delta_decode(fx(spark, sf_dir, "fx_stream"), ["fn"], "pos", "word").select("fn", "pos", "value")
+
+
+@query("SELECT fn, pos, word - coalesce(lag(word) OVER (PARTITION BY fn ORDER BY pos), 0) AS delta FROM fx_stream", "fx_stream")
+def fx_delta_encode(spark, sf_dir):
+    return lookups.delta_encode(fx(spark, sf_dir, "fx_stream"), ["fn"], "pos", "word").select("fn", "pos", "delta")
+
+
+@query("SELECT fn, pos, CAST(coalesce(sum(word) OVER (PARTITION BY fn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM fx_stream", "fx_stream")
+def fx_frame_slices(spark, sf_dir):
+    return lookups.frame_slices(fx(spark, sf_dir, "fx_stream"), "pos", "word", ["fn"]).select("fn", "pos", "first")
+
+
+# ---- facts
+
+
+def edges(spark, sf_dir):
+    """All relations as one table: rel, fn, dst, src, idx."""
+    of = lambda name: fx(spark, sf_dir, name)
+    rows = [of(view).select(F.lit(rel).alias("rel"), F.col("dst").alias("fn"), "dst", "src", F.lit(None).cast("bigint").alias("idx")) for rel, view in (("Assign", "fx_assign"), ("Store", "fx_store"), ("Load", "fx_load"))]
+    rows.append(of("fx_call_direct").select(F.lit("Call").alias("rel"), F.col("caller").alias("fn"), F.col("caller").alias("dst"), F.col("callee").alias("src"), F.col("ln").cast("bigint").alias("idx")))
+    return fixpoint.union(rows)
+
+
+ALL_EDGES = "+e AS (SELECT 'Assign' AS rel, dst AS fn, dst, src, CAST(NULL AS BIGINT) AS idx FROM fx_assign UNION ALL SELECT 'Store', dst, dst, src, NULL FROM fx_store UNION ALL SELECT 'Load', dst, dst, src, NULL FROM fx_load UNION ALL SELECT 'Call', caller, caller, callee, ln FROM fx_call_direct) "
+EDGE_VIEWS = ("fx_assign", "fx_store", "fx_load", "fx_call_direct")
+
+
+@query(ALL_EDGES + "SELECT * FROM e WHERE rel IN ('Assign', 'Call')", *EDGE_VIEWS)
+def fx_edges_visit(spark, sf_dir):
+    return facts.visit(edges(spark, sf_dir), "Assign", "Call")
+
+
+@query(ALL_EDGES + "SELECT 'read' AS side, rel, src AS node FROM e UNION ALL SELECT 'read', rel, dst FROM e WHERE rel = 'Store' UNION ALL SELECT 'write', rel, dst FROM e WHERE rel <> 'Store'", *EDGE_VIEWS)
+def fx_reads_writes(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return facts.reads(e).select(F.lit("read").alias("side"), "rel", "node").unionByName(facts.writes(e).select(F.lit("write").alias("side"), "rel", "node"))
+
+
+STARS = "CASE i WHEN 0 THEN n WHEN 1 THEN concat('*', n) WHEN 2 THEN concat('**', n) ELSE concat('$***', n) END"
+
+
+@query(f"+x AS (SELECT CAST(sym AS VARCHAR) AS n, unnest(range(0, 4)) AS i FROM fx_fn), y AS (SELECT n, i, {STARS} AS s FROM x) SELECT coalesce(b.s, a.s) AS starred, a.s AS node FROM y a LEFT JOIN y b ON a.n = b.n AND b.i = a.i + 1", "fx_fn")
+def fx_starred(spark, sf_dir):
+    return facts.star_chain(fx(spark, sf_dir, "fx_fn").select(F.col("sym").cast("string").alias("node")))
+
+
+@query(f"+x AS (SELECT CAST(sym AS VARCHAR) AS n, unnest(range(0, 4)) AS i FROM fx_fn) SELECT n AS core, {STARS} AS value FROM x", "fx_fn")
+def fx_value_name(spark, sf_dir):
+    return facts.value_names(fx(spark, sf_dir, "fx_fn").select(F.col("sym").cast("string").alias("node")))
+
+
+@query("SELECT sym AS fn, CAST(coalesce(max(arg_no) + 1, 0) AS BIGINT) AS nargs FROM fx_fn LEFT JOIN fx_arg ON sym = fn GROUP BY sym", "fx_fn", "fx_arg")
+def nargs_max(spark, sf_dir):
+    return facts.arity(fx(spark, sf_dir, "fx_fn").select(F.col("sym").alias("fn")), fx(spark, sf_dir, "fx_arg"))
+
+
+@query("SELECT callee AS fn, min(ln) AS low, max(ln) AS high FROM fx_call_direct GROUP BY 1 HAVING min(ln) <> max(ln)", "fx_call_direct")
+def arity_conflict(spark, sf_dir):
+    return facts.arity_conflicts(fx(spark, sf_dir, "fx_call_direct").select(F.col("callee").alias("fn"), F.col("ln").alias("nargs")))
+
+
+STATES = "+u AS (SELECT callee AS node, 'function' AS state FROM fx_call_direct UNION ALL SELECT dst, 'data' FROM fx_store UNION ALL SELECT src, 'undefined' FROM fx_assign) "
+
+
+@query(STATES + "SELECT node, CASE WHEN bool_or(state = 'data') AND bool_or(state = 'function') THEN 'conflict' WHEN bool_or(state = 'function') THEN 'function' WHEN bool_or(state = 'data') THEN 'data' ELSE 'undefined' END AS state FROM u GROUP BY node", "fx_call_direct", "fx_store", "fx_assign")
+def node_state(spark, sf_dir):
+    of = lambda view, col, state: fx(spark, sf_dir, view).select(F.col(col).alias("node"), F.lit(state).alias("state"))
+    return facts.node_state(fixpoint.union([of("fx_call_direct", "callee", "function"), of("fx_store", "dst", "data"), of("fx_assign", "src", "undefined")]))
+
+
+@query("SELECT DISTINCT callee AS node FROM fx_call_direct WHERE callee NOT IN (SELECT caller FROM fx_call_direct) AND callee NOT IN (SELECT v FROM fx_addr_ref)", "fx_call_direct", "fx_addr_ref")
+def undefined_functions(spark, sf_dir):
+    d = fx(spark, sf_dir, "fx_call_direct")
+    return facts.undefined(d.select(F.col("callee").alias("node")), d.select(F.col("caller").alias("node")), fx(spark, sf_dir, "fx_addr_ref").select(F.col("v").alias("node")))
+
+
+@query("SELECT caller AS site, ln AS arg_no, array_to_string(list_sort(list(DISTINCT CAST(callee AS VARCHAR))), ',') AS vals FROM fx_call_direct GROUP BY 1, 2", "fx_call_direct")
+def argument_lists(spark, sf_dir):
+    d = fx(spark, sf_dir, "fx_call_direct").select(F.col("caller").alias("site"), F.col("ln").alias("arg_no"), F.col("callee").cast("string").alias("value"))
+    return facts.argument_lists(d).select("site", "arg_no", F.array_join("values", ",").alias("vals"))
+
+
+# ---- call graph and reachability
+
+
+@query("SELECT DISTINCT src, dst, kind FROM fx_call", "fx_call")
+def cg_direct(spark, sf_dir):
+    return fx(spark, sf_dir, "fx_call").distinct()
+
+
+@query("SELECT DISTINCT concat('0x', lpad(lower(to_hex(caller)), 16, '0')) AS src, concat('0x', lpad(lower(to_hex(callee)), 16, '0')) AS dst, kind FROM fx_call_direct", "fx_call_direct")
+def cg_collapse(spark, sf_dir):
+    d = fx(spark, sf_dir, "fx_call_direct")
+    return graph.collapse(d.select(nodes.text(F.col("caller"), F.col("ln")).alias("src"), nodes.text(F.col("callee")).alias("dst"), "kind"))
+
+
+@query("SELECT src, CAST(count(DISTINCT dst) AS BIGINT) AS n, array_to_string(list_sort(list(DISTINCT dst)), ',') AS callees FROM fx_call GROUP BY src", "fx_call")
+def cg_adjacency(spark, sf_dir):
+    return graph.adjacency(fx(spark, sf_dir, "fx_call")).select("src", F.size("callees").cast("bigint").alias("n"), F.array_join(F.col("callees").cast("array<string>"), ",").alias("callees"))
+
+
+REACH = "+r(node) AS (SELECT sym FROM fx_seed UNION SELECT dst FROM r JOIN fx_call ON node = src) "
+
+
+@query(REACH + "SELECT node FROM r", "fx_seed", "fx_call", recursive=True)
+def reach_direct(spark, sf_dir):
+    return fixpoint.reach(fx(spark, sf_dir, "fx_seed").select(F.col("sym").alias("node")), fx(spark, sf_dir, "fx_call"))
+
+
+SIMPLE = REACH + ", flag AS (SELECT count(*) > 0 AS yes FROM r JOIN fx_call_indirect ON node = caller), e2 AS (SELECT src, dst FROM fx_call UNION SELECT f, v FROM fx_addr_ref WHERE (SELECT yes FROM flag)), r2(node) AS (SELECT node FROM r UNION SELECT dst FROM r2 JOIN e2 ON node = src) "
+
+
+@query(SIMPLE + "SELECT 'reachable' AS rel, node FROM r2 UNION ALL SELECT DISTINCT 'referenced', v FROM fx_addr_ref JOIN r2 ON f = node", "fx_seed", "fx_call", "fx_call_indirect", "fx_addr_ref", recursive=True)
+def reach_simple(spark, sf_dir):
+    of = lambda n: fx(spark, sf_dir, n)
+    reached, referenced = reachability.simple(of("fx_seed").select(F.col("sym").alias("node")), of("fx_call"), of("fx_call_indirect").select(F.col("caller").alias("node")), of("fx_addr_ref"))
+    return reached.select(F.lit("reachable").alias("rel"), "node").unionByName(referenced.select(F.lit("referenced").alias("rel"), "node"))
+
+
+@query(SIMPLE + ", a AS (SELECT DISTINCT v FROM fx_addr_ref JOIN r2 ON f = node), g AS (SELECT caller, ok, ln, callee, 'Direct' AS kind FROM fx_call_direct UNION SELECT caller, ok, ln, v, 'Conservative' FROM fx_call_indirect, a) SELECT caller, callee, kind, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY 1, 2, 3", "fx_seed", "fx_call", "fx_call_indirect", "fx_addr_ref", recursive=True)
+def call_graph_simple(spark, sf_dir):
+    of = lambda n: fx(spark, sf_dir, n)
+    site = F.struct("caller", "ok", "ln").alias("site")
+    _, referenced = reachability.simple(of("fx_seed").select(F.col("sym").alias("node")), of("fx_call"), of("fx_call_indirect").select(F.col("caller").alias("node")), of("fx_addr_ref"))
+    found = reachability.call_graph(of("fx_call_direct").select(site, "callee"), of("fx_call_indirect").select(site), referenced)
+    return found.groupBy(F.col("site.caller").alias("caller"), "callee", "kind").agg(F.count("*").alias("n"))
+
+
+@query("+g(src, dst) AS (SELECT dst, src FROM fx_assign UNION SELECT g.src, a.src FROM g JOIN fx_assign a ON g.dst = a.dst) SELECT src AS dst, dst AS src FROM g", "fx_assign", recursive=True)
+def global_assign_closure(spark, sf_dir):
+    return reachability.global_assign(fx(spark, sf_dir, "fx_assign"))
+
+
+@query("+g(src, dst) AS (SELECT dst, src FROM fx_assign UNION SELECT g.src, a.src FROM g JOIN fx_assign a ON g.dst = a.dst) SELECT dst, src FROM fx_store UNION SELECT s.dst, g.dst FROM fx_store s JOIN g ON s.src = g.src", "fx_assign", "fx_store", recursive=True)
+def global_store(spark, sf_dir):
+    return reachability.global_store(fx(spark, sf_dir, "fx_store"), reachability.global_assign(fx(spark, sf_dir, "fx_assign")))
+
+
+# ---- graph
+
+
+def node(spark, n: int):
+    return spark.createDataFrame([(n,)], "node bigint")
+
+
+@query("+d(node) AS (SELECT dst FROM fx_call WHERE src = 0 UNION SELECT dst FROM d JOIN fx_call ON node = src) SELECT node FROM d WHERE node <> 0", "fx_call", recursive=True)
+def descendants(spark, sf_dir):
+    return graph.descendants(fx(spark, sf_dir, "fx_call"), node(spark, 0))
+
+
+@query("+t AS (SELECT max(callee) AS n FROM fx_call_direct WHERE caller = 0), d(node) AS (SELECT src FROM fx_call, t WHERE dst = n UNION SELECT src FROM d JOIN fx_call ON node = dst) SELECT node FROM d WHERE node <> (SELECT n FROM t)", "fx_call", "fx_call_direct", recursive=True)
+def ancestors(spark, sf_dir):
+    target = fx(spark, sf_dir, "fx_call_direct").where("caller = 0").agg(F.max("callee").alias("node"))
+    return graph.ancestors(fx(spark, sf_dir, "fx_call"), target)
+
+
+SLICE = "+d(node) AS (SELECT 0 UNION SELECT dst FROM d JOIN fx_call ON node = src), a(node) AS (SELECT (SELECT max(callee) FROM fx_call_direct WHERE caller = 0) UNION SELECT src FROM a JOIN fx_call ON node = dst), s AS (SELECT node FROM d INTERSECT SELECT node FROM a UNION SELECT 0 UNION SELECT max(callee) FROM fx_call_direct WHERE caller = 0) "
+
+
+@query(SLICE + "SELECT src, dst, kind FROM fx_call WHERE src IN (FROM s) AND dst IN (FROM s)", "fx_call", "fx_call_direct", recursive=True)
+def slice_between(spark, sf_dir):
+    d = fx(spark, sf_dir, "fx_call_direct")
+    return graph.slice_between(fx(spark, sf_dir, "fx_call"), node(spark, 0), d.where("caller = 0").agg(F.max("callee").alias("node")))
+
+
+@query("SELECT DISTINCT src AS node FROM fx_call WHERE src NOT IN (SELECT dst FROM fx_call)", "fx_call")
+def graph_roots(spark, sf_dir):
+    return graph.roots(fx(spark, sf_dir, "fx_call"))
+
+
+COSTS = "+w AS (SELECT src, dst, min(CASE kind WHEN 'Direct' THEN 1 WHEN 'Indirect' THEN 10 ELSE 100 END) AS weight FROM fx_call GROUP BY ALL), d(node, cost) USING KEY (node) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT w.dst, CAST(min(d.cost + w.weight) AS BIGINT) FROM d JOIN w ON d.node = w.src LEFT JOIN recurring.d AS r ON r.node = w.dst WHERE r.cost IS NULL OR d.cost + w.weight < r.cost GROUP BY 1) "
+
+
+@query(COSTS + "SELECT d.node, d.cost, CASE WHEN d.node = 0 THEN NULL ELSE (SELECT min(w.src) FROM w JOIN d p ON p.node = w.src WHERE w.dst = d.node AND p.cost + w.weight = d.cost) END AS prev FROM d", "fx_call", recursive=True)
+def shortest_weighted(spark, sf_dir):
+    seeds = node(spark, 0).withColumn("cost", F.lit(0))
+    return fixpoint.cheapest(seeds, graph.weighted(fx(spark, sf_dir, "fx_call")))
+
+
+@query("+d(node, depth) USING KEY (node) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT c.dst, CAST(min(d.depth + 1) AS BIGINT) FROM d JOIN fx_call c ON d.node = c.src LEFT JOIN recurring.d AS r ON r.node = c.dst WHERE r.depth IS NULL OR d.depth + 1 < r.depth GROUP BY 1) SELECT node, depth FROM d", "fx_call", recursive=True)
+def bfs_depth(spark, sf_dir):
+    return graph.depths(fx(spark, sf_dir, "fx_call"), node(spark, 0))
+
+
+@query("+p AS (SELECT caller AS target, ok * 10 + ln AS pos, callee AS node FROM fx_call_direct) SELECT target, pos, node, lead(node) OVER (PARTITION BY target ORDER BY pos) AS next FROM p", "fx_call_direct")
+def path_pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    p = fx(spark, sf_dir, "fx_call_direct").select(F.col("caller").alias("target"), (F.col("ok") * 10 + F.col("ln")).alias("pos"), F.col("callee").alias("node"))
+    return p.withColumn("next", F.lead("node").over(Window.partitionBy("target").orderBy("pos")))
+
+
+@query("+p AS (SELECT caller AS target, ok * 10 + ln AS pos, callee % 3 AS node FROM fx_call_direct), q AS (SELECT *, lag(node) OVER (PARTITION BY target ORDER BY pos) AS b FROM p) SELECT target, pos, node FROM q WHERE b IS NULL OR b <> node", "fx_call_direct")
+def path_without_repeats(spark, sf_dir):
+    p = fx(spark, sf_dir, "fx_call_direct").select(F.col("caller").alias("target"), (F.col("ok") * 10 + F.col("ln")).alias("pos"), (F.col("callee") % 3).alias("node"))
+    return graph.without_repeats(p)
+
+
+# ---- triage
+
+PARTS = "+v AS (SELECT DISTINCT component, version, CAST(split_part(version, '.', 1) AS INT) * 1000000 + CAST(split_part(version, '.', 2) AS INT) * 1000 + CAST(split_part(version, '.', 3) AS INT) AS n FROM fx_fn), hit AS (SELECT cve_id, fname_pattern, v.component, version FROM fx_vuln JOIN v ON v.component = fx_vuln.component WHERE CASE version_range WHEN '<=1.5.3' THEN n <= 1005003 WHEN '>=0.3.0|<1.2.0' THEN n >= 3000 AND n < 1002000 WHEN '=2.4.1' THEN n = 2004001 WHEN '>1.0.0' THEN n > 1000000 WHEN '>=0.0.0' THEN TRUE END), m AS (SELECT DISTINCT cve_id, sym, f.fname FROM hit JOIN fx_fn f ON f.component = hit.component AND f.version = hit.version WHERE f.fname LIKE fname_pattern) "
+
+
+@query(PARTS + "SELECT DISTINCT cve_id, component, version FROM hit", "fx_fn", "fx_vuln")
+def vuln_version_range(spark, sf_dir):
+    return triage.versions_in_range(fx(spark, sf_dir, "fx_vuln"), fx(spark, sf_dir, "fx_fn")).select("cve_id", "component", "version").distinct()
+
+
+@query(PARTS + "SELECT * FROM m", "fx_fn", "fx_vuln")
+def vuln_match(spark, sf_dir):
+    return triage.match(fx(spark, sf_dir, "fx_vuln"), fx(spark, sf_dir, "fx_fn"))
+
+
+@query(PARTS + ", i AS (SELECT l.fn AS sym, f.fname AS name FROM fx_line l JOIN fx_fn f ON l.tgt = f.sym WHERE q = 4) SELECT * FROM m UNION SELECT cve_id, f.sym, f.fname FROM hit JOIN fx_fn f ON f.component = hit.component AND f.version = hit.version JOIN i ON i.sym = f.sym WHERE i.name LIKE fname_pattern", "fx_fn", "fx_vuln", "fx_line")
+def vuln_inline(spark, sf_dir):
+    functions = fx(spark, sf_dir, "fx_fn")
+    line = fx(spark, sf_dir, "fx_line").where("q = 4").select(F.col("fn").alias("sym"), "tgt")
+    inlined = line.join(functions.select(F.col("sym").alias("tgt"), F.col("fname").alias("name")), "tgt").select("sym", "name").distinct()
+    return triage.match(fx(spark, sf_dir, "fx_vuln"), functions, inlined)
+
+
+TRIAGE = "SELECT x.cve_id, CASE WHEN count(r.node) > 0 THEN 'potentially reachable' ELSE 'unreachable' END AS classification, CAST(count(m.sym) AS BIGINT) AS n_targets, CAST(count(r.node) AS BIGINT) AS n_reachable FROM (SELECT DISTINCT cve_id FROM fx_vuln) x LEFT JOIN m ON m.cve_id = x.cve_id LEFT JOIN r ON r.node = m.sym GROUP BY 1"
+
+
+@query(PARTS + ", " + REACH[1:] + TRIAGE, "fx_fn", "fx_vuln", "fx_seed", "fx_call", recursive=True)
+def triage_verdicts(spark, sf_dir):
+    of = lambda n: fx(spark, sf_dir, n)
+    reached = fixpoint.reach(of("fx_seed").select(F.col("sym").alias("node")), of("fx_call"))
+    return triage.run(of("fx_vuln"), of("fx_fn"), reached).drop("justification")
+
+
+QUERIES["triage"] = QUERIES.pop("triage_verdicts")
+ORACLES["triage"] = ORACLES.pop("triage_verdicts")
+
+
+# ---- traces and addresses
+
+
+@query("SELECT site, val, min(event_id) AS event_id FROM fx_trace GROUP BY 1, 2", "fx_trace")
+def trace_dedup(spark, sf_dir):
+    return lookups.keep_first(fx(spark, sf_dir, "fx_trace"), ["site", "val"], ["event_id"])
+
+
+@query("SELECT site // 2 * 2 AS site, val, CAST(count(*) AS BIGINT) AS n FROM fx_trace GROUP BY 1, 2", "fx_trace")
+def trace_counts(spark, sf_dir):
+    return fx(spark, sf_dir, "fx_trace").groupBy(nodes.clear_epoch(F.col("site")).alias("site"), "val").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, site // 2 * 2 AS masked, site % 2 AS epoch FROM fx_trace", "fx_trace")
+def trace_epoch_mask(spark, sf_dir):
+    t = fx(spark, sf_dir, "fx_trace")
+    return t.select("event_id", nodes.clear_epoch(F.col("site")).alias("masked"), nodes.epoch(F.col("site")).alias("epoch"))
+
+
+@query("SELECT DISTINCT site // 2 * 2 AS site, val FROM fx_trace", "fx_trace")
+def trace_stream_dedup(spark, sf_dir):
+    return traces.dedup_stream(spark, f"{sf_dir}/events.parquet")
+
+
+@query("+o AS (SELECT DISTINCT site // 2 AS src, val AS dst FROM fx_trace) SELECT src, dst FROM o WHERE NOT EXISTS (SELECT 1 FROM fx_call c WHERE c.src = o.src AND c.dst = o.dst)", "fx_trace", "fx_call")
+def missing_edges(spark, sf_dir):
+    seen = fx(spark, sf_dir, "fx_trace").select(F.shiftright("site", 1).alias("src"), F.col("val").alias("dst")).distinct()
+    return andersen.missing_edges(seen, fx(spark, sf_dir, "fx_call").select("src", "dst"))
+
+
+@query("SELECT o_orderkey, addr, sec FROM fx_addr LEFT JOIN fx_section ON addr >= start_addr AND addr < start_addr + size_bytes", "fx_addr", "fx_section")
+def addr_floor_section(spark, sf_dir):
+    return lookups.floor_join(fx(spark, sf_dir, "fx_addr"), "addr", fx(spark, sf_dir, "fx_section"), "start_addr", "size_bytes").select("o_orderkey", "addr", "sec")
+
+
+@query("SELECT o_orderkey, addr FROM fx_addr WHERE EXISTS (SELECT 1 FROM fx_segment WHERE addr >= lo AND addr < hi)", "fx_addr", "fx_segment")
+def segment_semi(spark, sf_dir):
+    return lookups.within(fx(spark, sf_dir, "fx_addr"), "addr", fx(spark, sf_dir, "fx_segment"), "lo", "hi")
+
+
+@query("+a AS (SELECT lo, hi, max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM fx_segment), g AS (SELECT lo, hi, sum(CASE WHEN lo <= b THEN 0 ELSE 1 END) OVER (ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM a) SELECT min(lo) AS lo, max(hi) AS hi FROM g GROUP BY run", "fx_segment")
+def interval_union(spark, sf_dir):
+    return lookups.interval_union(fx(spark, sf_dir, "fx_segment"), "lo", "hi")
+
+
+@query("SELECT DISTINCT d.caller AS func, d.ok * 10 + d.ln AS addr, d.callee FROM fx_call_direct d JOIN fx_fn f ON f.sym = d.caller", "fx_call_direct", "fx_fn")
+def callsite_table(spark, sf_dir):
+    from ..operators import reports
+
+    d = fx(spark, sf_dir, "fx_call_direct").withColumn("site", F.struct("ok", "ln"))
+    at = d.select("site", F.expr("ok * 10 + ln").alias("addr"))
+    inside = d.select("site", F.col("caller").alias("func")).join(fx(spark, sf_dir, "fx_fn").select(F.col("sym").alias("func")), "func")
+    return reports.callsites(d.select("site", "callee"), at, inside)
+
+
+@query("SELECT s_suppkey AS node, unnest(generate_series(s_suppkey * 10, s_suppkey * 10 + s_nationkey % 5)) AS addr FROM supplier", "fx_seed")
+def line_expand(spark, sf_dir):
+    from ..operators import reports
+
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("node"), F.struct(F.lit("f.c").alias("file"), F.col("s_suppkey").alias("line"), F.lit(1).alias("col")).alias("at"), (F.col("s_suppkey") * 10).alias("first"), (F.col("s_suppkey") * 10 + F.col("s_nationkey") % 5).alias("last"))
+    return reports.node_instructions(s.select("node", "at"), s.select("at", "first", "last"))
+
+
+@query("+a AS (SELECT l_partkey AS name, sum(l_quantity) AS t FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS name, sum(l_quantity) AS t FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) SELECT name, a.t AS first, b.t AS second, round((a.t - b.t) / b.t * 100, 6) AS change FROM a JOIN b USING (name)", "fx_seed")
+def benchmark_delta(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_quantity", "l_returnflag")
+    of = lambda flag, out: line.where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("name")).agg(F.sum("l_quantity").alias(out))
+    both = of("A", "first").join(of("N", "second"), "name")
+    return both.select("name", "first", "second", F.round(names.percent_change(F.col("first"), F.col("second")), 6).alias("change"))
+
+
+@query("SELECT callee, min(caller) AS caller, md5(concat_ws('-', 'trace-step', CAST(callee AS VARCHAR), CAST(min(caller) AS VARCHAR))) AS fingerprint FROM fx_call_direct GROUP BY callee", "fx_call_direct")
+def dedup_first(spark, sf_dir):
+    first = lookups.keep_first(fx(spark, sf_dir, "fx_call_direct").select("callee", "caller"), ["callee"], ["caller"])
+    return first.select("callee", "caller", names.fingerprint("trace-step", F.col("callee"), F.col("caller")).alias("fingerprint"))
+
+
+@query(None)
+def pts_andersen(spark, sf_dir):
+    of = lambda n: fx(spark, sf_dir, n)
+    a, s, x = of("fx_assign"), of("fx_store"), of("fx_load")
+    own = fixpoint.union([t.select(F.col("src").alias("node")) for t in (a, s, x)]).distinct()
+    return andersen.points_to(spark, own.select("node", F.col("node").alias("obj")), a, x, s)
