@@ -94,7 +94,7 @@ def cutoffs(counted: DataFrame, labels: DataFrame, max_risk: float, error: float
     bins = bins.groupBy("lang", "rule", "size", "b").agg(F.count("*").alias("m"))
     # a few dozen bins for each stratum and rule from here on
     levels = bins.groupBy("lang", "rule", "size").agg(F.collect_list(F.struct("b", "m")).alias("bins"), F.sum("m").alias("n"))
-    levels = levels.withColumn("tests", F.lit(sum(x[3] for x in RULES.values())) * F.lit(levels.select("lang").distinct().count()))
+    levels = levels.withColumn("tests", F.lit(sum(x[3] for x in RULES.values()) * max(1, levels.select("lang").distinct().count())))
     grid = levels.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"))
     grid = grid.withColumn("k", F.expr("aggregate(filter(bins, x -> x.b >= at), 0L, (a, x) -> a + x.m)"))
     risk = max_risk / len(RULES)
