@@ -31,7 +31,9 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
         for _ in range(hops):
             some = step(some, every).select(*base.columns).distinct()
             got.append(some)
-        new = written(union(got).distinct().join(every, base.columns, "left_anti"), "round")
+        some, old = union(got).distinct().alias("s"), every.alias("o")
+        same = functools.reduce(lambda x, y: x & y, (F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in base.columns))
+        new = written(some.join(old, same, "left_anti"), "round")
         if new.isEmpty():
             return union(known)
         known.append(new)
