@@ -8,10 +8,11 @@ bucket by a single token. Pairs are for documents of at most `SMALL` tokens (som
 and those close enough in size to be similar to one, have the frequent tokens of their k = 1 prefix alone. Either way
 any two similar documents share a key. Tokens of one document only are in no index.
 
-Equal sets are told apart first by a digest, and one document stands for them. Shared keys are not turned into all
-pairs: in each of ROUNDS rounds every document is verified against one document of another component that it shares
-most keys with, and links merge components. Then all pairs that share a key and still lie in different components are
-verified, so no link between components is lost.
+Equal sets are told apart first by a digest, and one document stands for them. Shared keys are not turned into pairs.
+In each of ROUNDS rounds a document is verified against CENTRES documents of other components that it shares most keys
+with, and links merge components. What then still shares a key across components forms clusters; in each, documents
+outside the largest component are held against all of other components, so no link between components is lost. A
+cluster is dealt out as a grid of cells of bounded size, each of which counts overlaps through a small inverted index.
 
 Frequencies move as packed keys by block and bucket (see blocks.py); tables of candidates are written.
 
@@ -22,6 +23,7 @@ texts, and rows with equal ids, are of one component; a null doc_id never names
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,8 @@ from .common import written
 
 SHINGLE, PERCENT = 4, 85
 FREQUENT, SMALL = 32, 200
-ROUNDS = 3
+ROUNDS, CENTRES = 3, 4
+CELL, GRID = 32, 64
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 KNOWN: dict[bytes, int] = {}
 
@@ -159,29 +162,77 @@ def link(found: DataFrame) -> DataFrame:
     tried = None
     for r in range(ROUNDS):
         at = entries.join(comp, "rid")
-        centres = at.groupBy("key").agg(F.min_by(F.struct("rid", "n", "c"), F.xxhash64("c", F.lit(r))).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        centres = written(centres.select("key", F.col("x.rid").alias("b"), F.col("x.n").alias("nb"), F.col("x.c").alias("cb")), "centres")
+        picked = [F.min_by(F.struct("rid", "n", "c"), F.xxhash64("c", "rid", F.lit(r * CENTRES + i))) for i in range(CENTRES)]
+        centres = at.groupBy("key").agg(F.array(*picked).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        centres = written(centres.select("key", F.explode(F.array_distinct("x")).alias("x")).select("key", F.col("x.rid").alias("b"), F.col("x.n").alias("nb"), F.col("x.c").alias("cb")), "centres")
         votes = at.join(centres, "key").where(f"c <> cb AND {near_in_size('n', 'nb')}").groupBy(F.col("rid").alias("a"), "b").agg(F.count("*").alias("votes"))
         if tried is not None:
             votes = votes.join(tried, ["a", "b"], "left_anti")
-        pairs = written(votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), "pairs")
+        most = F.slice(F.sort_array(F.collect_list(F.struct("votes", "b")), asc=False), 1, CENTRES)
+        pairs = written(votes.groupBy("a").agg(most.alias("x")).select("a", F.explode("x.b").alias("b")), "pairs")
         links = written(verified(pairs, found), "links")
         both = pairs.union(pairs.select("b", "a"))
         tried = both if tried is None else tried.union(both)
         if links.isEmpty():
             break
         comp = merged(comp, links)
-    at = entries.join(comp, "rid")
-    open_keys = written(at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "keys")
-    at = written(at.join(open_keys, "key").select("key", "rid", "n", "c"), "open")
-    other = at.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = at.join(other, "key").where(f"rid < b AND c <> cb AND {near_in_size('n', 'nb')}").select(F.col("rid").alias("a"), "b").distinct()
-    if tried is not None:
-        rest = rest.join(tried, ["a", "b"], "left_anti")
-    links = written(verified(written(rest, "pairs"), found), "links")
+    links = written(cross_links(entries, comp, found), "links")
     return comp if links.isEmpty() else merged(comp, links)
 
 
+def cross_links(entries: DataFrame, comp: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b: links that join all components that share a key and have a link; one for each step of a union."""
+    at = entries.join(comp, "rid")
+    shared = written(at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rid").alias("b")).where("lo <> hi").select("key", "b"), "keys")
+    near = written(entries.select("key", F.col("rid").alias("a")).join(shared, "key").select("a", "b").distinct(), "near")
+    if near.isEmpty():
+        return near
+    clusters = components(near).select(F.col("v").alias("rid"), F.col("c").alias("g"))
+    some = written(clusters.join(comp, "rid"), "clusters")
+    sizes = some.groupBy("g", "c").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("g").agg(F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("main"))
+    # cells of CELL documents a side, larger ones where a cluster would have over GRID of them
+    side = F.greatest(F.lit(CELL), F.ceil(F.col("all") / GRID))
+    sizes = written(sizes.select("g", F.col("main.c").alias("main"), F.ceil(F.col("all") / side).alias("rows"), F.ceil((F.col("all") - F.col("main.m")) / side).alias("cols")), "sizes")
+    placed = some.join(sizes, "g").join(found.select("rid", "n", "shingles"), "rid")
+    spot = lambda n: F.pmod(F.xxhash64("rid"), n)
+    every = placed.select("g", spot(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cols") - 1)).alias("j"), F.lit(False).alias("open"), "rid", "c", "n", "shingles")
+    opened = placed.where("c <> main").select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)).alias("i"), spot(F.col("cols")).alias("j"), F.lit(True).alias("open"), "rid", "c", "n", "shingles")
+    return every.unionByName(opened).groupBy("g", "i", "j").applyInArrow(cell_links, "a bigint, b bigint").distinct()
+
+
+def cell_links(rows: pa.Table) -> pa.Table:
+    """a, b: a link for each union of components of the cell's documents; open ones against all."""
+    opened = np.array(rows.column("open").to_pylist())
+    rid, c, n = (rows.column(x).to_numpy() for x in ("rid", "c", "n"))
+    sets = [np.asarray(x.values) for x in rows.column("shingles")]
+    others = np.flatnonzero(~opened)
+    links: list[tuple[int, int]] = []
+    if len(others) and opened.any():
+        tokens = np.concatenate([sets[i] for i in others])
+        owner = np.repeat(np.arange(len(others)), [len(sets[i]) for i in others])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        for u in np.flatnonzero(opened):
+            lo, hi = np.searchsorted(tokens, sets[u], "left"), np.searchsorted(tokens, sets[u], "right")
+            lo, size = lo[hi > lo], (hi - lo)[hi > lo]
+            hit = owner[np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] if len(size) else owner[:0]
+            both = np.bincount(hit, minlength=len(others))
+            for k in np.flatnonzero((both * 100 >= (n[u] + n[others] - both) * PERCENT) & (c[others] != c[u])):
+                x, y = find(int(c[u])), find(int(c[others[k]]))
+                if x != y:
+                    parent[x] = y
+                    links.append((int(rid[u]), int(rid[others[k]])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     blocks = pack(docs, describe)
