@@ -23,6 +23,8 @@ VIEWS = {
     "fx_arg": "SELECT fn, ln AS arg_no, tgt AS value FROM fx_line WHERE q <= 3",
     "fx_assign": "SELECT DISTINCT fn AS dst, tgt AS src FROM fx_line WHERE q = 2 AND rf = 'R'",
     "fx_store": "SELECT DISTINCT fn AS dst, tgt AS src FROM fx_line WHERE q = 1 AND rf = 'A'",
+    "fx_instr": "SELECT fn, ok * 10 + ln AS pos, CASE ln WHEN 1 THEN 'store' WHEN 2 THEN 'load' WHEN 3 THEN 'phi' WHEN 4 THEN 'call' WHEN 5 THEN 'ret' WHEN 6 THEN 'bitcast' ELSE 'atomicrmw' END AS opcode, ok AS dst, tgt AS a, CASE WHEN sk % 4 <> 0 THEN sk END AS b FROM fx_line",
+    "fx_model_call": "SELECT concat(CAST(ok AS STRING), '_', CAST(ln AS STRING)) AS site, CASE fn % 6 WHEN 0 THEN 'malloc' WHEN 1 THEN 'realloc' WHEN 2 THEN 'memcpy' WHEN 3 THEN 'pthread_create' WHEN 4 THEN 'qsort' ELSE 'puts' END AS name, CAST(tgt AS STRING) AS a, CAST(sk AS STRING) AS b, concat('f', CAST(fn AS STRING)) AS c, concat('g', CAST(fn AS STRING)) AS d FROM fx_line",
     "fx_load": "SELECT DISTINCT tgt AS dst, fn AS src FROM fx_line WHERE q = 3 AND rf = 'A' AND sk % 3 = 0",
 }
 

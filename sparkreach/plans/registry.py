@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, nodes
-from ..operators import andersen, facts, fixpoint, graph, lookups, reachability, triage
+from ..operators import andersen, facts, fixpoint, graph, lifting, lookups, overrides, reachability, reports, summaries, triage
 from ..streaming import traces
 from .fixtures import ctes, fx
 
@@ -333,8 +333,6 @@ def interval_union(spark, sf_dir):
 
 @query("SELECT DISTINCT d.caller AS func, d.ok * 10 + d.ln AS addr, d.callee FROM fx_call_direct d JOIN fx_fn f ON f.sym = d.caller", "fx_call_direct", "fx_fn")
 def callsite_table(spark, sf_dir):
-    from ..operators import reports
-
     d = fx(spark, sf_dir, "fx_call_direct").withColumn("site", F.struct("ok", "ln"))
     at = d.select("site", F.expr("ok * 10 + ln").alias("addr"))
     inside = d.select("site", F.col("caller").alias("func")).join(fx(spark, sf_dir, "fx_fn").select(F.col("sym").alias("func")), "func")
@@ -343,8 +341,6 @@ def callsite_table(spark, sf_dir):
 
 @query("SELECT s_suppkey AS node, unnest(generate_series(s_suppkey * 10, s_suppkey * 10 + s_nationkey % 5)) AS addr FROM supplier", "fx_seed")
 def line_expand(spark, sf_dir):
-    from ..operators import reports
-
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("node"), F.struct(F.lit("f.c").alias("file"), F.col("s_suppkey").alias("line"), F.lit(1).alias("col")).alias("at"), (F.col("s_suppkey") * 10).alias("first"), (F.col("s_suppkey") * 10 + F.col("s_nationkey") % 5).alias("last"))
     return reports.node_instructions(s.select("node", "at"), s.select("at", "first", "last"))
 
@@ -369,3 +365,47 @@ def pts_andersen(spark, sf_dir):
     a, s, x = of("fx_assign"), of("fx_store"), of("fx_load")
     own = fixpoint.union([t.select(F.col("src").alias("node")) for t in (a, s, x)]).distinct()
     return andersen.points_to(spark, own.select("node", F.col("node").alias("obj")), a, x, s)
+
+
+# ---- lifting, models, summaries
+
+
+@query(
+    "+e AS (SELECT 'Store' AS rel, fn, b AS dst, a AS src, CAST(NULL AS BIGINT) AS idx FROM fx_instr WHERE opcode = 'store' UNION ALL SELECT 'Load', fn, dst, a, NULL FROM fx_instr WHERE opcode IN ('load', 'atomicrmw') UNION ALL SELECT 'Store', fn, a, b, NULL FROM fx_instr WHERE opcode = 'atomicrmw' UNION ALL SELECT 'Assign', fn, dst, a, NULL FROM fx_instr WHERE opcode IN ('phi', 'bitcast') UNION ALL SELECT 'Assign', fn, dst, b, NULL FROM fx_instr WHERE opcode = 'phi' UNION ALL SELECT 'Return', fn, fn, a, NULL FROM fx_instr WHERE opcode = 'ret' UNION ALL SELECT 'Call', fn, dst, fn, 2 FROM fx_instr WHERE opcode = 'call' UNION ALL SELECT 'ArgumentSupply', fn, dst, a, 0 FROM fx_instr WHERE opcode = 'call' UNION ALL SELECT 'ArgumentSupply', fn, dst, b, 1 FROM fx_instr WHERE opcode = 'call') SELECT * FROM e WHERE dst IS NOT NULL AND src IS NOT NULL",
+    "fx_instr",
+)
+def lift_edges(spark, sf_dir):
+    instr = fx(spark, sf_dir, "fx_instr").withColumn("operands", F.array("a", "b")).withColumn("callee", F.col("fn")).withColumn("nargs", F.lit(2))
+    return lifting.lift(instr)
+
+
+@query(
+    "+e AS (SELECT 'Alloc' AS rel, site AS dst, concat('heap:', site) AS src FROM fx_model_call WHERE name IN ('malloc', 'realloc') UNION SELECT 'Assign', site, a FROM fx_model_call WHERE name IN ('realloc', 'memcpy') UNION SELECT 'Load', concat('tmp:', site), b FROM fx_model_call WHERE name = 'memcpy' UNION SELECT 'Store', a, concat('tmp:', site) FROM fx_model_call WHERE name = 'memcpy' UNION SELECT 'IndirectCall', site, c FROM fx_model_call WHERE name = 'pthread_create' UNION SELECT 'Pass', site, d FROM fx_model_call WHERE name = 'pthread_create' UNION SELECT 'IndirectCall', site, d FROM fx_model_call WHERE name = 'qsort' UNION SELECT 'Pass', site, a FROM fx_model_call WHERE name = 'qsort') SELECT * FROM e",
+    "fx_model_call",
+)
+def override_edges(spark, sf_dir):
+    calls = fx(spark, sf_dir, "fx_model_call")
+    return overrides.edges(calls.select("site", "name", F.array("a", "b", "c", "d").alias("args")))
+
+
+@query("SELECT CAST(src AS VARCHAR) AS src, CAST(count(DISTINCT CASE WHEN kind = 'Direct' THEN dst END) AS BIGINT) AS n_normal, CAST(count(DISTINCT CASE WHEN kind <> 'Direct' THEN dst END) AS BIGINT) AS n_abnormal FROM fx_call GROUP BY 1 HAVING NOT (n_normal = 1 AND n_abnormal = 0)", "fx_call")
+def callee_summary(spark, sf_dir):
+    calls = fx(spark, sf_dir, "fx_call").select(F.col("src").cast("string").alias("src"), F.when(F.col("kind") == "Direct", F.col("dst").cast("string")).otherwise(F.concat(F.lit("*"), F.col("dst").cast("string"))).alias("dst"))
+    return reports.callee_summary(calls).select("src", F.size("normal").cast("bigint").alias("n_normal"), F.size("abnormal").cast("bigint").alias("n_abnormal"))
+
+
+@query("+n AS (SELECT src AS node FROM fx_call UNION SELECT dst FROM fx_call) SELECT node, CAST((SELECT count(DISTINCT src) FROM fx_call WHERE dst = node) AS BIGINT) AS parents, CAST((SELECT count(DISTINCT dst) FROM fx_call WHERE src = node) AS BIGINT) AS children FROM n", "fx_call")
+def multimap(spark, sf_dir):
+    return facts.multimap(fx(spark, sf_dir, "fx_call")).select("node", F.size("parents").cast("bigint").alias("parents"), F.size("children").cast("bigint").alias("children"))
+
+
+@query("+s(x, y) AS (SELECT dst, dst FROM fx_assign UNION SELECT src, src FROM fx_assign UNION SELECT callee, callee FROM fx_call_direct UNION SELECT s.x, a.src FROM s JOIN fx_assign a ON s.y = a.dst), c AS (SELECT DISTINCT caller, y AS callee FROM fx_call_direct JOIN s ON callee = x), r(node) AS (SELECT sym FROM fx_seed UNION SELECT callee FROM r JOIN c ON node = caller) SELECT node FROM r", "fx_assign", "fx_call_direct", "fx_seed", recursive=True)
+def reach_two_phase(spark, sf_dir):
+    of = lambda n: fx(spark, sf_dir, n)
+    site = (F.lit(1 << 40) + F.col("caller")).alias("dst")
+    none = F.lit(None).cast("bigint").alias("idx")
+    assign = of("fx_assign").select(F.lit("Assign").alias("rel"), F.lit(0).cast("bigint").alias("fn"), "dst", "src", none)
+    calls = of("fx_call_direct").select(F.lit("Call").alias("rel"), F.lit(0).cast("bigint").alias("fn"), site, F.col("callee").alias("src"), none)
+    symbols = of("fx_fn").select(F.col("sym").alias("node"))
+    inside = symbols.select(F.col("node").alias("fn"), (F.lit(1 << 40) + F.col("node")).alias("local"))
+    return summaries.solve(assign.unionByName(calls).distinct(), symbols, inside, of("fx_seed").select(F.col("sym").alias("node")))[1]
