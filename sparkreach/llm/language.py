@@ -12,15 +12,15 @@ learned; ties go to the language with more training rows, then by name; null lan
 from __future__ import annotations
 
 import math
-import re
 
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def learn(train: DataFrame, dict_bytes: int = 128 << 10, max_languages: int = 512) -> dict[str, bytes]:
