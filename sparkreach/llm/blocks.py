@@ -28,8 +28,8 @@ PER_BUCKET = 1 << 20
 MOST = 200  # counts above are given as MOST plus their logarithm
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def squeeze(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def expand(data: bytes) -> bytes:

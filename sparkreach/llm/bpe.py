@@ -2,14 +2,15 @@
 
 Texts are split by the tokenizer's pattern. Words that are tokens themselves need no merges. Of the others, every
 distinct one is folded once: its bytes (as hex pairs) are an array, and aggregate() merges, step by step, the adjacent
-pair of lowest rank, leftmost first. The ranks are a literal: an array of small maps, picked by crc32, as Spark looks
+pair of lowest rank, leftmost first. The ranks are a literal: an array of small maps, picked by hash, as Spark looks
 through a map from its start. The vocabulary is of fixed size, whatever the corpus.
 
 Occurrences are not joined to the dictionary. Documents are taken in blocks of about BLOCK bytes; a block sends the
-sorted distinct words that it needs, one binary value a bucket, and gets their ids back in the same order. Blocks are
-made again from the input rather than kept; each carries a digest, so that one made otherwise is an error, not a wrong
-result. Words over LONG bytes (runs without a break) are merged in the task with a heap, as a fold's cost grows with
-the cube of the length.
+sorted distinct words that it needs, one binary value a bucket. The bucket ranks its distinct words, which are folded,
+and keeps for each block the ranks of its words only; ranks are then turned into ids, which the block gets back in its
+own order. Blocks are made again from the input rather than kept; each carries a digest, so that one made otherwise is
+an error, not a wrong result. Words over LONG bytes (runs without a break) are merged in the task with a heap, as a
+fold's cost grows with the cube of the length.
 
 Cases: null and empty texts have no tokens; equal ids are kept apart; special tokens do not exist, their text is text.
 """
@@ -19,7 +20,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -32,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import expand, squeeze
-from .common import written
+from .common import sha256, written
 
-BLOCK = 16 << 20
-LONG = 256
+BLOCK = 6 << 20
+LONG = 255
 SHARDS = 1 << 16
-NONE = 1 << 30
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -79,29 +78,47 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """Spark's hash() of a string: 32-bit Murmur 3 with each byte of the tail mixed on its own."""
+    mask, h = 0xFFFFFFFF, seed
+    turn = lambda x, r: (x << r | x >> (32 - r)) & mask
+    whole = len(data) // 4 * 4
+    words = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)] + [(b - 256 if b > 127 else b) & mask for b in data[whole:]]
+    for k in words:
+        h = turn(h ^ turn(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask, 13) * 5 + 0xE6546B64 & mask
+    h ^= len(data)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * by & mask
+    return h ^ h >> 16
+
+
 def rank_literal(ranks: dict[bytes, int]) -> F.Column:
-    """array<map<hex, rank>>, by crc32 of the hex; folded to a literal when the plan is made."""
+    """array<map<hex, rank>>, by hash of the hex; folded to a literal when the plan is made."""
     shards: list[dict[str, int]] = [{} for _ in range(SHARDS)]
     for token, rank in ranks.items():
         key = token.hex()
-        shards[zlib.crc32(key.encode()) % SHARDS][key] = rank
+        shards[murmur3(key.encode()) % SHARDS][key] = rank
     return F.from_json(F.lit(json.dumps(shards)), "array<map<string,int>>")
 
 
 def fold(hexed: F.Column, table: F.Column) -> F.Column:
     """ids of a word of two bytes or more, as hex."""
-    rank = lambda p: F.coalesce(F.try_element_at(F.element_at(table, (F.crc32(p.cast("binary")) % SHARDS + 1).cast("int")), p), F.lit(NONE))
-    at = lambda a, i: F.element_at(a, i)
+    rank = lambda p: F.try_element_at(F.get(table, F.hash(p).bitwiseAND(F.lit(SHARDS - 1))), p)
 
     def step(acc: F.Column, _: F.Column) -> F.Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(acc) - 1), lambda i: F.struct(rank(F.concat(at(acc, i), at(acc, i + 1))).alias("r"), i.alias("i")))
-        merge = lambda b: F.when(b["r"] == NONE, acc).otherwise(F.concat(F.slice(acc, F.lit(1), b["i"] - 1), F.array(F.concat(at(acc, b["i"]), at(acc, b["i"] + 1))), F.slice(acc, b["i"] + 2, F.size(acc))))
-        # an array of one binds the best pair, so that it is looked for once
-        return F.when(F.size(acc) < 2, acc).otherwise(F.element_at(F.transform(F.array(F.array_min(pairs)), merge), 1))
+        def merge(r: F.Column) -> F.Column:
+            i = F.array_position(r, F.array_min(r)).cast("int")  # of the lowest rank, the leftmost
+            some = F.concat(F.slice(acc, F.lit(1), i - 1), F.array(F.concat(F.element_at(acc, i), F.element_at(acc, i + 1))), F.slice(acc, i + 2, F.size(acc)))
+            return F.when(F.array_min(r).isNull(), F.concat(acc, F.array(F.lit("")))).otherwise(some)
+
+        # null beside the last piece and where a pair is no token; an array of one binds the ranks, so that they are made once
+        ranks = F.zip_with(acc, F.slice(acc, F.lit(2), F.size(acc)), lambda a, b: rank(F.concat(a, b)))
+        return F.when(F.element_at(acc, -1) == "", acc).otherwise(F.element_at(F.transform(F.array(ranks), merge), 1))
 
     n = (F.length(hexed) / 2).cast("int")
     single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(hexed, i * 2 + 1, F.lit(2)))
-    return F.transform(F.aggregate(F.sequence(F.lit(1), n - 1), single, step), rank)
+    merged = F.aggregate(F.sequence(F.lit(1), n - 1), single, step)  # ends with "" once nothing is left to merge
+    return F.transform(F.filter(merged, lambda x: x != ""), rank)
 
 
 # ---- blocks
@@ -147,8 +164,30 @@ def unframed(data: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([2 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
+def by_bucket(found: set[str], known, n_buckets: int) -> list[list[bytes]]:
+    """The sorted words of found that are no tokens, in each bucket."""
+    words = sorted(w for w in (x.encode("utf-8", "surrogatepass") for x in found) if w not in known and len(w) <= LONG)
+    out: list[list[bytes]] = [[] for _ in range(n_buckets)]
+    for w, k in zip(words, bucket_of(words, n_buckets).tolist(), strict=True):
+        out[k].append(w)
+    return out
+
+
+class Spelled(dict):
+    """Word to its ids in bytes; tokens, and words over LONG bytes, are added as they are met."""
+
+    def __init__(self, known: dict[bytes, int]):
+        self.known = known
+
+    def __missing__(self, piece: str) -> bytes:
+        w = piece.encode("utf-8", "surrogatepass")
+        one = self.known.get(w)
+        self[piece] = got = one.to_bytes(4, "little") if one is not None else np.array(merge_long(w, self.known), "<u4").tobytes()
+        return got
+
+
 def needed(docs: DataFrame, ranks, pattern: str, n_buckets: int) -> DataFrame:
-    """bucket, block, digest, n, words: sorted distinct words of the block that are no tokens, written."""
+    """bucket, block, digest, n, words: what each block needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known = splitter(pattern), ranks.value
@@ -156,95 +195,112 @@ def needed(docs: DataFrame, ranks, pattern: str, n_buckets: int) -> DataFrame:
             found: set[str] = set()
             for t in block.texts:
                 found.update(split(t))
-            words = sorted(w for w in (x.encode("utf-8", "surrogatepass") for x in found) if w not in known and len(w) <= LONG)
-            del found
-            where = bucket_of(words, n_buckets)
-            rows = []
-            for k in range(n_buckets):
-                mine = [words[i] for i in np.flatnonzero(where == k)]
-                if mine:
-                    rows.append((k, block.number, block.digest.hexdigest(), len(mine), framed(mine)))
+            mine = by_bucket(found, known, n_buckets)
+            rows = [(k, block.number, block.digest.hexdigest(), len(w), framed(w)) for k, w in enumerate(mine) if w]
             names = ["bucket", "block", "digest", "n", "words"]
             kinds = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=names)
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "bucket int, block bigint, digest string, n int, words binary"), "needed", "none")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block bigint, digest string, n int, words binary")
 
 
 def dictionary(sent: DataFrame, table: F.Column) -> DataFrame:
-    """bucket, word, ids of the distinct words, written."""
-
-    def distinct(rows: pa.Table) -> pa.Table:
-        words = sorted({w for x, n in zip(rows.column("words"), rows.column("n"), strict=True) for w in unframed(x.as_py(), n.as_py())})
-        return pa.table({"bucket": pa.array([rows.column("bucket")[0].as_py()] * len(words), pa.int32()), "hexed": pa.array([w.hex() for w in words], pa.string())})
-
-    words = sent.groupBy("bucket").applyInArrow(distinct, "bucket int, hexed string")
-    return written(words.select("bucket", F.unhex("hexed").alias("word"), F.transform(fold(F.col("hexed"), table), lambda x: x.cast("int")).alias("ids")), "dictionary")
-
-
-def answers(sent: DataFrame, words: DataFrame) -> DataFrame:
-    """block, bucket, n, words as sent, with lengths and ids of each."""
+    """Written rows of two kinds: bucket, at, ids of the distinct words by their rank in the bucket; bucket, block, digest, n and the ranks of a block's words."""
+
+    def ranked(rows: pa.Table) -> pa.Table:
+        held = [unframed(x.as_py(), n.as_py()) for x, n in zip(rows.column("words"), rows.column("n"), strict=True)]
+        words = sorted(set().union(*held))
+        place = {w: i for i, w in enumerate(words)}
+        steps = [squeeze(np.diff(np.fromiter((place[w] for w in own), np.int64, len(own)), prepend=0).astype("<u4").tobytes()) for own in held]
+        n, m = len(words), len(held)
+        kinds = {"bucket": pa.int32(), "at": pa.int32(), "hexed": pa.string(), "block": pa.int64(), "digest": pa.string(), "n": pa.int32(), "ranks": pa.binary()}
+        given = {
+            "bucket": [rows.column("bucket")[0].as_py()] * (n + m),
+            "at": [*range(n), *[None] * m],
+            "hexed": [*(w.hex() for w in words), *[None] * m],
+            "block": [*[None] * n, *rows.column("block").to_pylist()],
+            "digest": [*[None] * n, *rows.column("digest").to_pylist()],
+            "n": [*[None] * n, *rows.column("n").to_pylist()],
+            "ranks": [*[None] * n, *steps],
+        }
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in given.items()})
+
+    rows = sent.groupBy("bucket").applyInArrow(ranked, "bucket int, at int, hexed string, block bigint, digest string, n int, ranks binary")
+    ids = F.when(F.col("hexed").isNotNull(), F.transform(fold(F.col("hexed"), table), lambda x: x.cast("int")))
+    return written(rows.select("bucket", "at", ids.alias("ids"), "block", "digest", "n", "ranks"), "dictionary")
+
+
+def answers(told: DataFrame, wide: bool) -> DataFrame:
+    """block, digest, bucket, n, ids: numbers of ids, then the ids of a block's words in their order."""
+    kind = "<u4" if wide else "<u2"
 
     def answer(rows: pa.Table, found: pa.Table) -> pa.Table:
         ids = found.column("ids").combine_chunks()
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        bounds = ids.offsets.to_numpy()
-        bounds = bounds - bounds[0]
-        at = {w: i for i, w in enumerate(found.column("word").to_pylist())}
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(kind)
+        bounds = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        row = np.empty(len(ids), np.int64)
+        row[found.column("at").to_numpy()] = np.arange(len(ids))
         out = []
-        for x, n in zip(rows.column("words"), rows.column("n"), strict=True):
-            places = np.fromiter((at[w] for w in unframed(x.as_py(), n.as_py())), np.int64)
-            sizes = (bounds[places + 1] - bounds[places]).astype("<u2")
-            every = np.concatenate([flat[bounds[p] : bounds[p + 1]] for p in places])
-            out.append(squeeze(sizes.tobytes() + every.tobytes()))
-        kept = rows.select(["block", "digest", "bucket", "n", "words"])
-        return kept.append_column("ids", pa.array(out, pa.binary()))
+        for x in rows.column("ranks"):
+            at = row[np.cumsum(np.frombuffer(expand(x.as_py()), "<u4"), dtype=np.int64)]
+            lo, size = bounds[at], bounds[at + 1] - bounds[at]
+            every = flat[np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+            out.append(squeeze(size.astype(np.uint8).tobytes() + every.tobytes()))
+        return rows.select(["block", "digest", "bucket", "n"]).append_column("ids", pa.array(out, pa.binary()))
 
-    return sent.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, "block bigint, digest string, bucket int, n int, words binary, ids binary")
+    blocks = told.where("block IS NOT NULL").select("bucket", "block", "digest", "n", "ranks")
+    words = told.where("at IS NOT NULL").select("bucket", "at", "ids")
+    return blocks.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, "block bigint, digest string, bucket int, n int, ids binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_bytes, ids (little-endian unsigned 32-bit) for each row of docs."""
+
+    def finish(doc_ids: list, lengths: list, ids: list) -> pa.Table:
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_bytes": pa.array(lengths, pa.int64()), "ids": pa.array(ids, pa.binary())})
+
+    return encoded(docs, path, pattern, finish, "doc_id bigint, n_bytes bigint, ids binary")
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, finish: Callable[[list, list, list], pa.Table], schema: str) -> DataFrame:
+    """What finish makes of each block's doc_ids, texts' bytes and ids."""
     spark = docs.sparkSession
     vocab = vocabulary(path)
     ranks = spark.sparkContext.broadcast(vocab)
+    wide = max(vocab.values(), default=0) > 0xFFFF
+    kind = "<u4" if wide else "<u2"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = needed(docs, ranks, pattern, max(1, -(-size // (16 << 20))))
-    told = answers(sent, dictionary(sent, rank_literal(vocab)))
+    n_buckets = max(1, -(-size // (16 << 20)))
+    told = answers(dictionary(needed(docs, ranks, pattern, n_buckets), rank_literal(vocab)), wide)
     packed = docs.select("doc_id", "text").mapInArrow(as_rows, "block bigint, digest string, doc_ids array<bigint>, lengths array<int>, data binary")
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
-        split, known = splitter(pattern), dict(ranks.value)
+        split, known = splitter(pattern), ranks.value
         row = block.to_pylist()[0]
+        data, at, texts, words = expand(row["data"]), 0, [], set()
+        for n in row["lengths"]:
+            texts.append(split(data[at : at + n].decode("utf-8", "surrogatepass")))
+            words.update(texts[-1])
+            at += n
+        del data
+        mine, spelled = by_bucket(words, known, n_buckets), Spelled(known)
+        del words
         for x in found.to_pylist():
             if x["digest"] != row["digest"]:
                 raise ValueError("the input has changed between two reads")
-            n = x["n"]
-            raw = expand(x["ids"])
-            sizes = np.frombuffer(raw, "<u2", n)
-            ends = np.cumsum(sizes, dtype=np.int64) * 4 + 2 * n
-            for w, a, b in zip(unframed(x["words"], n), [2 * n, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                known[w] = raw[a:b]
-        out: dict[str, list] = {"doc_id": row["doc_ids"], "n_bytes": row["lengths"], "ids": []}
-        data, at, spelled = expand(row["data"]), 0, {}
-        for n in row["lengths"]:
-            parts = []
-            for piece in split(data[at : at + n].decode("utf-8", "surrogatepass")):
-                got = spelled.get(piece)
-                if got is None:
-                    w = piece.encode("utf-8", "surrogatepass")
-                    got = known.get(w)
-                    if got is None:  # over LONG bytes
-                        got = np.array(merge_long(w, ranks.value), "<u4").tobytes()
-                    elif type(got) is int:
-                        got = got.to_bytes(4, "little")
-                    spelled[piece] = got
-                parts.append(got)
-            out["ids"].append(b"".join(parts))
-            at += n
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "ids": pa.array(out["ids"], pa.binary())})
+            raw, n = expand(x["ids"]), x["n"]
+            flat = np.frombuffer(raw, kind, offset=n).astype("<u4").tobytes()
+            ends = np.cumsum(np.frombuffer(raw, np.uint8, n), dtype=np.int64) * 4
+            for w, a, b in zip(mine[x["bucket"]], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                spelled[w.decode("utf-8", "surrogatepass")] = flat[a:b]
+        del mine
+        ids = []
+        for i, pieces in enumerate(texts):
+            ids.append(b"".join(map(spelled.__getitem__, pieces)))
+            texts[i] = None
+        return finish(row["doc_ids"], row["lengths"], ids)
 
-    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "doc_id bigint, n_bytes bigint, ids binary")
+    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
 def as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,23 +313,32 @@ def as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded with `decoded`: the binary pieces of its ids, concatenated."""
-    pieces = encoded.sparkSession.sparkContext.broadcast({r: t for t, r in vocabulary(path).items()})
-    names = [c for c in encoded.columns if c != "ids"]
-    kinds = {f.name: f.dataType.simpleString() for f in encoded.schema}
+def joined(ids: bytes, piece: dict[int, bytes]) -> bytes:
+    """The binary pieces of ids, concatenated."""
+    return b"".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def decode(rows: DataFrame, path: str) -> DataFrame:
+    """rows with `decoded`: what their ids stand for."""
+    pieces = rows.sparkSession.sparkContext.broadcast({r: t for t, r in vocabulary(path).items()})
+    names = [c for c in rows.columns if c != "ids"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.value
         for b in batches:
             raw = b.column(len(names))
-            some = [b"".join(map(piece.__getitem__, np.frombuffer(x.as_py(), "<u4").tolist())) for x in raw]
+            some = [joined(x.as_py(), pieces.value) for x in raw]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), raw, pa.array(some, pa.binary())], names=[*names, "ids", "decoded"])
 
-    return encoded.select(*names, "ids").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", ids binary, decoded binary")
+    return rows.select(*names, "ids").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", ids binary, decoded binary")
 
 
 def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs."""
-    found = decode(encode(docs, path, pattern), path)
-    return found.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs; encoded, decoded and digested in one task each."""
+    pieces = docs.sparkSession.sparkContext.broadcast({r: t for t, r in vocabulary(path).items()})
+
+    def finish(doc_ids: list, _: list, ids: list) -> pa.Table:
+        piece = pieces.value
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([sha256(x) for x in ids], pa.string()), "decoded_sha256": pa.array([sha256(joined(x, piece)) for x in ids], pa.string())})
+
+    return encoded(docs, path, pattern, finish, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
