@@ -209,6 +209,63 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.allclose(np.exp2(logs).reshape(-1, kneser_ney.SIZE).sum(axis=1), 1, atol=1e-4) and len(letters) <= kneser_ney.SIZE - 1
 
 
+def test_kneser_ney_of_all_characters(spark):
+    """Rare letters are told apart, and perplexities are those of the formula over dictionaries."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(2)
+    word = lambda s: "".join(rng.choice(s) for _ in range(4))
+    common = "abcdefghijklmnopqrstuvwxyz,.;:-+*/"
+    texts = [" ".join(word(common) for _ in range(60)) for _ in range(120)] + [" ".join(word("ΐάέή") for _ in range(6)) for _ in range(40)]
+    swapped = {1000 + i: texts[120 + i].translate(str.maketrans("ΐάέή", "жщдю")) for i in range(3)}
+    rows = list(enumerate(texts)) + list(swapped.items())
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(160)], "doc_id bigint, quality int, toxic int")
+    found = by_id(kneser_ney.classify(df, labels), "ppl")
+    for i in range(3):
+        assert found[1000 + i][0] > 10 * found[120 + i][0]
+
+    part = {r["doc_id"] for r in kneser_ney.trusted(labels).where("part > 0").collect()}
+    counts = Counter(t[i : i + 4] for d, t in ((d, "   " + t) for d, t in rows if d in part) for i in range(len(t) - 3))
+    levels = [counts]
+    for _ in range(3):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    tables = []
+    for level in levels:
+        sizes = Counter(level.values())
+        n1, n2, n3, n4 = (sizes.get(i, 0) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        cut = [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
+        total, free = Counter(), Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            free[g[:-1]] += cut[min(n, 3) - 1]
+        tables.append((level, cut, total, free))
+    letters, logs = kneser_ney.train(df, labels)
+    lut = kneser_ney.classes(letters)
+    width = Counter(lut.tolist())
+
+    def p(g, k):
+        if k == 4:
+            at = 0
+            for c in g:
+                at = at * kneser_ney.SIZE + int(lut[ord(c)])
+            return 2.0 ** float(logs[at]) / width[int(lut[ord(g[-1])])]
+        level, cut, total, free = tables[k]
+        x = g[k:]
+        if not total[x[:-1]]:
+            return p(g, k + 1)
+        n = level[x]
+        return ((n - cut[min(n, 3) - 1] if n else 0) + free[x[:-1]] * p(g, k + 1)) / total[x[:-1]]
+
+    for d in (0, 5, 125, 1000):
+        t = "   " + dict(rows)[d]
+        bits = [math.log2(p(t[i : i + 4], 0)) for i in range(len(t) - 3)]
+        assert found[d][0] == pytest.approx(2 ** (-sum(bits) / len(bits)), rel=1e-4)
+
+
 PII = [
     "mail a.b+c@x-y.example.com, z@nodot @@x.y q@w.e.r@t.u 10.0.0.255 1.2.3.4.5.6.7.8 300.1.1.1 4111 1111 1111 1111 4111111111111112",
     "+1 (017) 555-7713 and +44 20 7946 0958 +1 2 + 12345678 é ünï+4912345678901234567890",
