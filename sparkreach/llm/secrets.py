@@ -3,8 +3,8 @@
 Three base kinds are reported wherever they stand: assign, access and hex. Weak parts (an access identifier, a value of
 high entropy, an endpoint) are harmless alone. They are linked by an interval join: within a document, each part's
 interval is widened by `scope` code points, parts meet on cells of that width, and a part is reported only if a part
-of a complementary kind overlaps its scope (identifier and value, endpoint and identifier, endpoint and value). The
-join is a semi join, so no pairs are listed, however dense the parts.
+of a complementary kind overlaps its scope (identifier and value, endpoint and identifier, endpoint and value) and not
+the part itself. The join is a semi join, so no pairs are listed, however dense the parts.
 
 Cases: null and empty texts have no parts; base spans stay whatever is linked; equal doc_ids are kept apart by a row
 number taken as the texts are scanned; further columns are ignored.
@@ -95,11 +95,13 @@ def link(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts = scanned.where(F.size("weak") > 0).select("rid", F.explode("weak").alias("p")).select("rid", "p.*")
     strong = scanned.where((F.size("base") > 0)).select("rid", F.explode("base").alias("p")).select("rid", "p.start", F.when(F.col("p.kind") == 1, 3).otherwise(4).alias("kind"), "p.end")
     all_parts = parts.unionByName(strong)
-    # a cell holds a bounded stretch of text; the left side looks into the cells that its widened interval touches
+    # a cell holds a bounded stretch of text; the left side looks into the cells that its widened interval touches, the
+    # right side is in all that it covers
     left = parts.select("*", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))).alias("cell"))
-    right = all_parts.select(F.col("rid").alias("r"), F.col("start").alias("s"), F.col("kind").alias("k"), F.col("end").alias("e"), F.floor(F.col("start") / scope).alias("c"))
+    right = all_parts.select(F.col("rid").alias("r"), F.col("start").alias("s"), F.col("kind").alias("k"), F.col("end").alias("e"), F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope))).alias("c"))
     near = (F.col("rid") == F.col("r")) & (F.col("cell") == F.col("c")) & (F.col("kind") != F.col("k")) & (F.col("s") < F.col("end") + scope) & (F.col("e") > F.col("start") - scope)
-    return left.join(right, near, "left_semi").select("rid", "start", "kind", "end").distinct()
+    apart = (F.col("s") >= F.col("end")) | (F.col("e") <= F.col("start"))  # a text that two patterns match is no complement of itself
+    return left.join(right, near & apart, "left_semi").select("rid", "start", "kind", "end").distinct()
 
 
 def report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
