@@ -68,6 +68,12 @@ def test_longest_from_roots(spark):
     assert values(graph.longest_from_roots(e, nodes(spark, 9)), "target", "root", "depth") == {(9, 1, 2)}
 
 
+def test_longest_from_roots_of_many_targets(spark):
+    e = edges(spark, [(1, 2), (9000, 3), (3, 4), (4, 3)] + [(2, i) for i in range(10, 1210)])
+    expected = {(i, 1, 2) for i in range(10, 1210)} | {(4, 9000, 2)}
+    assert values(graph.longest_from_roots(e, nodes(spark, *range(10, 1210), 4, 777777)), "target", "root", "depth") == expected
+
+
 def test_reachability(spark):
     direct = edges(spark, [(0, 1), (1, 2), (7, 8)])
     refs = spark.createDataFrame([(7, 1), (9, 6)], "v bigint, f bigint")
