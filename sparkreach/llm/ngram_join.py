@@ -17,7 +17,8 @@ cluster is dealt out as a grid of cells of bounded size, each of which counts ov
 Frequencies move as packed keys by block and bucket (see blocks.py); tables of candidates are written.
 
 Cases: null and blank texts have no shingles and are linked with nothing; fewer than four words are one shingle; equal
-texts, and rows with equal ids, are of one component; a null doc_id never names a component that has another.
+texts are of one component; rows are told apart where their ids are equal; a null doc_id never names a component that
+has another.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import MOST, alike, copies, count_keys, expand, members, pack, with_answers
-from .common import written
+from .common import unveiled, veiled, written
 
 SHINGLE, PERCENT = 4, 85
 FREQUENT, SMALL = 32, 200
@@ -258,6 +259,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that a document of smaller id stands for."""
-    gone = written(classes(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs for each component: that of the smallest doc_id (null last), of equal ones the first."""
+    hidden, names = veiled(docs)
+    rows = written(hidden.select(*names, F.monotonically_increasing_id().alias("row")), "rows")
+    doc_id, text = (F.col(f"_in{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    found = classes(rows.select(F.col("row").alias("doc_id"), text.alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
+    named = found.join(rows.select("row", doc_id.alias("doc_id")), "row")
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
+    kept = written(named.groupBy("component_id").agg(first.alias("row")).select("row"), "kept")
+    return unveiled(rows.join(kept, "row", "left_semi"), docs)

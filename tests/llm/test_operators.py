@@ -323,6 +323,14 @@ def test_ngram_join(docs, empty):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {i for i, (_, c) in found.items() if i == c}
 
 
+def test_one_of_each_row(spark):
+    """Repeated rows, null ids, and one id with two texts."""
+    x, y, z = "a b c d e f g", "one two three four five six", "k l m n o p q r s"
+    rows = [(3, x), (5, x), (5, y), (7, z), (7, z), (None, x), (None, "n n n u l l"), (None, "n n n u l l"), (8, None), (9, "")]
+    left = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([(3, x), (5, y), (7, z), (None, "n n n u l l"), (8, None), (9, "")], key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join_of_groups(spark, seed, monkeypatch):
     """Large near-copy groups, common passages, sizes on both sides of SMALL, chains of links, few frequent tokens' limit."""
