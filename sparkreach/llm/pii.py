@@ -1,14 +1,14 @@
 """PII: base patterns and information-theoretic sanitisation.
 
-Emails, IP addresses, card and phone numbers are found by pattern. Terms near such an entity may reveal it as well, so
-co-occurrence over the corpus estimates how strongly: P(entity | term) is the share of all documents with the term that
-have the entity within `reach` code points of it, and its information gain is log2 of that over the entity's own share.
-A term that stands beside one entity in at least `support` documents, with P of at least `disclose` and `bits` of gain,
-is generalised there, or removed if P is at least `remove`.
+Emails, IP addresses, card and phone numbers are found by pattern. Other terms of a document may reveal such an entity
+as well, so co-occurrence over the corpus estimates how strongly: P(entity | term) is the share of all documents with
+the term that have the entity, and its information gain is log2 of that over the entity's own share. A term that stands
+in at least `support` documents with one entity, with P of at least `disclose` and `bits` of gain, is generalised
+wherever it stands in any document, or removed if P is at least `remove`.
 
-Document frequencies of terms cover all documents: tasks count in bounded tables, Spark sums them. The decisions join
-the context rows of documents with entities by (term, entity); both sides are written tables, so a term that half of
-the rows share is split by adaptive execution. Texts are not shuffled.
+Document frequencies of terms cover all documents: tasks count in bounded tables, Spark sums them. Terms meet entities
+by document, those alone that can reach `disclose` (their frequency is at most the entity's over `disclose`), so that
+common words make no pairs. Disclosing terms go to the tasks in blocks of `PART`; texts are not shuffled.
 
 Cases: null and empty texts have no entities; equal doc_ids are kept apart; further columns are carried by sanitise and
 ignored by report.
@@ -39,6 +39,7 @@ DIGIT = re.compile(r"[0-9]")
 OTHER = re.compile(r"[^0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 FLUSH = 300_000
+PART = 1 << 18  # disclosing terms that tasks hold at a time
 
 
 def luhn(digits: str) -> bool:
@@ -84,49 +85,35 @@ def entity(kind: int, found: str) -> int:
     return zlib.crc32(f"{kind}:{plain}".encode()) | zlib.adler32(plain.encode()) << 32 & 0x7FFFFFFF00000000
 
 
-def contexts(text: str, base: list[tuple[int, int, int]], reach: int) -> list[tuple]:
-    """(term, entity, start, end, first): terms within reach of an entity; first is 1 once for a term and entity."""
-    out, seen = [], set()
-    for kind, a, b in base:
-        e = entity(kind, text[a:b])
-        lo = max(0, a - reach)
-        for m in TERM.finditer(text, lo, min(len(text), b + reach)):
-            s, t = m.span()
-            if (s == lo and lo and text[lo - 1].isalpha()) or (t == b + reach and t < len(text) and text[t].isalpha()):
-                continue  # cut by the window
-            if any(s < y and x < t for _, x, y in base):
-                continue
-            term = m.group().lower()
-            out.append((term, e, s, t, int((term, e) not in seen)))
-            seen.add((term, e))
-    return out
+def terms(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) outside the entities."""
+    for m in TERM.finditer(text):
+        s, t = m.span()
+        if not any(s < y and x < t for _, x, y in base):
+            yield m.group().lower(), s, t
 
 
 def listed(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def scan(docs: DataFrame, carry: list[str], reach: int) -> DataFrame:
-    """carry's columns with rid, counts, base_sha256, base spans and contexts of the entities, written."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    at = list(dict.fromkeys([*carry, "text"]))
+def scan(docs: DataFrame) -> DataFrame:
+    """rid, entities, terms (both distinct) of the documents with entities, written."""
 
     def make():
         ids = row_ids()
 
-        def run(*columns):
-            texts = [t or "" for t in columns[at.index("text")]]
-            base = [base_spans(t) for t in texts]
-            near = [contexts(t, b, reach) for t, b in zip(texts, base, strict=True)]
-            counts = [[sum(k == n for k, _, _ in b) for b in base] for n in range(4)]
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in base]
-            near = [[dict(zip(("term", "entity", "start", "end", "first"), c, strict=True)) for c in x] for x in near]
-            return [next(ids) for _ in texts], *(columns[at.index(c)] for c in carry), *counts, [sha256(listed(b)) for b in base], spans, near
+        def run(texts):
+            out = []
+            for t in texts:
+                base = base_spans(t or "")
+                if base:
+                    out.append((next(ids), list({entity(k, t[a:b]) for k, a, b in base}), list({x for x, _, _ in terms(t, base)})))
+            return [list(c) for c in zip(*out, strict=True)] or [[], [], []]
 
         return run
 
-    shape = "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return written(map_rows(docs, at, make, f"rid bigint{shape}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<kind:int,start:int,end:int>>, near array<struct<term:string,entity:bigint,start:int,end:int,first:int>>"), "pii")
+    return written(map_rows(docs, ["text"], make, "rid bigint, entities array<bigint>, terms array<string>"), "pii")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -142,7 +129,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for t in b.column(0):
-                held.update(set(TERM.findall((t.as_py() or "").lower())))
+                held.update(set(map(str.lower, set(TERM.findall(t.as_py() or "")))))
                 if len(held) >= FLUSH:
                     yield out()
         if held:
@@ -151,31 +138,70 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def reveal(docs: DataFrame, scanned: DataFrame, support: int, disclose: float, remove: float, bits: float) -> DataFrame:
-    """rid, kind, start, end of the terms that give an entity away."""
-    near = scanned.where(F.size("near") > 0).select("rid", F.explode("near").alias("c")).select("rid", "c.*")
-    pairs = near.groupBy("term", "entity").agg(F.sum("first").alias("n")).where(F.col("n") >= support)
-    n_docs = scanned.count()
-    own = near.groupBy("entity").agg(F.countDistinct("rid").alias("docs"))
-    told = pairs.join(document_frequency(docs), "term").withColumn("p", F.col("n") / F.col("df")).where(F.col("p") >= disclose)
-    told = told.join(own, "entity").where(F.log2(F.col("p") * n_docs / F.col("docs")) >= bits)
-    told = written(told.select("term", "entity", F.when(F.col("p") >= remove, 5).otherwise(4).alias("kind")), "told")
-    return near.join(told, ["term", "entity"]).groupBy("rid", "start", "end").agg(F.max("kind").alias("kind"))
+def reveal(docs: DataFrame, support: int, disclose: float, remove: float, bits: float) -> DataFrame:
+    """term, kind of the terms that give an entity away, written."""
+    scanned = scan(docs)
+    ents = scanned.select("rid", F.explode("entities").alias("entity"))
+    own = written(ents.groupBy("entity").agg(F.count("*").alias("docs")).where(F.col("docs") >= support), "entities")
+    ents = ents.join(own, "entity")
+    df = document_frequency(docs).where(F.col("df") >= support)
+    found = scanned.select("rid", F.explode("terms").alias("term")).join(df, "term")
+    met = found.join(ents, "rid").where(F.col("df") * disclose <= F.col("docs"))
+    pairs = met.groupBy("term", "entity").agg(F.count("*").alias("n"), F.first("df").alias("df"), F.first("docs").alias("docs"))
+    told = pairs.where(F.col("n") >= support).withColumn("p", F.col("n") / F.col("df")).where(F.col("p") >= disclose)
+    told = told.where(F.log2(F.col("p") * docs.count() / F.col("docs")) >= bits)
+    return written(told.groupBy("term").agg(F.max(F.when(F.col("p") >= remove, 5).otherwise(4)).alias("kind")), "told")
+
+
+def marked(docs: DataFrame, carry: list[str], told: DataFrame) -> DataFrame:
+    """carry's columns, _text, and _added: the places of told terms in each document. A pass over the texts for each block of terms, no shuffle."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    part = "array<struct<kind:int,start:int,end:int>>"
+    out = docs.select(*carry, F.col("text").alias("_text"), F.array().cast(part).alias("_added"))
+    shape = "".join(f"`{c}` {kinds[c]}, " for c in carry) + f"_text string, _added {part}"
+    blocks = -(-told.count() // PART)
+    for i in range(blocks):
+        got = told.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).toArrow()
+        held = docs.sparkSession.sparkContext.broadcast(dict(zip(got.column("term").to_pylist(), got.column("kind").to_pylist(), strict=True)))
+        out = map_rows(out, [*carry, "_text", "_added"], adder(held), shape)
+    return out
+
+
+def adder(held):
+    def make():
+        told = held.value
+
+        def run(*columns):
+            added = []
+            for t, a in zip(columns[-2], columns[-1], strict=True):
+                if t and not told.keys().isdisjoint(map(str.lower, set(TERM.findall(t)))):
+                    a = a + [{"kind": told[x], "start": s, "end": e} for x, s, e in terms(t, base_spans(t)) if x in told]
+                added.append(a)
+            return [*columns[:-1], added]
+
+        return run
+
+    return make
 
 
 SETTINGS = {"support": 3, "disclose": 0.6, "remove": 0.9, "bits": 4.0}
-REACH = 64
 
 
-def report(docs: DataFrame, reach: int = REACH, **settings) -> DataFrame:
+def report(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms for each row of docs."""
-    scanned = scan(docs, ["doc_id"], reach)
-    found = reveal(docs, scanned, **SETTINGS | settings)
-    added = found.groupBy("rid").agg(F.collect_list(F.struct(F.col("kind"), F.col("start"), F.col("end"))).alias("added"))
-    names = F.array(*map(F.lit, KINDS))
-    spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added")))
-    text = F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"]))
-    return scanned.drop("near").join(added, "rid", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(text, ",").alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("bigint").alias("n_terms"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def make():
+        def run(doc_ids, texts, added):
+            base = [base_spans(t or "") for t in texts]
+            counts = [[sum(k == n for k, _, _ in b) for b in base] for n in range(4)]
+            spans = [listed(sorted([*b, *((x["kind"], x["start"], x["end"]) for x in a)])) for b, a in zip(base, added, strict=True)]
+            return [doc_ids, *counts, [sha256(listed(b)) for b in base], spans, [len(a) for a in added]]
+
+        return run
+
+    found = marked(docs, ["doc_id"], reveal(docs, **SETTINGS | settings))
+    return map_rows(found, found.columns, make, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_terms bigint")
 
 
 def rewrite(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
@@ -192,26 +218,23 @@ def rewrite(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
     return "".join((*out, text[last:]))
 
 
-def sanitise(docs: DataFrame, reach: int = REACH, **settings) -> DataFrame:
+def sanitise(docs: DataFrame, **settings) -> DataFrame:
     """docs with entities and disclosing terms replaced in text (and n_chars counted again, if there)."""
     hidden, names = veiled(docs)
     kinds = {f.name: f.dataType.simpleString() for f in hidden.schema}
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    scanned = scan(hidden, [*names, "text"], reach)
-    found = reveal(scanned, scanned, **SETTINGS | settings)
-    added = found.groupBy("rid").agg(F.collect_list(F.struct(F.col("kind"), F.col("start"), F.col("end"))).alias("added"))
-    plain = scanned.where(F.size("base") == 0).select(*names)
-    touched = scanned.where(F.size("base") > 0).join(added, "rid", "left").withColumn("all", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added")))
+    found = marked(hidden, names, reveal(hidden, **SETTINGS | settings))
 
     def make():
         def run(*columns):
-            got = list(columns[:-1])
-            got[text_at] = [rewrite(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(got[text_at], columns[-1], strict=True)]
+            got = list(columns[:-2])
+            spans = [base_spans(t or "") + [(x["kind"], x["start"], x["end"]) for x in a] for t, a in zip(columns[-2], columns[-1], strict=True)]
+            got[text_at] = [rewrite(t, s) for t, s in zip(got[text_at], spans, strict=True)]
             if chars_at is not None:
-                got[chars_at] = [None if t is None else len(t) for t in got[text_at]]
+                got[chars_at] = [len(t) if s else n for t, s, n in zip(got[text_at], spans, got[chars_at], strict=True)]
             return got
 
         return run
 
-    return unveiled(plain.unionByName(map_rows(touched, [*names, "all"], make, ", ".join(f"{c} {kinds[c]}" for c in names))), docs)
+    return unveiled(map_rows(found, found.columns, make, ", ".join(f"{c} {kinds[c]}" for c in names)), docs)

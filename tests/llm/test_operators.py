@@ -315,6 +315,19 @@ def test_sanitise(spark):
     assert pii.sanitise(df.where("false")).count() == 0
 
 
+def test_sanitise_everywhere(spark):
+    """A disclosing term goes wherever it stands: far from the entity, and in a document without one."""
+    far = "and so on " * 20
+    rows = [(i, f"Zorblax {far}Zorblax agent writes to zed@corp.example.com; {far}Quibnar") for i in range(20)]
+    rows += [(50, f"Zorblax met {far}"), *((100 + i, f"agent writes {far}met") for i in range(600))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert len(out) == len(rows) and not any("Zorblax" in t or "Quibnar" in t for t in out.values())
+    assert out[50] == rows[20][1].replace("Zorblax", "") and out[100] == rows[21][1]
+    found = by_id(pii.report(df), "spans", "n_terms")
+    assert found[50] == ("removed:0:7", 1) and found[0][1] == 3 and found[100] == ("", 0)
+
+
 def test_ngram_join(docs, empty):
     found = by_id(ngram_join.classes(docs), "n_shingles", "component_id")
     assert found == helpers.components(corpus())
