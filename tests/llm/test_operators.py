@@ -151,11 +151,36 @@ def test_warc(spark):
 
 def test_arc_versions():
     for version in (1, 2):
-        data = warc.arc_version_block(version, "n") + b"\n" + warc.arc_record(version, 7, "http://x/a b", b"body\n\n", "n") + b"\n"
-        ((head, block),) = warc.arc_records(data)
-        assert head["URL"] == "http://x/a%20b" and warc.http_parts(block)[2] == b"body\n\n" and ("Checksum" in head) == (version == 2)
-    with pytest.raises(ValueError):
-        list(warc.arc_records(data[:-4]))
+        data = warc.arc_version_block(version, "n") + b"\n" + warc.arc_record(version, 7, "http://x/a b", b"body\n\n", "n")
+        ((_, head, block, problem),) = warc.arc_records(data)
+        assert head["URL"] == "http://x/a%20b" and warc.http_parts(block)[2] == b"body\n\n" and ("Checksum" in head) == (version == 2) and problem is None
+        assert [p for _, _, _, p in warc.arc_records(data[:-4])] == ["the archive ends within a record"]
+
+
+def test_foreign_arc(spark, tmp_path):
+    """Archives of others: no page ids, blanks in URLs, short dates, no HTTP headers, broken records, several gzip members or none."""
+    import gzip
+
+    def record(line, block):
+        return f"{line} {len(block)}\n".encode("latin-1") + block + b"\n"
+
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n"
+    one = warc.arc_version_block(1, "a") + b"\n" + record("http://b/x y 1.2.3.4 19970101 text/html", http + b"same") + b"not a header\n" + record("http://a 1.2.3.4 19970101 text/html", http + b"same") + record("dns:c 1.2.3.4 19970102010203 text/dns", b"plain text")
+    two = warc.arc_version_block(2, "b") + b"\n" + record("http://\xe9 1.2.3.4 19980101000000 text/html 200 - - 0 b", http + b"same") + b"http://d 1.2.3.4 19990101000000 text/html 200 - - 0 b 999\nshort"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "one.arc.gz").write_bytes(gzip.compress(one[:90]) + gzip.compress(one[90:]))
+    (tmp_path / "arc" / "two.arc").write_bytes(two)
+    (tmp_path / "arc" / "three.arc").write_bytes(b"filedesc://x 0.0.0.0 1997 text/plain 4\n9 0 ")
+    problems = warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    assert sorted(r["problem"] for r in problems.collect()) == ["no header line", "the archive ends within a record", "unknown ARC version: 9"]
+    found = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert sorted((r["payload_bytes"], r["record_type"], r["page_id"], r["refers_to"]) for r in found) == [(4, "response", None, None), (4, "revisit", None, None), (4, "revisit", None, None), (10, "resource", None, None)]
+    records = [h for f in (tmp_path / "warc").glob("part-*") for h, _ in warc.warc_records(f.read_bytes())]
+    first = next(h for h in records if h["warc-type"] == "response")
+    assert first["warc-target-uri"] == "http://a" and first["warc-date"] == "1997-01-01T00:00:00Z"
+    assert {(h["warc-refers-to"], h["warc-refers-to-target-uri"], h["warc-refers-to-date"]) for h in records if h["warc-type"] == "revisit"} == {(first["warc-record-id"], "http://a", "1997-01-01T00:00:00Z")}
+    assert len({h["warc-record-id"] for h in records}) == len(records)
+    assert sorted(h["warc-target-uri"] for h in records if h["warc-type"] == "revisit")[0] == "http://b/x%20y"
 
 
 def test_language(spark, empty):
