@@ -1,25 +1,29 @@
 """Byte-level BPE: encoding folds ranked merges over distinct words with higher-order functions, decoding joins pieces.
 
 Texts are split by the tokenizer's pattern. Words that are tokens themselves need no merges. Of the others, every
-distinct one is folded once: its bytes (as hex pairs) are an array, and aggregate() merges, step by step, the adjacent
-pair of lowest rank, leftmost first. The ranks are a literal: an array of small maps, picked by hash, as Spark looks
-through a map from its start. The vocabulary is of fixed size, whatever the corpus.
-
-Occurrences are not joined to the dictionary. Documents are taken in blocks of about BLOCK bytes; a block sends the
-sorted distinct words that it needs, one binary value a bucket. The bucket ranks its distinct words, which are folded,
-and keeps for each block the ranks of its words only; ranks are then turned into ids, which the block gets back in its
-own order. Blocks are made again from the input rather than kept; each carries a digest, so that one made otherwise is
-an error, not a wrong result. Words over LONG bytes (runs without a break) are merged in the task with a heap, as a
-fold's cost grows with the cube of the length.
-
-Cases: null and empty texts have no tokens; equal ids are kept apart; special tokens do not exist, their text is text.
+distinct one is folded: its bytes (as the ids of their tokens) are an array, and aggregate() merges, step by step, the
+adjacent pair of lowest rank, leftmost first. The ranks are a literal, an array of small maps from pairs of ids to the
+id of their concatenation (which is its rank); a pair's number picks the map, as Spark looks through a map from its
+start. The vocabulary is of fixed size, whatever the corpus.
+
+Occurrences are not joined to the dictionary. Documents are taken in blocks of about BLOCK bytes, written once: a block
+keeps its texts as numbers of its distinct words, and sends each bucket the words that it needs, sorted, as one binary
+value. A bucket's distinct words are folded in one row, and each block gets the ids of its own words back, in its order.
+Blocks are a table bucketed by block, so they meet their answers where they lie and are not shuffled. They are dealt
+into slices of SLICE, each with its own buckets, so that a word that stands in every block of a corpus of any size is
+met by SLICE blocks at most, and rows sent are never more than words sent. Words over LONG bytes (runs without a break)
+are merged in the task with a heap, as a fold's cost grows with the square of the length.
+
+Cases: null and empty texts have no tokens; equal or null ids are kept apart, ids may be of any type; a text longer
+than a block is one of its own; an empty table gives no rows; further columns are ignored; special tokens do not exist,
+their text is text.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import heapq
-import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,15 +32,19 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import expand, squeeze
-from .common import sha256, written
+from .common import bucketed, sha256, written
 
-BLOCK = 6 << 20
+BLOCK, BUCKET = 6 << 20, 4 << 20  # bytes of text
+SLICE = 4096  # blocks that share buckets
 LONG = 255
-SHARDS = 1 << 16
+SHARDS = 1 << 14
+END = 1 << 21  # in a fold, ids are above it and ranks below
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -78,71 +86,85 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def murmur3(data: bytes, seed: int = 42) -> int:
-    """Spark's hash() of a string: 32-bit Murmur 3 with each byte of the tail mixed on its own."""
-    mask, h = 0xFFFFFFFF, seed
-    turn = lambda x, r: (x << r | x >> (32 - r)) & mask
-    whole = len(data) // 4 * 4
-    words = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)] + [(b - 256 if b > 127 else b) & mask for b in data[whole:]]
-    for k in words:
-        h = turn(h ^ turn(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask, 13) * 5 + 0xE6546B64 & mask
-    h ^= len(data)
-    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = (h ^ h >> shift) * by & mask
-    return h ^ h >> 16
-
-
 def rank_literal(ranks: dict[bytes, int]) -> F.Column:
-    """array<map<hex, rank>>, by hash of the hex; folded to a literal when the plan is made."""
-    shards: list[dict[str, int]] = [{} for _ in range(SHARDS)]
+    """array<map<pair, id>>, by the pair's number modulo SHARDS; folded to a literal when the plan is made. Needs Spark's default, ANSI casts."""
+    shards: list[list[str]] = [[] for _ in range(SHARDS)]
     for token, rank in ranks.items():
-        key = token.hex()
-        shards[murmur3(key.encode()) % SHARDS][key] = rank
-    return F.from_json(F.lit(json.dumps(shards)), "array<map<string,int>>")
-
-
-def fold(hexed: F.Column, table: F.Column) -> F.Column:
-    """ids of a word of two bytes or more, as hex."""
-    rank = lambda p: F.try_element_at(F.get(table, F.hash(p).bitwiseAND(F.lit(SHARDS - 1))), p)
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                pair = a * END + b
+                shards[place_of(pair)].append(f'"{pair}":{rank}')
+    # JSON has no keys but strings
+    return F.from_json(F.lit("[" + ",".join("{" + ",".join(x) + "}" for x in shards) + "]"), "array<map<string,int>>").cast("array<map<bigint,int>>")
+
+
+def place_of(pair):
+    """A pair's shard. For numbers and columns."""
+    return pair % (SHARDS - 3)  # a prime
+
+
+def started(words: list[bytes], byte_ids: np.ndarray, pair_ranks: np.ndarray) -> pa.ListArray:
+    """Words as folds take them: END, null, then the id (above END) of each byte with its rank with the next one between, null, END."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(2 * sizes + 3)
+    every = np.frombuffer(b"".join(words), np.uint8)
+    at = np.arange(len(every)) * 2 + np.repeat(np.arange(len(words)) * 3, sizes) + 2
+    flat, known = np.full(int(ends[-1]) if len(words) else 0, END, np.int32), np.ones(int(ends[-1]) if len(words) else 0, bool)
+    flat[at] = byte_ids[every] + END + 1
+    ranks = np.append(pair_ranks[every[:-1], every[1:]], -1) if len(every) else np.zeros(0, np.int32)
+    ranks[np.cumsum(sizes) - 1] = -1
+    flat[at + 1], known[at + 1] = ranks, ranks >= 0
+    known[ends - 2 * sizes - 2] = False
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, mask=~known))
+
+
+def fold(word: F.Column, table: F.Column) -> F.Column:
+    """ids of a word of two bytes or more, as started makes it."""
+
+    def rank(a: F.Column, b: F.Column) -> F.Column:
+        pair = a.cast("bigint") * END + b
+        return F.try_element_at(F.get(table, place_of(pair).cast("int")), pair)
 
     def step(acc: F.Column, _: F.Column) -> F.Column:
-        def merge(r: F.Column) -> F.Column:
-            i = F.array_position(r, F.array_min(r)).cast("int")  # of the lowest rank, the leftmost
-            some = F.concat(F.slice(acc, F.lit(1), i - 1), F.array(F.concat(F.element_at(acc, i), F.element_at(acc, i + 1))), F.slice(acc, i + 2, F.size(acc)))
-            return F.when(F.array_min(r).isNull(), F.concat(acc, F.array(F.lit("")))).otherwise(some)
+        def merge(best: F.Column) -> F.Column:
+            i = F.array_position(acc, best).cast("int")  # of the lowest rank, the leftmost; its pair stands around it
+            before, after = F.element_at(acc, i - 3) - (END + 1), F.element_at(acc, i + 3) - (END + 1)  # -1 at the ends: no pair
+            middle = F.array(rank(before, best), best + (END + 1), rank(best, after))
+            return F.flatten(F.array(F.slice(acc, F.lit(1), i - 3), middle, F.slice(acc, i + 3, F.size(acc))))
 
-        # null beside the last piece and where a pair is no token; an array of one binds the ranks, so that they are made once
-        ranks = F.zip_with(acc, F.slice(acc, F.lit(2), F.size(acc)), lambda a, b: rank(F.concat(a, b)))
-        return F.when(F.element_at(acc, -1) == "", acc).otherwise(F.element_at(F.transform(F.array(ranks), merge), 1))
+        # a transform over an array of one binds the lowest rank, so that it is found once
+        return F.element_at(F.transform(F.array(F.array_min(acc)), lambda x: F.when(x < END, merge(x)).otherwise(acc)), 1)
 
-    n = (F.length(hexed) / 2).cast("int")
-    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(hexed, i * 2 + 1, F.lit(2)))
-    merged = F.aggregate(F.sequence(F.lit(1), n - 1), single, step)  # ends with "" once nothing is left to merge
-    return F.transform(F.filter(merged, lambda x: x != ""), rank)
+    merged = F.aggregate(F.sequence(F.lit(3), F.size(word), F.lit(2)), word, step)
+    return F.transform(F.filter(merged, lambda x: x > END), lambda x: x - (END + 1))
 
 
 # ---- blocks
 
 
 class Block:
+    """Texts as numbers of distinct words, in the order in which they are met."""
+
     def __init__(self, number: int):
-        self.number, self.ids, self.texts, self.size, self.digest = number, [], [], 0, xxhash.xxh64()
+        self.number, self.ids, self.lengths, self.texts, self.size, self.words = number, [], [], [], 0, {}
 
-    def add(self, doc_id, text: str | None) -> None:
+    def add(self, doc_id, text: str, split: Callable[[str], list[str]]) -> None:
+        pieces, words = split(text), self.words
+        for x in set(pieces).difference(words):
+            words[x] = len(words)
         self.ids.append(doc_id)
-        self.texts.append(text or "")
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        self.digest.update(f"{doc_id} {len(raw)} ".encode())
-        self.digest.update(raw)
-        self.size += len(raw) + 64
+        self.texts.append(np.fromiter(map(words.__getitem__, pieces), np.int32, len(pieces)))
+        self.lengths.append(len(text.encode("utf-8", "surrogatepass")))
+        self.size += self.lengths[-1] + 64
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def blocks_of(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]]) -> Iterator[Block]:
     """The task's rows in blocks."""
     block = Block(TaskContext.get().partitionId() << 20)
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            block.add(doc_id, text.as_py())
+            block.add(doc_id, text.as_py() or "", split)
             if block.size >= BLOCK:
                 yield block
                 block = Block(block.number + 1)
@@ -155,162 +177,177 @@ def bucket_of(words: list[bytes], n: int) -> np.ndarray:
 
 
 def framed(words: list[bytes]) -> bytes:
-    return squeeze(np.array([len(w) for w in words], "<u2").tobytes() + b"".join(words))
+    """Sorted words: what each shares with the one before, its length beyond that, and the rest."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    chars = np.array(words, f"S{LONG + 1}").view(np.uint8).reshape(len(words), -1)
+    same = np.minimum(np.argmin(chars[1:] == chars[:-1], axis=1), np.minimum(sizes[1:], sizes[:-1])) if len(words) > 1 else np.zeros(0, np.int64)
+    shared = np.concatenate(([0], same))
+    return squeeze(shared.astype(np.uint8).tobytes() + (sizes - shared).astype(np.uint8).tobytes() + b"".join(w[k:] for w, k in zip(words, shared.tolist(), strict=True)))
 
 
 def unframed(data: bytes, n: int) -> list[bytes]:
-    raw = expand(data)
-    ends = np.cumsum(np.frombuffer(raw, "<u2", n), dtype=np.int64) + 2 * n
-    return [raw[a:b] for a, b in zip([2 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-
-def by_bucket(found: set[str], known, n_buckets: int) -> list[list[bytes]]:
-    """The sorted words of found that are no tokens, in each bucket."""
-    words = sorted(w for w in (x.encode("utf-8", "surrogatepass") for x in found) if w not in known and len(w) <= LONG)
-    out: list[list[bytes]] = [[] for _ in range(n_buckets)]
-    for w, k in zip(words, bucket_of(words, n_buckets).tolist(), strict=True):
-        out[k].append(w)
+    raw, out, before, at = expand(data), [], b"", 2 * n
+    for k, m in zip(raw[:n], raw[n : 2 * n], strict=True):
+        before = before[:k] + raw[at : at + m]
+        at += m
+        out.append(before)
     return out
 
 
-class Spelled(dict):
-    """Word to its ids in bytes; tokens, and words over LONG bytes, are added as they are met."""
-
-    def __init__(self, known: dict[bytes, int]):
-        self.known = known
-
-    def __missing__(self, piece: str) -> bytes:
-        w = piece.encode("utf-8", "surrogatepass")
-        one = self.known.get(w)
-        self[piece] = got = one.to_bytes(4, "little") if one is not None else np.array(merge_long(w, self.known), "<u4").tobytes()
-        return got
+def planes(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits by byte of them, which compress better."""
+    return squeeze(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def ragged(flat: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[lo:lo + size] of each, one after the other."""
+    return flat[np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] if len(size) else flat[:0]
+
+
+def described(block: Block, vocab: dict[bytes, int], n_buckets: int) -> list[dict]:
+    """The block's rows: its texts, and what it asks of each bucket."""
+    every = np.concatenate([*block.texts, np.zeros(0, np.int32)])
+    order = np.argsort(-np.bincount(every, minlength=len(block.words)), kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    words = [w.encode("utf-8", "surrogatepass") for w in block.words]
+    told = [[i, 1, vocab[w]] for i, w in zip(place.tolist(), words, strict=True) if w in vocab]
+    for i, w in zip(place.tolist(), words, strict=True):
+        if len(w) > LONG and w not in vocab:
+            ids = merge_long(w, vocab)
+            told.append([i, len(ids), *ids])
+    asked = sorted((w, i) for i, w in zip(place.tolist(), words, strict=True) if len(w) <= LONG and w not in vocab)
+    asked_words, numbers = [w for w, _ in asked], np.array([i for _, i in asked], np.int64)
+    at = bucket_of(asked_words, n_buckets)
+    by = np.argsort(at, kind="stable")
+    own = np.array([len(told), *(x[0] for x in told), *(x[1] for x in told), *(y for x in told for y in x[2:])], np.int64)
+    rows = [{"block": block.number, "doc_ids": block.ids, "lengths": block.lengths, "sizes": [len(t) for t in block.texts], "texts": planes(place[every]), "known": planes(own), "at": planes(numbers[by])}]
+    bounds = np.flatnonzero(np.diff(at[by], prepend=-1, append=n_buckets)).tolist() if asked else [0]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        rows.append({"block": block.number, "bucket": int(at[by[a]]), "n": b - a, "words": framed([asked_words[i] for i in by[a:b].tolist()])})
+    return rows
+
+
+def blocks_table(docs: DataFrame, ranks, pattern: str, n_buckets: int) -> DataFrame:
+    """Rows of two kinds: block, bucket, n, words that the block asks for; and block, doc_ids, lengths (bytes),
+    sizes (words), texts (numbers of words, commonest first), known (number of words that need no bucket, their numbers, numbers of ids, ids),
+    at (numbers of the words asked for, in order of bucket and word)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shape = f"block bigint, bucket int, n int, words binary, doc_ids array<{kind}>, lengths array<int>, sizes array<int>, texts binary, known binary, at binary"
+    out = to_arrow_schema(T.StructType.fromDDL(shape))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks_of(batches, splitter(pattern)):
+            yield pa.RecordBatch.from_pylist(described(block, ranks.value, n_buckets), schema=out)
 
-def needed(docs: DataFrame, ranks, pattern: str, n_buckets: int) -> DataFrame:
-    """bucket, block, digest, n, words: what each block needs."""
+    return docs.select("doc_id", "text").mapInArrow(run, shape)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = splitter(pattern), ranks.value
-        for block in blocks_of(batches):
-            found: set[str] = set()
-            for t in block.texts:
-                found.update(split(t))
-            mine = by_bucket(found, known, n_buckets)
-            rows = [(k, block.number, block.digest.hexdigest(), len(w), framed(w)) for k, w in enumerate(mine) if w]
-            names = ["bucket", "block", "digest", "n", "words"]
-            kinds = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block bigint, digest string, n int, words binary")
+@contextlib.contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans are described in few characters: the driver keeps descriptions, and the literal has millions of them."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def dictionary(sent: DataFrame, table: F.Column) -> DataFrame:
-    """Written rows of two kinds: bucket, at, ids of the distinct words by their rank in the bucket; bucket, block, digest, n and the ranks of a block's words."""
+def dictionary(sent: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
+    """Written: blocks (block, bucket, and the ranks of its words in the bucket) and ids of the bucket's distinct words, a row for each bucket of a slice."""
+    byte_ids = np.array([vocab[bytes([i])] for i in range(256)], np.int32)
+    pair_ranks = np.array([[vocab.get(bytes([i, j]), -1) for j in range(256)] for i in range(256)], np.int32)
+    shape = "blocks array<struct<block:bigint,bucket:int,n:int,ranks:binary>>, words array<array<int>>"
+    out = to_arrow_schema(T.StructType.fromDDL(shape))
 
     def ranked(rows: pa.Table) -> pa.Table:
         held = [unframed(x.as_py(), n.as_py()) for x, n in zip(rows.column("words"), rows.column("n"), strict=True)]
         words = sorted(set().union(*held))
         place = {w: i for i, w in enumerate(words)}
-        steps = [squeeze(np.diff(np.fromiter((place[w] for w in own), np.int64, len(own)), prepend=0).astype("<u4").tobytes()) for own in held]
-        n, m = len(words), len(held)
-        kinds = {"bucket": pa.int32(), "at": pa.int32(), "hexed": pa.string(), "block": pa.int64(), "digest": pa.string(), "n": pa.int32(), "ranks": pa.binary()}
-        given = {
-            "bucket": [rows.column("bucket")[0].as_py()] * (n + m),
-            "at": [*range(n), *[None] * m],
-            "hexed": [*(w.hex() for w in words), *[None] * m],
-            "block": [*[None] * n, *rows.column("block").to_pylist()],
-            "digest": [*[None] * n, *rows.column("digest").to_pylist()],
-            "n": [*[None] * n, *rows.column("n").to_pylist()],
-            "ranks": [*[None] * n, *steps],
-        }
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in given.items()})
-
-    rows = sent.groupBy("bucket").applyInArrow(ranked, "bucket int, at int, hexed string, block bigint, digest string, n int, ranks binary")
-    ids = F.when(F.col("hexed").isNotNull(), F.transform(fold(F.col("hexed"), table), lambda x: x.cast("int")))
-    return written(rows.select("bucket", "at", ids.alias("ids"), "block", "digest", "n", "ranks"), "dictionary")
-
-
-def answers(told: DataFrame, wide: bool) -> DataFrame:
-    """block, digest, bucket, n, ids: numbers of ids, then the ids of a block's words in their order."""
-    kind = "<u4" if wide else "<u2"
-
-    def answer(rows: pa.Table, found: pa.Table) -> pa.Table:
-        ids = found.column("ids").combine_chunks()
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(kind)
-        bounds = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        row = np.empty(len(ids), np.int64)
-        row[found.column("at").to_numpy()] = np.arange(len(ids))
-        out = []
-        for x in rows.column("ranks"):
-            at = row[np.cumsum(np.frombuffer(expand(x.as_py()), "<u4"), dtype=np.int64)]
-            lo, size = bounds[at], bounds[at + 1] - bounds[at]
-            every = flat[np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
-            out.append(squeeze(size.astype(np.uint8).tobytes() + every.tobytes()))
-        return rows.select(["block", "digest", "bucket", "n"]).append_column("ids", pa.array(out, pa.binary()))
-
-    blocks = told.where("block IS NOT NULL").select("bucket", "block", "digest", "n", "ranks")
-    words = told.where("at IS NOT NULL").select("bucket", "at", "ids")
-    return blocks.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, "block bigint, digest string, bucket int, n int, ids binary")
+        given = rows.select(["block", "bucket", "n"]).to_pylist()
+        for x, own in zip(given, held, strict=True):
+            x["ranks"] = planes(np.diff(np.fromiter(map(place.__getitem__, own), np.int64, len(own)), prepend=0))
+        every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), started(words, byte_ids, pair_ranks))
+        return pa.table([pa.array([given], out.types[0]), every.cast(out.types[1])], schema=out)
+
+    rows = sent.groupBy("slice", "bucket").applyInArrow(ranked, shape)
+    with short_plans(sent.sparkSession):
+        table = rank_literal(vocab)
+        return written(rows.select("blocks", F.transform("words", lambda w: fold(w, table)).alias("ids")), "dictionary")
+
+
+def answers(told: DataFrame) -> DataFrame:
+    """block, bucket, n, ids: numbers of ids, then the ids of a block's n words in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for given, found in zip(b.column(0), b.column(1), strict=True):
+                ids = found.values
+                flat, bounds = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+                rows = given.as_py()
+                for x in rows:
+                    at = np.cumsum(from_planes(x.pop("ranks")), dtype=np.int64)
+                    lo, size = bounds[at], bounds[at + 1] - bounds[at]
+                    x["ids"] = planes(np.concatenate((size, ragged(flat, lo, size))))
+                yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    shape = "block bigint, bucket int, n int, ids binary"
+    out = to_arrow_schema(T.StructType.fromDDL(shape))
+    return told.mapInArrow(run, shape)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_bytes, ids (little-endian unsigned 32-bit) for each row of docs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return encoded(docs, path, pattern, lambda lengths, ids: [lengths, ids], f"doc_id {kind}, n_bytes bigint, ids binary")
 
-    def finish(doc_ids: list, lengths: list, ids: list) -> pa.Table:
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_bytes": pa.array(lengths, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
-    return encoded(docs, path, pattern, finish, "doc_id bigint, n_bytes bigint, ids binary")
+def spelled(row: dict, found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of the block's words, and where those of each word are: first, number."""
+    own = from_planes(row["known"])
+    m = int(own[0])
+    place, sizes, parts = [own[1 : m + 1], from_planes(row["at"])], [own[m + 1 : 2 * m + 1]], [own[2 * m + 1 :]]
+    for x in sorted(found, key=lambda x: x["bucket"]):
+        raw = from_planes(x["ids"])
+        sizes.append(raw[: x["n"]])
+        parts.append(raw[x["n"] :])
+    order, size = np.argsort(np.concatenate(place)), np.concatenate(sizes).astype(np.int64)
+    return np.concatenate(parts), (np.cumsum(size) - size)[order], size[order]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, finish: Callable[[list, list, list], pa.Table], schema: str) -> DataFrame:
-    """What finish makes of each block's doc_ids, texts' bytes and ids."""
-    spark = docs.sparkSession
+def encoded(docs: DataFrame, path: str, pattern: str, finish: Callable[[list, list], list[list]], schema: str) -> DataFrame:
+    """doc_id, and what finish makes of each block's lengths in bytes and ids, written."""
     vocab = vocabulary(path)
-    ranks = spark.sparkContext.broadcast(vocab)
-    wide = max(vocab.values(), default=0) > 0xFFFF
-    kind = "<u4" if wide else "<u2"
+    ranks = docs.sparkSession.sparkContext.broadcast(vocab)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(1, -(-size // (16 << 20)))
-    told = answers(dictionary(needed(docs, ranks, pattern, n_buckets), rank_literal(vocab)), wide)
-    packed = docs.select("doc_id", "text").mapInArrow(as_rows, "block bigint, digest string, doc_ids array<bigint>, lengths array<int>, data binary")
+    n_slices = max(1, -(-size // (SLICE * BLOCK)))
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
-        split, known = splitter(pattern), ranks.value
         row = block.to_pylist()[0]
-        data, at, texts, words = expand(row["data"]), 0, [], set()
-        for n in row["lengths"]:
-            texts.append(split(data[at : at + n].decode("utf-8", "surrogatepass")))
-            words.update(texts[-1])
-            at += n
-        del data
-        mine, spelled = by_bucket(words, known, n_buckets), Spelled(known)
-        del words
-        for x in found.to_pylist():
-            if x["digest"] != row["digest"]:
-                raise ValueError("the input has changed between two reads")
-            raw, n = expand(x["ids"]), x["n"]
-            flat = np.frombuffer(raw, kind, offset=n).astype("<u4").tobytes()
-            ends = np.cumsum(np.frombuffer(raw, np.uint8, n), dtype=np.int64) * 4
-            for w, a, b in zip(mine[x["bucket"]], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                spelled[w.decode("utf-8", "surrogatepass")] = flat[a:b]
-        del mine
-        ids = []
-        for i, pieces in enumerate(texts):
-            ids.append(b"".join(map(spelled.__getitem__, pieces)))
-            texts[i] = None
-        return finish(row["doc_ids"], row["lengths"], ids)
-
-    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
-
-
-def as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block a row, its texts compressed."""
-    for block in blocks_of(batches):
-        raw = [t.encode("utf-8", "surrogatepass") for t in block.texts]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block.number], pa.int64()), pa.array([block.digest.hexdigest()]), pa.array([block.ids], pa.list_(pa.int64())), pa.array([[len(r) for r in raw]], pa.list_(pa.int32())), pa.array([squeeze(b"".join(raw))], pa.binary())],
-            names=["block", "digest", "doc_ids", "lengths", "data"],
-        )
+        flat, lo, size = spelled(row, found.to_pylist())
+        words, ids, start = from_planes(row["texts"]), [], 0
+        for m in row["sizes"]:
+            mine = words[start : start + m]
+            ids.append(ragged(flat, lo[mine], size[mine]).tobytes())
+            start += m
+        got = [row["doc_ids"], *finish(row["lengths"], ids)]
+        return pa.table([pa.array(c, t) for c, t in zip(got, out.types, strict=True)], schema=out)
+
+    table = blocks_table(docs, ranks, pattern, max(1, -(-size // (n_slices * BUCKET))))
+    with bucketed(table, "bpe", "block", max(1, -(-size // (4 * BLOCK)))) as blocks:
+        sent = blocks.where("bucket IS NOT NULL").select(F.pmod(F.xxhash64("block"), F.lit(n_slices)).alias("slice"), "bucket", "block", "n", "words")
+        told = answers(dictionary(sent, vocab))
+        texts = blocks.where("bucket IS NULL").select("block", "doc_ids", "lengths", "sizes", "texts", "known", "at")
+        found = written(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema), "encoded")
+    ranks.unpersist()
+    return found
 
 
 def joined(ids: bytes, piece: dict[int, bytes]) -> bytes:
@@ -336,9 +373,10 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs; encoded, decoded and digested in one task each."""
     pieces = docs.sparkSession.sparkContext.broadcast({r: t for t, r in vocabulary(path).items()})
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def finish(doc_ids: list, _: list, ids: list) -> pa.Table:
+    def finish(_: list, ids: list) -> list[list]:
         piece = pieces.value
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([sha256(x) for x in ids], pa.string()), "decoded_sha256": pa.array([sha256(joined(x, piece)) for x in ids], pa.string())})
+        return [[len(x) // 4 for x in ids], [sha256(x) for x in ids], [sha256(joined(x, piece)) for x in ids]]
 
-    return encoded(docs, path, pattern, finish, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded(docs, path, pattern, finish, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set and all is in one process (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -39,6 +42,18 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, in n buckets of key, so that what joins it by key moves and it does not. The name goes at the end, the files stay."""
+    path = new_path(df.sparkSession, name)
+    table = f"{name}_{path[-32:]}"
+    df.write.bucketBy(n, key).option("path", path).option("compression", "none").saveAsTable(table)
+    try:
+        yield df.sparkSession.table(table)
+    finally:
+        df.sparkSession.sql(f"DROP TABLE {table}")
+
+
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
     """Each Arrow batch of `columns` as lists through make()'s function, whose lists become the columns of schema.
 

@@ -101,6 +101,14 @@ def test_secret_links(spark):
         assert found[i] == (secrets.listed(sorted([*base, *linked])), len(linked)), t
 
 
+def test_secret_long_parts(spark):
+    """A value whose first digit comes late, and an identifier of over 64 characters; an empty table."""
+    late, name = "aBcDeFgHiJkLmNoP" * 7 + "9", "n" * 80
+    df = spark.createDataFrame([(1, f"client_id={name} {late}")], "doc_id bigint, text string")
+    assert by_id(secrets.report(df), "spans")[1] == (f"identifier:10:90,value:91:{91 + len(late)}",)
+    assert secrets.report(df.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("text", [None, "", "a" * 3000, "x" + " " * 300 + "\x1c \x85 b²½ⅧI'm <|endoftext|> 日本語😀 naïve", "ab" * 400 + "!?" * 300])
 def test_long_merges(text):
     ranks = bpe.vocabulary(PATH)
@@ -118,6 +126,24 @@ def test_bpe(docs, empty):
     assert bpe.report(empty, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_round_trip(spark, monkeypatch):
+    """Ids that are strings or null, many blocks and slices, rows that come in another order the second time."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(bpe, "BLOCK", 4000)
+    monkeypatch.setattr(bpe, "BUCKET", 3000)
+    monkeypatch.setattr(bpe, "SLICE", 4)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdeéz1_ ") for _ in range(rng.randint(1, 14))) for _ in range(60)) for _ in range(80)] + ["x" * 9000, "", None, "zz" * 100 + " ab" * 2000]
+    df = spark.createDataFrame([(None if i == 3 else f"d{i}", t, "c", 1) for i, t in enumerate(texts)], "doc_id string, text string, block string, n int").repartition(4)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary(PATH), special_tokens={})
+    expected = {None if i == 3 else f"d{i}": own.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    for docs in (df, df.orderBy(F.rand())):
+        rows = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH).collect()
+        assert {r["doc_id"]: list(struct.unpack(f"<{len(r['ids']) // 4}I", r["ids"])) for r in rows} == expected
+        assert {r["doc_id"]: bytes(r["decoded"]) for r in rows} == {None if i == 3 else f"d{i}": (t or "").encode() for i, t in enumerate(texts)}
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(7)
     texts = dict(corpus())
@@ -201,6 +227,35 @@ def test_language(spark, empty):
     assert language.predict(empty).count() == 0
 
 
+def test_language_passes(spark, monkeypatch):
+    """More languages than a task holds, against whole-text compression; clashing columns, repeated rows, a long text."""
+    import zstandard
+
+    rng = random.Random(8)
+    alphabets = {f"l{i:02d}": [chr(0x61 + (i * 7 + k) % 26) + chr(0x61 + (i * 3 + k * k) % 26) for k in range(5)] for i in range(9)}
+    rows = [(i, " ".join("".join(rng.choice(a) for _ in range(3)) for _ in range(30)), k) for i, (k, a) in enumerate(list(alphabets.items()) * 14)]
+    rows += [(500, rows[3][1] * 400, None), rows[5], rows[5]]
+    df = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id bigint, text string, lang string, score double, _sizes string").repartition(3)
+    whole = {(r["doc_id"], r["lang_pred"], r["score"]) for r in language.predict(df).collect()}
+    monkeypatch.setattr(language, "PART", 4)
+    assert {(r["doc_id"], r["lang_pred"], r["score"]) for r in language.predict(df).collect()} == whole
+    content = language.learn(df.where(~language.held_out(df["doc_id"])))
+    assert all(len(c) <= (128 << 10) + 1 for c in content.values()) and len(content) == 9
+    size = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for k, c in content.items()}
+    for i, lang, _ in whole:
+        text = next(t for d, t, _ in rows if d == i).encode()
+        sizes = [len(c.compress(text)) for c in size.values()]
+        assert sizes[list(content).index(lang)] <= min(sizes) + 2
+    assert sum(lang == dict((d, k) for d, _, k in rows)[i] for i, lang, _ in whole if i != 500) >= 0.9 * (len(whole) - 1)
+
+
+def test_language_held_out(spark):
+    """Real labels: at least nine in ten held-out rows of the given documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    found = language.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und'")
+    assert found.where("lang_pred = lang").count() >= 0.9 * found.count() > 0
+
+
 def test_rule_counts(docs, empty, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     found = by_id(quality_rules.report(docs, labels), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -353,6 +408,43 @@ def test_sanitise_everywhere(spark):
     assert found[50] == ("removed:0:7", 1) and found[0][1] == 3 and found[100] == ("", 0)
 
 
+def test_pii_reveal_and_long_text(spark):
+    """Terms against all pairs of documents' terms and entities; a text of 5 MB of addresses takes no quadratic time."""
+    import math
+    import time
+
+    rng = random.Random(6)
+    words = [f"name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        mine = rng.sample(words, 5)
+        mail = f" {rng.choice(['ann', 'bob', 'cyd'])}@x.example.com" if i % 3 == 0 else ""
+        rows.append((i, " ".join(mine) + (" zorblax" if "ann" in mail else "") + mail))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    settings = {"support": 2, "disclose": 0.3, "remove": 0.5, "bits": 1.0}
+    told = {r["term"]: r["kind"] for r in pii.reveal(df, **settings).collect()}
+    ents, terms = {}, {}
+    for i, t in rows:
+        base = pii.base_spans(t)
+        for k, a, b in base:
+            ents.setdefault(t[a:b], set()).add(i)
+        for x, _, _ in pii.terms(t, base):
+            terms.setdefault(x, set()).add(i)
+    expected = {}
+    for x, where in terms.items():
+        df_ = sum(x in set(m.lower() for m in pii.TERM.findall(t)) for _, t in rows)
+        for e, has in ents.items():
+            n = len(where & has)
+            p = n / df_
+            if min(n, len(has), df_) >= 2 and p >= 0.3 and math.log2(p * len(rows) / len(has)) >= 1.0:
+                expected[x] = max(expected.get(x, 0), 5 if p >= 0.5 else 4)
+    assert told == expected and "zorblax" in told
+    long = " ".join(f"user{i} person{'abcdefghij'[i % 10]} u{i}@mail.example.com" for i in range(120_000))
+    began = time.time()
+    base = pii.base_spans(long)
+    assert len(base) == 120_000 and sum(1 for _ in pii.terms(long, base)) == 240_000 and time.time() - began < 20
+
+
 def test_ngram_join(docs, empty):
     found = by_id(ngram_join.classes(docs), "n_shingles", "component_id")
     assert found == helpers.components(corpus())
