@@ -3,8 +3,9 @@
 The model is over all characters as they stand, of order `ORDER`. Trusted text is that of documents labelled good and
 not toxic, three quarters of them; counts cover all of it and are summed in shards by n-gram. Joins of the count tables
 with their context totals (by order, sharded by context) give discounted probabilities and back-off weights: a table of
-n-grams that grows with the trusted text. It stays in shards. Documents are packed in blocks; a block sends each shard
-its distinct n-grams of all orders and contexts as one value, and its answers meet it by block. Characters are compared
+n-grams that grows with the trusted text. It stays in shards. Documents are packed in blocks, a table bucketed by
+block; a block sends each shard its distinct n-grams of all orders and contexts as one value, and its answers come to
+where it lies. Characters are compared
 themselves, no hashes of them.
 
 Below single characters the model interpolates with one over `SIZE` classes of folded characters (blanks, digits,
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import buckets_for, expand, squeeze
-from .common import unveiled, veiled, written
+from .common import bucketed, unveiled, veiled, written
 
 ORDER, SIZE = 4, 32
 QUANTILE, LEAST = 0.99, 50
@@ -190,7 +191,7 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """block, doc_ids, size (what the block asks for), data: columns and text of some documents, as Arrow, written. key: the doc_id's column."""
+    """block, doc_ids, size (what the block asks for), data: columns and text of some documents, as Arrow. key: the doc_id's column."""
     kind = docs.schema[key].dataType.simpleString()
     shape = f"block bigint, doc_ids array<{kind}>, size bigint, data binary"
     out = to_arrow_schema(T.StructType.fromDDL(shape))
@@ -223,7 +224,7 @@ def pack(docs: DataFrame, columns: list[str], key: str) -> DataFrame:
         if held:
             yield one()
 
-    return written(docs.select(F.col(key).alias("_key"), *columns, F.col("text").alias("_text")).mapInArrow(run, shape), "blocks", "none")
+    return docs.select(F.col(key).alias("_key"), *columns, F.col("text").alias("_text")).mapInArrow(run, shape)
 
 
 def unpacked(data: bytes) -> pa.Table:
@@ -418,26 +419,22 @@ def score(blocks: DataFrame, grams: DataFrame, letters: list[int], logs: np.ndar
     return blocks.select("block", "data").groupBy("block").cogroup(answers(blocks, table).groupBy("block")).applyInArrow(run, schema)
 
 
-def thresholds(scored: DataFrame, labels: DataFrame) -> tuple[dict, float | None]:
-    """Language to its highest perplexity, and the overall one. scored: doc_id, lang, ppl. Languages are few: 10,000 at most."""
-    held = scored.where("ppl IS NOT NULL").join(trusted(labels).where("part = 0"), "doc_id")
-    rows = held.groupBy("lang").agg(F.percentile_approx("ppl", QUANTILE, 10000).alias("q"), F.count("*").alias("n")).where(f"lang IS NOT NULL AND n >= {LEAST}").orderBy(F.desc("n")).limit(10_000).collect()
-    return {r["lang"]: r["q"] for r in rows}, held.agg(F.percentile_approx("ppl", QUANTILE, 10000)).first()[0]
-
-
-def kept(by_language: dict, overall: float | None) -> F.Column:
+def with_kept(scored: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """scored (with key, lang, ppl) with kept: ppl is at most its language's threshold, or the overall one."""
+    held = scored.where("ppl IS NOT NULL").select(F.col(key).alias("doc_id"), "lang", "ppl").join(trusted(labels).where("part = 0"), "doc_id")
+    quantile = F.percentile_approx("ppl", QUANTILE, 10000)
+    overall = held.agg(quantile).first()[0]
     if overall is None:
-        return F.col("ppl").isNotNull()
-    most = F.lit(overall)
-    for lang, q in by_language.items():
-        most = F.when(F.col("lang") == lang, q).otherwise(most)
-    return F.coalesce(F.col("ppl") <= most, F.lit(False))
+        return scored.withColumn("kept", F.col("ppl").isNotNull())
+    limits = written(held.groupBy("lang").agg(quantile.alias("_most"), F.count("*").alias("n")).where(f"lang IS NOT NULL AND n >= {LEAST}").drop("n"), "thresholds")
+    judged = F.coalesce(F.col("ppl") <= F.coalesce("_most", F.lit(overall)), F.lit(False))
+    return scored.join(limits, "lang", "left").withColumn("kept", judged).drop("_most")
 
 
 def train(docs: DataFrame, labels: DataFrame, grams: DataFrame | None = None) -> tuple[list[int], np.ndarray]:
     """The classes' letters and model. grams: the counts of docs' trusted text, if they are known."""
     letters = alphabet(docs)
-    return letters, model(gram_counts(pack(docs, [], "doc_id"), labels) if grams is None else grams, letters)
+    return letters, model(gram_counts(written(pack(docs, [], "doc_id"), "blocks"), labels) if grams is None else grams, letters)
 
 
 def with_lang(docs: DataFrame) -> DataFrame:
@@ -446,15 +443,16 @@ def with_lang(docs: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, labels: DataFrame, columns: list[str], key: str) -> DataFrame:
     """columns of docs with ppl, written."""
-    blocks = pack(docs, columns, key)
-    grams = gram_counts(blocks, labels)
-    return written(score(blocks, grams, *train(docs, labels, grams), docs, columns), "scored")
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    with bucketed(pack(docs, columns, key), "ngrams", "block", max(1, -(-size // (8 * BLOCK)))) as blocks:
+        grams = gram_counts(blocks, labels)
+        return written(score(blocks, grams, *train(docs, labels, grams), docs, columns), "scored")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, ppl, kept for each row of docs."""
     found = scored(with_lang(docs), labels, ["doc_id", "lang"], "doc_id")
-    return found.withColumn("kept", kept(*thresholds(found, labels)))
+    return with_kept(found, labels).select("doc_id", "lang", "ppl", "kept")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -463,5 +461,4 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     hidden = hidden.withColumn("lang", hidden[f"_in{docs.columns.index('lang')}"] if "lang" in docs.columns else F.lit(None).cast("string"))
     key = f"_in{docs.columns.index('doc_id')}"
     found = scored(hidden, labels, [*names, "lang"], key)
-    limits = thresholds(found.select(F.col(key).alias("doc_id"), "lang", "ppl"), labels)
-    return unveiled(found.where(kept(*limits)), docs)
+    return unveiled(with_kept(found, labels, key).where("kept"), docs)
