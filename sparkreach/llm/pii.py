@@ -17,11 +17,12 @@ ignored by report.
 from __future__ import annotations
 
 import re
-import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,17 +80,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def entity(kind: int, found: str) -> int:
-    """A number for the entity, whatever its spelling."""
+def entity(kind: int, found: str) -> str:
+    """A digest of the entity, whatever its spelling."""
     plain = found.lower() if kind == 0 else found if kind == 1 else OTHER.sub("", found)
-    return zlib.crc32(f"{kind}:{plain}".encode()) | zlib.adler32(plain.encode()) << 32 & 0x7FFFFFFF00000000
+    return xxhash.xxh3_128_hexdigest(f"{kind}:{plain}".encode("utf-8", "surrogatepass"))
 
 
 def terms(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) outside the entities."""
+    ends, starts, last = [], [], -1
+    for x, y in sorted((x, y) for _, x, y in base):  # joined where they overlap
+        if x < last:
+            ends[-1] = last = max(last, y)
+        else:
+            starts.append(x)
+            ends.append(y)
+            last = y
     for m in TERM.finditer(text):
         s, t = m.span()
-        if not any(s < y and x < t for _, x, y in base):
+        k = bisect_right(ends, s)  # the first that ends after s
+        if k == len(ends) or starts[k] >= t:
             yield m.group().lower(), s, t
 
 
@@ -113,7 +123,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return written(map_rows(docs, ["text"], make, "rid bigint, entities array<bigint>, terms array<string>"), "pii")
+    return written(map_rows(docs, ["text"], make, "rid bigint, entities array<string>, terms array<string>"), "pii")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:

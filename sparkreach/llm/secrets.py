@@ -29,8 +29,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this is [0-9a-f]+ of 24 characters or more
 
-IDENTIFIER = re.compile(r"\b(?:client|user|account|key|access)[_-]?(?:id|name)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?([A-Za-z0-9_.@-]{3,64})", re.I | re.A)
-VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,63}[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+IDENTIFIER = re.compile(r"\b(?:client|user|account|key|access)[_-]?(?:id|name)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?([A-Za-z0-9_.@-]{3,})", re.I | re.A)
+VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")  # with a digit
+DIGIT = re.compile(r"[0-9]")
 ENDPOINT = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,}", re.A)
 WORDS = ("passw", "secret", "token", "api")
 
@@ -57,7 +58,7 @@ def weak_parts(text: str) -> list[tuple[int, int, int]]:
     low = text.lower()
     if "id" in low or "name" in low:
         out += [(m.start(1), 3, m.end(1)) for m in IDENTIFIER.finditer(text)]
-    out += [(m.start(), 4, m.end()) for m in VALUE.finditer(text) if entropy(m.group()) >= 3.0 and not m.group().isalpha()]
+    out += [(m.start(), 4, m.end()) for m in VALUE.finditer(text) if DIGIT.search(m.group()) and entropy(m.group()) >= 3.0]
     if "://" in text:
         out += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     return out
