@@ -100,10 +100,11 @@ def buckets_for(total: int) -> int:
     return max(1, math.ceil(math.log2(max(1, total / PER_BUCKET))))
 
 
-def cut(keys: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys: their places' bounds by bucket, and their bytes within it."""
-    bounds = np.searchsorted(keys >> np.uint64(64 - k), np.arange((1 << k) + 1, dtype=np.uint64))
-    return bounds, ((keys << np.uint64(k)) >> np.uint64(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width]
+def cut(keys: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys: the buckets that have some, their places' bounds, and their bytes within them."""
+    at = keys >> np.uint64(64 - k)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    return at[first].astype(np.int64), np.append(first, len(at)), ((keys << np.uint64(k)) >> np.uint64(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width]
 
 
 def count_keys(blocks: DataFrame, keys: Callable[[dict], np.ndarray], total: int, width: int) -> DataFrame:
@@ -117,15 +118,15 @@ def count_keys(blocks: DataFrame, keys: Callable[[dict], np.ndarray], total: int
         for b in batches:
             for row in b.to_pylist():
                 found, n = np.unique(keys(row), return_counts=True)
-                bounds, raw = cut(found, k, width)
+                at, bounds, raw = cut(found, k, width)
                 n = np.minimum(n, 255).astype(np.uint8)
-                at = [i for i in range(1 << k) if bounds[i + 1] > bounds[i]]
+                some = list(zip(bounds[:-1], bounds[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(at, pa.int32()),
                         pa.array([row["block"]] * len(at), pa.int64()),
-                        pa.array([raw[bounds[i] : bounds[i + 1]].tobytes() for i in at], pa.binary()),
-                        pa.array([squeeze(n[bounds[i] : bounds[i + 1]].tobytes()) for i in at], pa.binary()),
+                        pa.array([raw[a:z].tobytes() for a, z in some], pa.binary()),
+                        pa.array([squeeze(n[a:z].tobytes()) for a, z in some], pa.binary()),
                     ],
                     names=["bucket", "block", "keys", "n"],
                 )

@@ -31,7 +31,7 @@ RULES = {
     "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.10, 0.05, 8),
     "loners": ("n_loners / greatest(n_words, 1)", 0.05, 0.05, 8),
 }
-MAX_STRATA = 10_000
+MAX_STRATA = 10_000  # of which cutoffs are broadcast; beyond, they are joined
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -84,8 +84,11 @@ def binomial_tail(k, n, p: float):
     return F.exp(F.aggregate(steps, start, step, lambda a: a["sum"]))
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, max_risk: float, error: float) -> DataFrame:
-    """lang, rule, cutoff, n, k, tail of the lowest safe cutoffs."""
+def cutoffs(counted: DataFrame, labels: DataFrame, max_risk: float, error: float, shares: dict[str, float] | None = None) -> DataFrame:
+    """lang, rule, cutoff, n, k, tail of the lowest safe cutoffs. shares: of max_risk for each rule, even if not given; a rule of no share has no cutoffs.
+
+    With risk r a rule and t tests, a cutoff that rejects no good document needs log(t / error) / -log(1 - r) of them.
+    """
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
     held = counted.where(~F.col("base_failed")).join(good, "doc_id")
     ratios = F.array(*(F.struct(F.lit(name).alias("rule"), F.floor((F.expr(x) - low) / step).alias("b"), F.lit(size).alias("size")) for name, (x, low, step, size) in RULES.items()))
@@ -97,21 +100,23 @@ def cutoffs(counted: DataFrame, labels: DataFrame, max_risk: float, error: float
     levels = levels.withColumn("tests", F.lit(sum(x[3] for x in RULES.values()) * max(1, levels.select("lang").distinct().count())))
     grid = levels.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"))
     grid = grid.withColumn("k", F.expr("aggregate(filter(bins, x -> x.b >= at), 0L, (a, x) -> a + x.m)"))
-    risk = max_risk / len(RULES)
-    grid = grid.withColumn("tail", F.when(F.col("k") > F.col("n") * risk, 1.0).otherwise(binomial_tail(F.col("k"), F.col("n"), risk)))
+    tail = F.lit(1.0)
+    for name in RULES:
+        risk = max_risk * (shares.get(name, 0.0) if shares else 1 / len(RULES))
+        if risk > 0:
+            tail = F.when(F.col("rule") != name, tail).when(F.col("k") > F.col("n") * risk, 1.0).otherwise(binomial_tail(F.col("k"), F.col("n"), risk))
+    grid = grid.withColumn("tail", tail)
     value = F.expr("CASE rule " + " ".join(f"WHEN '{name}' THEN {low}D + {step}D * at" for name, (_, low, step, _) in RULES.items()) + " END")
     safe = grid.where(F.col("tail") <= error / F.col("tests")).groupBy("lang", "rule").agg(F.min_by(F.struct(F.col("at"), F.col("n"), F.col("k"), F.col("tail")), "at").alias("best"))
     return safe.select("lang", "rule", F.col("best.at").alias("at"), F.col("best.n").alias("n"), F.col("best.k").alias("k"), F.col("best.tail").alias("tail")).withColumn("cutoff", value)
 
 
-def judge(docs: DataFrame, labels: DataFrame, max_risk: float = 0.02, error: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, max_risk: float = 0.02, error: float = 0.05, shares: dict[str, float] | None = None) -> DataFrame:
     """counts of each row with kept and failed (names of the rules above their cutoff)."""
     counted = written(counts(docs), "counts")
-    safe = written(cutoffs(counted, labels, max_risk, error), "cutoffs")
+    safe = written(cutoffs(counted, labels, max_risk, error, shares), "cutoffs")
     by_stratum = safe.groupBy(F.col("lang").alias("stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "at"))).alias("at"))
-    if by_stratum.count() > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    found = counted.join(F.broadcast(by_stratum), F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    found = counted.join(F.broadcast(by_stratum) if by_stratum.count() <= MAX_STRATA else by_stratum, F.col("lang").eqNullSafe(F.col("stratum")), "left")
     failed = F.array_compact(F.array(*(F.when(F.floor((F.expr(x) - low) / step) >= F.col("at")[name], F.lit(name)) for name, (x, low, step, _) in RULES.items())))
     return found.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("stratum", "at")
 
