@@ -40,7 +40,7 @@ from .common import bucketed, unveiled, veiled, written
 ORDER, SIZE = 4, 32
 QUANTILE, LEAST = 0.99, 50
 CHUNK = 1 << 20  # characters counted at a time
-BLOCK = 2 << 20  # characters of a block
+BLOCK = 3 << 19  # characters of a block
 BITS = 21  # of a character's code: its code point and one; 0 stands for none
 LOW = (1 << BITS) - 1
 HELD = 1 << 18  # rows of the model sent as one

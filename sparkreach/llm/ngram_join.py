@@ -37,12 +37,13 @@ FREQUENT, SMALL = 32, 200
 ROUNDS, CENTRES = 3, 4
 CELL, GRID = 32, 64
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+REMEMBERED = 1 << 17
 KNOWN: dict[bytes, int] = {}
 
 
 def numbers(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, remembered (a bounded number of them) in the process."""
-    if len(KNOWN) > 1_000_000:
+    """64-bit hashes of words, remembered (a bounded number of them) in the process, which outlives its tasks."""
+    if len(KNOWN) > REMEMBERED:
         KNOWN.clear()
     for w in set(words).difference(KNOWN):
         KNOWN[w] = xxhash.xxh64_intdigest(w)

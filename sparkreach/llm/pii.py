@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -163,31 +163,34 @@ def reveal(docs: DataFrame, support: int, disclose: float, remove: float, bits:
     return written(told.groupBy("term").agg(F.max(F.when(F.col("p") >= remove, 5).otherwise(4)).alias("kind")), "told")
 
 
-def marked(docs: DataFrame, carry: list[str], told: DataFrame) -> DataFrame:
-    """carry's columns, _text, and _added: the places of told terms in each document. A pass over the texts for each block of terms, no shuffle."""
+def marked(docs: DataFrame, carry: list[str], told: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """What finish makes of carry's columns, texts and the places of told terms in each; schema is its. A pass over the texts for each block of terms, no shuffle."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     part = "array<struct<kind:int,start:int,end:int>>"
     out = docs.select(*carry, F.col("text").alias("_text"), F.array().cast(part).alias("_added"))
     shape = "".join(f"`{c}` {kinds[c]}, " for c in carry) + f"_text string, _added {part}"
-    blocks = -(-told.count() // PART)
-    for i in range(blocks):
-        got = told.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).toArrow()
+    n = max(1, -(-told.count() // PART))
+    for i in range(n):
+        got = told.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i).toArrow()
         held = docs.sparkSession.sparkContext.broadcast(dict(zip(got.column("term").to_pylist(), got.column("kind").to_pylist(), strict=True)))
-        out = map_rows(out, [*carry, "_text", "_added"], adder(held), shape)
+        last = i == n - 1
+        out = map_rows(out, [*carry, "_text", "_added"], adder(held, finish if last else None), schema if last else shape)
+        if not last:  # so that a task has one of these at a time
+            out = written(out, "marked")
     return out
 
 
-def adder(held):
+def adder(held, finish: Callable | None):
     def make():
         told = held.value
 
         def run(*columns):
             added = []
             for t, a in zip(columns[-2], columns[-1], strict=True):
-                if t and not told.keys().isdisjoint(map(str.lower, set(TERM.findall(t)))):
+                if t and told and not told.keys().isdisjoint(map(str.lower, set(TERM.findall(t)))):
                     a = a + [{"kind": told[x], "start": s, "end": e} for x, s, e in terms(t, base_spans(t)) if x in told]
                 added.append(a)
-            return [*columns[:-1], added]
+            return finish(*columns[:-1], added) if finish else [*columns[:-1], added]
 
         return run
 
@@ -201,17 +204,14 @@ def report(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def make():
-        def run(doc_ids, texts, added):
-            base = [base_spans(t or "") for t in texts]
-            counts = [[sum(k == n for k, _, _ in b) for b in base] for n in range(4)]
-            spans = [listed(sorted([*b, *((x["kind"], x["start"], x["end"]) for x in a)])) for b, a in zip(base, added, strict=True)]
-            return [doc_ids, *counts, [sha256(listed(b)) for b in base], spans, [len(a) for a in added]]
-
-        return run
+    def finish(doc_ids, texts, added):
+        base = [base_spans(t or "") for t in texts]
+        counts = [[sum(k == n for k, _, _ in b) for b in base] for n in range(4)]
+        spans = [listed(sorted([*b, *((x["kind"], x["start"], x["end"]) for x in a)])) for b, a in zip(base, added, strict=True)]
+        return [doc_ids, *counts, [sha256(listed(b)) for b in base], spans, [len(a) for a in added]]
 
-    found = marked(docs, ["doc_id"], reveal(docs, **SETTINGS | settings))
-    return map_rows(found, found.columns, make, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_terms bigint")
+    schema = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_terms bigint"
+    return marked(docs, ["doc_id"], reveal(docs, **SETTINGS | settings), finish, schema)
 
 
 def rewrite(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
@@ -234,17 +234,14 @@ def sanitise(docs: DataFrame, **settings) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in hidden.schema}
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    found = marked(hidden, names, reveal(hidden, **SETTINGS | settings))
-
-    def make():
-        def run(*columns):
-            got = list(columns[:-2])
-            spans = [base_spans(t or "") + [(x["kind"], x["start"], x["end"]) for x in a] for t, a in zip(columns[-2], columns[-1], strict=True)]
-            got[text_at] = [rewrite(t, s) for t, s in zip(got[text_at], spans, strict=True)]
-            if chars_at is not None:
-                got[chars_at] = [len(t) if s else n for t, s, n in zip(got[text_at], spans, got[chars_at], strict=True)]
-            return got
 
-        return run
+    def finish(*columns):
+        got = list(columns[:-2])
+        spans = [base_spans(t or "") + [(x["kind"], x["start"], x["end"]) for x in a] for t, a in zip(columns[-2], columns[-1], strict=True)]
+        got[text_at] = [rewrite(t, s) for t, s in zip(got[text_at], spans, strict=True)]
+        if chars_at is not None:
+            got[chars_at] = [len(t) if s else n for t, s, n in zip(got[text_at], spans, got[chars_at], strict=True)]
+        return got
 
-    return unveiled(map_rows(found, found.columns, make, ", ".join(f"{c} {kinds[c]}" for c in names)), docs)
+    found = marked(hidden, names, reveal(hidden, **SETTINGS | settings), finish, ", ".join(f"{c} {kinds[c]}" for c in names))
+    return unveiled(found, docs)
