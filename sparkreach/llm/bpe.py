@@ -43,8 +43,7 @@ from .common import bucketed, sha256, written
 BLOCK, BUCKET = 6 << 20, 4 << 20  # bytes of text
 SLICE = 4096  # blocks that share buckets
 LONG = 255
-SHARDS = 1 << 14
-END = 1 << 21  # in a fold, ids are above it and ranks below
+SHARDS = 16381  # a prime
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -86,32 +85,32 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def end_of(ranks: dict[bytes, int]) -> int:
+    """A power of two above all ids. In a fold, ids are above it and ranks below."""
+    return 1 << max(ranks.values(), default=0).bit_length()
+
+
 def rank_literal(ranks: dict[bytes, int]) -> F.Column:
     """array<map<pair, id>>, by the pair's number modulo SHARDS; folded to a literal when the plan is made. Needs Spark's default, ANSI casts."""
     shards: list[list[str]] = [[] for _ in range(SHARDS)]
+    end = end_of(ranks)
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                pair = a * END + b
-                shards[place_of(pair)].append(f'"{pair}":{rank}')
+                shards[(a * end + b) % SHARDS].append(f'"{a * end + b}":{rank}')
     # JSON has no keys but strings
     return F.from_json(F.lit("[" + ",".join("{" + ",".join(x) + "}" for x in shards) + "]"), "array<map<string,int>>").cast("array<map<bigint,int>>")
 
 
-def place_of(pair):
-    """A pair's shard. For numbers and columns."""
-    return pair % (SHARDS - 3)  # a prime
-
-
-def started(words: list[bytes], byte_ids: np.ndarray, pair_ranks: np.ndarray) -> pa.ListArray:
-    """Words as folds take them: END, null, then the id (above END) of each byte with its rank with the next one between, null, END."""
+def started(words: list[bytes], byte_ids: np.ndarray, pair_ranks: np.ndarray, end: int) -> pa.ListArray:
+    """Words as folds take them: end, null, then the id (above end) of each byte with its rank with the next one between, null, end."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(2 * sizes + 3)
     every = np.frombuffer(b"".join(words), np.uint8)
     at = np.arange(len(every)) * 2 + np.repeat(np.arange(len(words)) * 3, sizes) + 2
-    flat, known = np.full(int(ends[-1]) if len(words) else 0, END, np.int32), np.ones(int(ends[-1]) if len(words) else 0, bool)
-    flat[at] = byte_ids[every] + END + 1
+    flat, known = np.full(int(ends[-1]) if len(words) else 0, end, np.int32), np.ones(int(ends[-1]) if len(words) else 0, bool)
+    flat[at] = byte_ids[every] + end + 1
     ranks = np.append(pair_ranks[every[:-1], every[1:]], -1) if len(every) else np.zeros(0, np.int32)
     ranks[np.cumsum(sizes) - 1] = -1
     flat[at + 1], known[at + 1] = ranks, ranks >= 0
@@ -119,25 +118,25 @@ def started(words: list[bytes], byte_ids: np.ndarray, pair_ranks: np.ndarray) ->
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, mask=~known))
 
 
-def fold(word: F.Column, table: F.Column) -> F.Column:
+def fold(word: F.Column, table: F.Column, end: int) -> F.Column:
     """ids of a word of two bytes or more, as started makes it."""
 
     def rank(a: F.Column, b: F.Column) -> F.Column:
-        pair = a.cast("bigint") * END + b
-        return F.try_element_at(F.get(table, place_of(pair).cast("int")), pair)
+        pair = a.cast("bigint") * end + b
+        return F.try_element_at(F.get(table, (pair % SHARDS).cast("int")), pair)
 
     def step(acc: F.Column, _: F.Column) -> F.Column:
         def merge(best: F.Column) -> F.Column:
             i = F.array_position(acc, best).cast("int")  # of the lowest rank, the leftmost; its pair stands around it
-            before, after = F.element_at(acc, i - 3) - (END + 1), F.element_at(acc, i + 3) - (END + 1)  # -1 at the ends: no pair
-            middle = F.array(rank(before, best), best + (END + 1), rank(best, after))
+            before, after = F.element_at(acc, i - 3) - (end + 1), F.element_at(acc, i + 3) - (end + 1)  # -1 at the ends: no pair
+            middle = F.array(rank(before, best), best + (end + 1), rank(best, after))
             return F.flatten(F.array(F.slice(acc, F.lit(1), i - 3), middle, F.slice(acc, i + 3, F.size(acc))))
 
         # a transform over an array of one binds the lowest rank, so that it is found once
-        return F.element_at(F.transform(F.array(F.array_min(acc)), lambda x: F.when(x < END, merge(x)).otherwise(acc)), 1)
+        return F.element_at(F.transform(F.array(F.array_min(acc)), lambda x: F.when(x < end, merge(x)).otherwise(acc)), 1)
 
     merged = F.aggregate(F.sequence(F.lit(3), F.size(word), F.lit(2)), word, step)
-    return F.transform(F.filter(merged, lambda x: x > END), lambda x: x - (END + 1))
+    return F.transform(F.filter(merged, lambda x: x > end), lambda x: x - (end + 1))
 
 
 # ---- blocks
@@ -261,6 +260,7 @@ def short_plans(spark: SparkSession) -> Iterator[None]:
 
 def dictionary(sent: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
     """Written: blocks (block, bucket, and the ranks of its words in the bucket) and ids of the bucket's distinct words, a row for each bucket of a slice."""
+    end = end_of(vocab)
     byte_ids = np.array([vocab[bytes([i])] for i in range(256)], np.int32)
     pair_ranks = np.array([[vocab.get(bytes([i, j]), -1) for j in range(256)] for i in range(256)], np.int32)
     shape = "blocks array<struct<block:bigint,bucket:int,n:int,ranks:binary>>, words array<array<int>>"
@@ -273,13 +273,14 @@ def dictionary(sent: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
         given = rows.select(["block", "bucket", "n"]).to_pylist()
         for x, own in zip(given, held, strict=True):
             x["ranks"] = planes(np.diff(np.fromiter(map(place.__getitem__, own), np.int64, len(own)), prepend=0))
-        every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), started(words, byte_ids, pair_ranks))
+        every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), started(words, byte_ids, pair_ranks, end))
         return pa.table([pa.array([given], out.types[0]), every.cast(out.types[1])], schema=out)
 
     rows = sent.groupBy("slice", "bucket").applyInArrow(ranked, shape)
     with short_plans(sent.sparkSession):
-        table = rank_literal(vocab)
-        return written(rows.select("blocks", F.transform("words", lambda w: fold(w, table)).alias("ids")), "dictionary")
+        # bound by a transform over an array of one, so that the plan has the literal once
+        ids = F.element_at(F.transform(F.array(rank_literal(vocab)), lambda table: F.transform("words", lambda w: fold(w, table, end))), 1)
+        return written(rows.select("blocks", ids.alias("ids")), "dictionary")
 
 
 def answers(told: DataFrame) -> DataFrame:
