@@ -73,8 +73,8 @@ def undefined(referenced: DataFrame, defined: DataFrame, overridden: DataFrame)
 
 
 def argument_lists(supply: DataFrame) -> DataFrame:
-    """site, arg_no, values (sorted)."""
-    return supply.groupBy("site", "arg_no").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    """site, arg_no, values (sorted, repeated ones kept)."""
+    return supply.groupBy("site", "arg_no").agg(F.sort_array(F.collect_list("value")).alias("values"))
 
 
 def multimap(edges: DataFrame) -> DataFrame:

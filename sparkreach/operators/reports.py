@@ -48,22 +48,46 @@ def dot(graph: DataFrame) -> DataFrame:
 
 
 def steps(traces: DataFrame, lines: DataFrame) -> DataFrame:
-    """target, pos, nesting, file, line, col: located steps of traces, numbered again. traces: target, pos, addr; lines: addr, file, line, col."""
-    from pyspark.sql import Window
-
-    placed = traces.join(lines, "addr").where("pos % 2 = 1 OR pos = 0")
-    return placed.select("target", "pos", F.row_number().over(Window.partitionBy("target").orderBy("pos")).alias("nesting"), "file", "line", "col")
+    """target, pos, addr, is_last, nesting, name, file, line, col, end_line, end_col: located call sites of traces and their last step, numbered again.
 
+    traces: target, pos, addr (callers at even places, their call sites at odd ones); lines: addr, name, file, line, col, end_line, end_col.
+    """
+    from pyspark.sql import Window
 
-def sarif(results: DataFrame, flows: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
-    """cve_id, result: a SARIF result object as JSON. results: cve_id, classification, justification; flows: cve_id, pos, nesting, file, line, col."""
-    where = F.struct(F.struct(F.struct(map_prefix(F.col("file"), prefixes).alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation"))
-    flow = flows.groupBy("cve_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(where.alias("location"), F.col("nesting").alias("nestingLevel")).alias("step")))).alias("steps"))
-    last = F.col("steps")[F.size("steps") - 1]["step"]["location"]
-    locations = F.when(F.col("steps").isNotNull(), F.array(last))
-    code_flows = F.when(F.col("steps").isNotNull(), F.array(F.struct(F.array(F.struct(F.transform("steps", lambda x: x["step"]).alias("locations"))).alias("threadFlows"))))
-    body = F.struct(F.col("cve_id").alias("ruleId"), F.lit("error").alias("level"), F.struct(F.concat_ws(": ", F.upper("classification"), "justification").alias("text")).alias("message"), locations.alias("locations"), code_flows.alias("codeFlows"))
-    return results.join(flow, "cve_id", "left").select("cve_id", F.to_json(body).alias("result"))
+    last = F.max("pos").over(Window.partitionBy("target"))
+    kept = traces.withColumn("is_last", F.col("pos") == last).where("pos % 2 = 1 OR is_last")
+    number = F.row_number().over(Window.partitionBy("target").orderBy("pos"))
+    return kept.join(lines, "addr").select("target", "pos", "addr", "is_last", number.alias("nesting"), "name", "file", "line", "col", "end_line", "end_col")
+
+
+def closest(traces: DataFrame, lines: DataFrame, inside: bool) -> DataFrame:
+    """target, pos, addr, is_last, name, file, line, end_line: the last located step of each trace; with inside, of those in relative files."""
+    last = traces.groupBy("target").agg(F.max("pos").alias("last"))
+    placed = traces.join(lines, "addr")
+    placed = placed.where(~F.col("file").startswith("/")) if inside else placed
+    best = placed.groupBy("target").agg(F.max_by(F.struct("pos", "addr", "name", "file", "line", "end_line"), "pos").alias("s")).join(last, "target")
+    return best.select("target", "s.pos", "s.addr", (F.col("s.pos") == F.col("last")).alias("is_last"), "s.name", "s.file", "s.line", "s.end_line")
+
+
+def sarif(results: DataFrame, flows: DataFrame, traces: DataFrame, lines: DataFrame, prefixes: list[tuple[str, str]] | None = None) -> DataFrame:
+    """cve_id, result: a SARIF result object as JSON for each vulnerability with a located trace. results: cve_id, classification, justification.
+
+    flows: as from steps, with target the cve_id. The result's location is the closest step in a relative file, else the last located one;
+    it is left out where that step is not among the flow's.
+    """
+    path = map_prefix(F.col("file"), prefixes or [])
+    uri = F.when(path.startswith("/"), F.concat(F.lit("file://"), path)).otherwise(path)
+    region = F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn"), F.col("end_line").alias("endLine"), F.col("end_col").alias("endColumn"))
+    text = F.concat(F.when(F.col("is_last"), "Vulnerable function ").otherwise("Call site in "), "name", F.lit(" (0x"), F.lower(F.hex("addr")), F.lit(")"))
+    where = F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"), F.struct(text.alias("text")).alias("message"))
+    flow = flows.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(where.alias("location"), F.col("nesting").alias("nestingLevel")).alias("step")))).alias("steps"))
+    near = closest(traces, lines, True).select("target", F.col("pos").alias("inside")).join(closest(traces, lines, False).select("target", F.col("pos").alias("any")), "target", "right").select("target", F.coalesce("inside", "any").alias("at"))
+    locations = F.transform(F.filter("steps", lambda x: x["pos"] == F.col("at")), lambda x: x["step"]["location"])
+    code_flows = F.array(F.struct(F.array(F.struct(F.transform("steps", lambda x: x["step"]).alias("locations"))).alias("threadFlows")))
+    message = F.concat(F.lit("["), "cve_id", F.lit("] "), F.upper("classification"), F.lit("\n"), "justification", F.lit("."))
+    body = F.struct(F.col("cve_id").alias("ruleId"), F.struct(message.alias("text")).alias("message"), F.when(F.size(locations) > 0, locations).alias("locations"), code_flows.alias("codeFlows"))
+    found = results.join(flow.withColumnRenamed("target", "cve_id"), "cve_id").join(near.withColumnRenamed("target", "cve_id"), "cve_id")
+    return found.select("cve_id", F.to_json(body).alias("result"))
 
 
 def sarif_log(results: DataFrame) -> DataFrame:
@@ -73,12 +97,15 @@ def sarif_log(results: DataFrame) -> DataFrame:
     return every.select(F.concat(F.lit(head), "r", F.lit("]}]}")).alias("text"))
 
 
-def code_quality(flows: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
-    """fingerprint, row: code-quality objects as JSON, one a fingerprint."""
+def code_quality(results: DataFrame, traces: DataFrame, lines: DataFrame, inside: bool = False) -> DataFrame:
+    """cve_id, fingerprint, row: a code-quality object as JSON for the closest located step of each trace. results: cve_id, classification, justification, function."""
+    found = results.join(closest(traces, lines, inside).withColumnRenamed("target", "cve_id"), "cve_id")
     mark = fingerprint("trace-step", F.col("cve_id"), F.col("addr"), F.col("pos"))
-    body = F.struct(F.concat(F.lit("step to "), F.col("cve_id")).alias("description"), F.col("cve_id").alias("check_name"), mark.alias("fingerprint"), F.lit(SEVERITY).alias("severity"), F.struct(map_prefix(F.col("file"), prefixes).alias("path"), F.struct(F.col("line").alias("begin")).alias("lines")).alias("location"))
-    rows = flows.select(mark.alias("fingerprint"), F.to_json(body).alias("row"), "pos")
-    return rows.groupBy("fingerprint").agg(F.min_by("row", F.struct("pos", "row")).alias("row"))
+    at = F.concat(F.lit("at address 0x"), F.lower(F.hex("addr")))
+    step = F.when(F.col("is_last"), F.concat(F.lit("reachable "), at)).otherwise(F.concat(F.lit("reachable from call site in "), "name", F.lit(" "), at))
+    text = F.concat(F.lit("["), "cve_id", F.lit("] "), F.upper("classification"), F.lit(" - Vulnerable function "), "function", F.lit(" "), step, F.lit(". "), "justification", F.lit("."))
+    body = F.struct(text.alias("description"), mark.alias("fingerprint"), F.lit(SEVERITY).alias("severity"), F.struct(F.col("file").alias("path"), F.struct(F.col("line").alias("begin"), F.col("end_line").alias("end")).alias("lines")).alias("location"))
+    return found.select("cve_id", mark.alias("fingerprint"), F.to_json(body).alias("row"))
 
 
 def results_json(verdicts: DataFrame) -> DataFrame:

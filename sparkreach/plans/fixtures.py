@@ -25,6 +25,12 @@ VIEWS = {
     "fx_store": "SELECT DISTINCT fn AS dst, tgt AS src FROM fx_line WHERE q = 1 AND rf = 'A'",
     "fx_instr": "SELECT fn, ok * 10 + ln AS pos, CASE ln WHEN 1 THEN 'store' WHEN 2 THEN 'load' WHEN 3 THEN 'phi' WHEN 4 THEN 'call' WHEN 5 THEN 'ret' WHEN 6 THEN 'bitcast' ELSE 'atomicrmw' END AS opcode, ok AS dst, tgt AS a, CASE WHEN sk % 4 <> 0 THEN sk END AS b FROM fx_line",
     "fx_model_call": "SELECT concat(CAST(ok AS STRING), '_', CAST(ln AS STRING)) AS site, CASE fn % 6 WHEN 0 THEN 'malloc' WHEN 1 THEN 'realloc' WHEN 2 THEN 'memcpy' WHEN 3 THEN 'pthread_create' WHEN 4 THEN 'qsort' ELSE 'puts' END AS name, CAST(tgt AS STRING) AS a, CAST(sk AS STRING) AS b, concat('f', CAST(fn AS STRING)) AS c, concat('g', CAST(fn AS STRING)) AS d FROM fx_line",
+    "an_site": "SELECT CAST(fn AS STRING) AS fn, concat(CAST(fn AS STRING), ':', CAST(ok AS STRING), '_', CAST(ln AS STRING)) AS site, q, CAST(tgt AS STRING) AS tgt, sk, tax FROM fx_line",
+    "an_name": "SELECT CAST(sym AS STRING) AS node, CASE WHEN sym % 501 = 5 THEN 'pthread_create' ELSE fname END AS name FROM fx_fn",
+    "an_call": "SELECT site, CASE WHEN q <= 2 THEN tgt ELSE site END AS callee FROM an_site WHERE q <= 2 OR (q = 3 AND sk % 10 = 0)",
+    "an_edge": "SELECT 'Store' AS rel, site AS dst, tgt AS src FROM an_site WHERE q = 4 AND tax = 0.08 UNION ALL SELECT 'Store' AS rel, tgt AS dst, CAST(sk AS STRING) AS src FROM an_site WHERE q = 4 AND tax = 0.07 UNION ALL SELECT 'Assign' AS rel, site AS dst, tgt AS src FROM an_site WHERE q = 4 AND tax = 0.06",
+    "fx_step": "SELECT CAST(caller AS STRING) AS target, CAST(row_number() OVER (PARTITION BY caller ORDER BY ok, ln) - 1 AS BIGINT) AS pos, ok * 10 + ln AS addr FROM fx_call_direct",
+    "fx_place": "SELECT DISTINCT o_orderkey * 10 + o_custkey % 7 AS addr, concat('fn_', CAST(o_custkey AS STRING)) AS name, concat(CASE WHEN o_custkey % 3 = 0 THEN '/usr/' ELSE 'src/' END, CAST(o_custkey % 10 AS STRING), '.c') AS file, o_custkey AS line, o_orderkey % 80 AS col, o_custkey + 1 AS end_line, o_orderkey % 80 + 2 AS end_col FROM orders",
     "fx_load": "SELECT DISTINCT tgt AS dst, fn AS src FROM fx_line WHERE q = 3 AND rf = 'A' AND sk % 3 = 0",
 }
 

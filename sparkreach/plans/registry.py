@@ -127,7 +127,7 @@ def undefined_functions(spark, sf_dir):
     return facts.undefined(d.select(F.col("callee").alias("node")), d.select(F.col("caller").alias("node")), fx(spark, sf_dir, "fx_addr_ref").select(F.col("v").alias("node")))
 
 
-@query("SELECT caller AS site, ln AS arg_no, array_to_string(list_sort(list(DISTINCT CAST(callee AS VARCHAR))), ',') AS vals FROM fx_call_direct GROUP BY 1, 2", "fx_call_direct")
+@query("SELECT caller AS site, ln AS arg_no, array_to_string(list_sort(list(CAST(callee AS VARCHAR))), ',') AS vals FROM fx_call_direct GROUP BY 1, 2", "fx_call_direct")
 def argument_lists(spark, sf_dir):
     d = fx(spark, sf_dir, "fx_call_direct").select(F.col("caller").alias("site"), F.col("ln").alias("arg_no"), F.col("callee").cast("string").alias("value"))
     return facts.argument_lists(d).select("site", "arg_no", F.array_join("values", ",").alias("vals"))
@@ -333,7 +333,7 @@ def interval_union(spark, sf_dir):
 
 @query("SELECT DISTINCT d.caller AS func, d.ok * 10 + d.ln AS addr, d.callee FROM fx_call_direct d JOIN fx_fn f ON f.sym = d.caller", "fx_call_direct", "fx_fn")
 def callsite_table(spark, sf_dir):
-    d = fx(spark, sf_dir, "fx_call_direct").withColumn("site", F.struct("ok", "ln"))
+    d = fx(spark, sf_dir, "fx_call_direct").withColumn("site", F.struct("caller", "ok", "ln"))
     at = d.select("site", F.expr("ok * 10 + ln").alias("addr"))
     inside = d.select("site", F.col("caller").alias("func")).join(fx(spark, sf_dir, "fx_fn").select(F.col("sym").alias("func")), "func")
     return reports.callsites(d.select("site", "callee"), at, inside)
@@ -359,14 +359,6 @@ def dedup_first(spark, sf_dir):
     return first.select("callee", "caller", names.fingerprint("trace-step", F.col("callee"), F.col("caller")).alias("fingerprint"))
 
 
-@query(None)
-def pts_andersen(spark, sf_dir):
-    of = lambda n: fx(spark, sf_dir, n)
-    a, s, x = of("fx_assign"), of("fx_store"), of("fx_load")
-    own = fixpoint.union([t.select(F.col("src").alias("node")) for t in (a, s, x)]).distinct()
-    return andersen.points_to(spark, own.select("node", F.col("node").alias("obj")), a, x, s)
-
-
 # ---- lifting, models, summaries
 
 
@@ -409,3 +401,6 @@ def reach_two_phase(spark, sf_dir):
     symbols = of("fx_fn").select(F.col("sym").alias("node"))
     inside = symbols.select(F.col("node").alias("fn"), (F.lit(1 << 40) + F.col("node")).alias("local"))
     return summaries.solve(assign.unionByName(calls).distinct(), symbols, inside, of("fx_seed").select(F.col("sym").alias("node")))[1]
+
+
+from . import analysis_queries, source_queries  # noqa: E402, F401  (they register their queries)

@@ -61,9 +61,9 @@ def read_gzip_sniffed(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_by_function(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A relation of all function folders 0x... under root, with the folder as `fn`."""
-    rows = read_relation(spark, f"{root}/0x*/{name}.facts", name)
-    return rows.withColumn("fn", F.regexp_extract(F.input_file_name(), r"/(0x[0-9a-fA-F]+)/[^/]*$", 1))
+    """A relation of all function folders 0x... (or as write_by_function makes them) under root, with the folder as `fn`."""
+    rows = read_relation(spark, f"{root}/*0x*/*{name}.facts", name)
+    return rows.withColumn("fn", F.regexp_extract(F.input_file_name(), r"/(?:fn=)?(0x[0-9a-fA-F]+)/", 1))
 
 
 def function_names(spark: SparkSession, root: str) -> DataFrame:
@@ -97,8 +97,9 @@ def read_vulnerabilities(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*((F.coalesce(rows[f"`{c}`"], F.array().cast("array<string>")) if c in lists else rows[f"`{c}`"]).alias(c.replace("-", "_")) for c in rows.columns))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(RESULT).json(path)
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Results of files that hold one JSON value each, or (lines) one a line."""
+    return spark.read.option("multiLine", not lines).schema(RESULT).json(path)
 
 
 def read_call_graph(spark: SparkSession, path: str) -> DataFrame:
@@ -130,9 +131,9 @@ def read_dot(spark: SparkSession, path: str) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("a"), F.col("name").alias("src")), "a").join(nodes.select(F.col("id").alias("b"), F.col("name").alias("dst")), "b").select("src", "dst")
 
 
-def read_file_table(spark: SparkSession, path: str) -> DataFrame:
-    """file, component, version of a JSON map from file to software component."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<component:string,version:string>>")).alias("file", "c"))
+def read_file_table(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """file, component, version of a JSON map from file to software component; lines: one map a line."""
+    rows = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", "map<string,struct<component:string,version:string>>")).alias("file", "c"))
     return rows.select("file", "c.component", "c.version")
 
 
@@ -167,5 +168,10 @@ def ports(headers: DataFrame, packages: DataFrame) -> DataFrame:
     return headers.join(best, "file", "left").select("file", "port")
 
 
+def write_by_function(rows: DataFrame, root: str, name: str) -> None:
+    """rows (fn, value: a line) in a folder a function, root/fn=<fn>/relation=<name>.facts, so that read_by_function finds them. Rows of a function come together first."""
+    rows.select("fn", F.lit(f"{name}.facts").alias("relation"), "value").repartition("fn").write.partitionBy("fn", "relation").mode("append").text(root)
+
+
 def write_relation(rows: DataFrame, path: str) -> None:
     rows.write.option("sep", "\t").option("quote", "").csv(path)
