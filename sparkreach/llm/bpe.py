@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import expand, squeeze
-from .common import bucketed, sha256, written
+from .common import bucketed, scratch, sha256, written
 
 BLOCK, BUCKET = 6 << 20, 4 << 20  # bytes of text
 SLICE = 4096  # blocks that share buckets
@@ -342,11 +342,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, finish: Callable[[list, li
         return pa.table([pa.array(c, t) for c, t in zip(got, out.types, strict=True)], schema=out)
 
     table = blocks_table(docs, ranks, pattern, max(1, -(-size // (n_slices * BUCKET))))
-    with bucketed(table, "bpe", "block", max(1, -(-size // (4 * BLOCK)))) as blocks:
+    with scratch(docs.sparkSession), bucketed(table, "bpe", "block", max(1, -(-size // (4 * BLOCK)))) as blocks:
         sent = blocks.where("bucket IS NOT NULL").select(F.pmod(F.xxhash64("block"), F.lit(n_slices)).alias("slice"), "bucket", "block", "n", "words")
         told = answers(dictionary(sent, vocab))
         texts = blocks.where("bucket IS NULL").select("block", "doc_ids", "lengths", "sizes", "texts", "known", "at")
-        found = written(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema), "encoded")
+        found = written(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema), "encoded", lasting=True)
     ranks.unpersist()
     return found
 

@@ -31,13 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+SCRATCH: list[str] = []  # folders of the operators at work on this driver, innermost last
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def new_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A path in the innermost scratch folder, if there is one and the table need not outlive it."""
+    folder = SCRATCH[-1] if SCRATCH and not lasting else f"{shared_dir(spark)}/tables"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written in here go when it ends, but for lasting ones: what an operator returns must read those alone."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        SCRATCH.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)  # the store's own delete, as Spark names no such call
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", lasting: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, lasting)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

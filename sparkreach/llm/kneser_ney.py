@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import buckets_for, expand, squeeze
-from .common import bucketed, unveiled, veiled, written
+from .common import bucketed, scratch, unveiled, veiled, written
 
 ORDER, SIZE = 4, 32
 QUANTILE, LEAST = 0.99, 50
@@ -444,9 +444,9 @@ def with_lang(docs: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, labels: DataFrame, columns: list[str], key: str) -> DataFrame:
     """columns of docs with ppl, written."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    with bucketed(pack(docs, columns, key), "ngrams", "block", max(1, -(-size // (8 * BLOCK)))) as blocks:
+    with scratch(docs.sparkSession), bucketed(pack(docs, columns, key), "ngrams", "block", max(1, -(-size // (8 * BLOCK)))) as blocks:
         grams = gram_counts(blocks, labels)
-        return written(score(blocks, grams, *train(docs, labels, grams), docs, columns), "scored")
+        return written(score(blocks, grams, *train(docs, labels, grams), docs, columns), "scored", lasting=True)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import MOST, alike, copies, count_keys, expand, members, pack, with_answers
-from .common import unveiled, veiled, written
+from .common import scratch, unveiled, veiled, written
 
 SHINGLE, PERCENT = 4, 85
 FREQUENT, SMALL = 32, 200
@@ -236,7 +236,12 @@ def cell_links(rows: pa.Table) -> pa.Table:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+    """doc_id, n_shingles, component_id for each row of docs, written. Ids are whole numbers."""
+    with scratch(docs.sparkSession):
+        return written(found_classes(docs), "classes", lasting=True)
+
+
+def found_classes(docs: DataFrame) -> DataFrame:
     blocks = pack(docs, describe)
     rows = members(blocks)
     same = alike(rows)
@@ -268,4 +273,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     named = found.join(rows.select("row", doc_id.alias("doc_id")), "row")
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     kept = written(named.groupBy("component_id").agg(first.alias("row")).select("row"), "kept")
-    return unveiled(rows.join(kept, "row", "left_semi"), docs)
+    # kept is never broadcast, as it grows with the documents; it is the side that is hashed, so texts are not sorted
+    return unveiled(rows.join(kept.hint("shuffle_hash"), "row", "left_semi"), docs)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import MOST, alike, copies, count_keys, expand, members, pack, squeeze, with_answers
-from .common import sha256, written
+from .common import scratch, sha256, written
 
 WINDOW = 200
 # fixed values: a perfect difference set modulo 133 (each difference but 0 occurs once)
@@ -155,7 +155,12 @@ def removed(row: dict, counts: np.ndarray, _: dict[int, int]) -> dict[str, list]
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (byte spans removed) for each row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (byte spans removed) for each row of docs, written. Ids are whole numbers."""
+    with scratch(docs.sparkSession):
+        return written(found_repeats(docs), "repeats", lasting=True)
+
+
+def found_repeats(docs: DataFrame) -> DataFrame:
     blocks = pack(docs, lambda t: (sha256(t), len(t)))
     rows = members(blocks)
     same = alike(rows.where(f"length >= {WINDOW}"))
