@@ -217,15 +217,37 @@ def test_triage(spark):
 def test_reports(spark):
     import json
 
-    results = spark.createDataFrame([("V", "unreachable", "no path")], "cve_id string, classification string, justification string")
-    flows = spark.createDataFrame([("V", 0, 1, "/s/a.c", 3, 1, 77), ("V", 1, 2, "/s/b.c", 9, 2, 78)], "cve_id string, pos bigint, nesting int, file string, line int, col int, addr bigint")
-    log = json.loads(reports.sarif_log(reports.sarif(results, flows, [("/s/", "src/")])).first()["text"])
-    (result,) = log["runs"][0]["results"]
-    assert result["ruleId"] == "V" and result["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "src/b.c"
-    assert len(result["codeFlows"][0]["threadFlows"][0]["locations"]) == 2
-    rows = [json.loads(r["row"]) for r in reports.code_quality(flows, []).collect()]
-    assert len({r["fingerprint"] for r in rows}) == 2 and rows[0]["severity"] == "critical"
+    results = spark.createDataFrame([("V", "reachable", "seen", "bad"), ("W", "reachable", "seen", "bad")], "cve_id string, classification string, justification string, function string")
+    traces = spark.createDataFrame([(t, i, 70 + i) for t, n in (("V", 5), ("W", 2)) for i in range(n)], "target string, pos bigint, addr bigint")
+    places = [(70 + i, f"f{i}", f"{'/usr' if i == 4 else 's'}/{i}.c", 10 + i, 1, 20 + i, 2) for i in range(5)]
+    lines = spark.createDataFrame(places, "addr bigint, name string, file string, line int, col int, end_line int, end_col int")
+    flows = reports.steps(traces, lines)
+    assert [tuple(r) for r in flows.where("target = 'V'").orderBy("pos").select("pos", "nesting", "is_last").collect()] == [(1, 1, False), (3, 2, False), (4, 3, True)]  # callers go, the target stays
+    log = json.loads(reports.sarif_log(reports.sarif(results, flows, traces, lines)).first()["text"])
+    found = {r["ruleId"]: r for r in log["runs"][0]["results"]}
+    assert log["version"] == "2.1.0" and found["V"]["message"]["text"] == "[V] REACHABLE\nseen."
+    assert [x["location"]["physicalLocation"]["artifactLocation"]["uri"] for x in found["V"]["codeFlows"][0]["threadFlows"][0]["locations"]] == ["s/1.c", "s/3.c", "file:///usr/4.c"]
+    assert found["V"]["locations"][0]["physicalLocation"]["region"] == {"startLine": 13, "startColumn": 1, "endLine": 23, "endColumn": 2}
+    issues = {r["cve_id"]: json.loads(r["row"]) for r in reports.code_quality(results, traces, lines, True).collect()}
+    assert issues["V"]["location"] == {"path": "s/3.c", "lines": {"begin": 13, "end": 23}} and "from call site in f3" in issues["V"]["description"]
+    assert "Vulnerable function bad reachable at address 0x47" in issues["W"]["description"]
     summary = reports.callee_summary(spark.createDataFrame([("a", "f"), ("b", "g"), ("b", "*h")], "src string, dst string"))
     assert values(summary, "src") == {"b"}
     lines = [r["line"] for r in reports.dot(spark.createDataFrame([("a", 'b"')], "src string, dst string")).orderBy("pos").collect()]
     assert lines == ["digraph {", '  "a" -> "b\\"";', "}"]
+
+
+def test_analysis_of_threads_and_stores(spark):
+    """Code reached only through a thread start, and through a store to a referenced global, is reachable; without an indirect call it is not."""
+    from sparkreach.operators import reachability
+
+    text = lambda rows, shape: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in shape.split()))
+    names = [("m", "main"), ("p", "pthread_create"), ("w", "worker"), ("g", "table"), ("h", "hook"), ("u", "unused")]
+    edges = [("Assign", "m:1", "w"), ("Load", "m:2", "g"), ("Store", "g", "h"), ("Assign", "u:1", "u")]
+    facts = {"edges": text(edges, "rel dst src"), "enclosing": text([("m", "m:1"), ("m", "m:2"), ("m", "m:9"), ("u", "u:1")], "fn local"), "symbols": text([(n,) for n, _ in names], "node"), "names": text(names, "node name"), "seeds": text([("m",)], "node")}
+    found = reachability.analysis(facts | {"calls": text([("m:9", "p")], "site callee")})
+    assert {r["node"] for r in found["reachable"].collect()} == {"m", "p", "w", "g", "h"}
+    assert {(r["callee"], r["kind"]) for r in found["callgraph"].collect()} == {("p", "Direct"), ("w", "Conservative"), ("g", "Conservative"), ("h", "Conservative")}
+    assert ("m", "main", "h", "hook", "Conservative") in {tuple(r) for r in found["named"].collect()}
+    found = reachability.analysis(facts | {"calls": text([("m:9", "u")], "site callee")})
+    assert {r["node"] for r in found["reachable"].collect()} == {"m", "u"} and {r["node"] for r in found["referenced"].collect()} == {"w", "g", "h", "u"}
