@@ -1,8 +1,9 @@
 """Fixpoints: semi-naive loops whose rounds are written tables.
 
-A round joins what was new with the edges, several hops at once, and keeps what is not known yet. The known rows are
-the written tables of all rounds, read as one. Plans stay small, executors may be lost, and the number of rounds is the
-depth divided by the hops.
+A round joins what was new with the edges and keeps what is not known yet. The known rows are the written tables of all
+rounds, read as one. Plans stay small and executors may be lost. Of few new rows (`FEW`, counted) a round makes several
+hops, which share one exchange of the edges, so long thin paths take a round for `hops` steps; of more it makes one,
+since inner hops pass over known rows again.
 """
 
 from __future__ import annotations
@@ -15,36 +16,38 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-HOPS = 4
+HOPS = 8
+FEW = 100_000
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, tables)
 
 
-def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], hops: int = 1) -> DataFrame:
-    """base with all that step(new rows, all rows) adds, as a set."""
+def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], hops: int = 1, carries: bool = False) -> DataFrame:
+    """base with all that step(new rows, all rows) adds, as a set. carries: step gives its new rows back among the others, so that a plan of several hops stays linear."""
     known = [written(base.distinct(), "round")]
-    new = known[0]
-    while True:
+    new, n = known[0], known[0].count()
+    while n:
         every, some, got = union(known), new, []
-        for _ in range(hops):
+        for _ in range(hops if n <= FEW else 1):
             some = step(some, every).select(*base.columns).distinct()
             got.append(some)
-        some, old = union(got).distinct().alias("s"), every.alias("o")
+        some, old = (some if carries else union(got).distinct()).alias("s"), every.alias("o")
         same = functools.reduce(lambda x, y: x & y, (F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in base.columns))
         new = written(some.join(old, same, "left_anti"), "round")
-        if new.isEmpty():
-            return union(known)
+        n = new.count()
         known.append(new)
         if len(known) > 16:  # few files to read, whatever the depth
             known = [written(union(known), "round")]
+    return union(known)
 
 
 def reach(seeds: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     """node: the seeds and what they reach. seeds: node; edges: src, dst."""
     edges = written(edges.select("src", "dst").distinct(), "edges")
-    return fixpoint(seeds.select("node"), lambda new, _: new.join(edges, new["node"] == edges["src"]).select(F.col("dst").alias("node")), hops)
+    onward = lambda new, _: new.join(edges, new["node"] == edges["src"], "left").select(F.explode(F.array("node", F.coalesce("dst", "node"))).alias("node"))
+    return fixpoint(seeds.select("node"), onward, hops, carries=True)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -57,18 +60,22 @@ def closure(edges: DataFrame) -> DataFrame:
 def cheapest(seeds: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     """node, cost, prev: least cost from the seeds (node, cost). edges: src, dst, weight (0 or more). Of equal costs the smallest predecessor."""
     edges = written(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "edges")
-    known = written(seeds.groupBy("node").agg(F.min("cost").cast("bigint").alias("cost")), "costs")
-    new = known
-    while True:
-        some, got = new, []
-        for _ in range(hops):
-            some = some.join(edges, some["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("weight")).cast("bigint").alias("cost"))
-            got.append(some)
-        best = union(got).groupBy("node").agg(F.min("cost").alias("lower"))
-        new = written(best.join(known, "node", "left").where("cost IS NULL OR lower < cost").select("node", F.col("lower").alias("cost")), "costs")
-        if new.isEmpty():
-            break
-        known = written(known.unionByName(new).groupBy("node").agg(F.min("cost").alias("cost")), "costs")
+    known = [written(seeds.groupBy("node").agg(F.min("cost").cast("bigint").alias("cost")), "costs")]
+    least = lambda: union(known).groupBy("node").agg(F.min("cost").alias("cost"))
+    new, n = known[0], known[0].count()
+    while n:
+        some = new
+        for _ in range(hops if n <= FEW else 1):
+            both = some.join(edges, some["node"] == edges["src"], "left")
+            here, there = F.struct("node", "cost"), F.struct(F.coalesce("dst", "node").alias("node"), (F.col("cost") + F.coalesce("weight", F.lit(0))).cast("bigint").alias("cost"))
+            some = both.select(F.inline(F.array(here, there))).groupBy("node").agg(F.min("cost").alias("cost"))
+        best = some.select("node", F.col("cost").alias("lower"))
+        new = written(best.join(least(), "node", "left").where("cost IS NULL OR lower < cost").select("node", F.col("lower").alias("cost")), "costs")
+        n = new.count()
+        known.append(new)
+        if len(known) > 16:
+            known = [written(least(), "costs")]
+    known = written(least(), "costs")
     before = known.select(F.col("node").alias("src"), F.col("cost").alias("before"))
     back = known.join(edges, known["node"] == edges["dst"]).join(before, "src").where("before + weight = cost").groupBy("node").agg(F.min("src").alias("prev"))
     start = seeds.groupBy("node").agg(F.min("cost").alias("seed"))
