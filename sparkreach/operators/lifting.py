@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .fixpoint import union
 
 # fixed values: opcodes by the edges that they give
 FIRST_OPERAND = ("getelementptr", "ptrtoint", "inttoptr", "bitcast", "addrspacecast", "trunc", "zext", "sext", "freeze", "fneg", "extractvalue", "extractelement")
 EVERY_OPERAND = ("phi", "select", "insertvalue", "insertelement", "shufflevector", "binary")
 READ_WRITE = ("cmpxchg", "atomicrmw")
-COPIES = ("llvm.memcpy", "llvm.memmove", "llvm.va_copy", "llvm.va_start")
+COPIES = ("llvm.memcpy", "llvm.memmove", "llvm.va_copy")
+LISTS = "llvm.va_start"
 SKIPPED_FUNCTIONS = ("__liballocs",)
 
 
@@ -32,8 +34,8 @@ def defined(functions: DataFrame) -> DataFrame:
     return functions.where(~skipped & ~F.col("is_declaration"))
 
 
-def lift(instr: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """All edges of the instructions. aliases: alias, target, resolved in callees."""
+def lift(instr: DataFrame, aliases: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """All edges of the instructions. aliases: alias, target, resolved in callees. lists: fn, list, the model argument list that va_start copies."""
     if aliases is not None:
         instr = instr.join(aliases, instr["callee"] == aliases["alias"], "left").withColumn("callee", F.coalesce("target", "callee")).drop("alias", "target")
     op = lambda *names: instr.where(F.col("opcode").isin(*names))
@@ -56,6 +58,9 @@ def lift(instr: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
         some = calls.where(F.regexp_extract("callee_name", r"^(llvm\.[a-z_]+)", 1).isin(*COPIES))
         tmp = "-1 - pos"  # a place of the instruction's own
         out += [_edge(some, "Load", tmp, "operands[1]"), _edge(some, "Store", "operands[0]", tmp)]
+        if lists is not None:
+            opened = calls.where(F.col("callee_name").startswith(LISTS)).join(lists.select("fn", "list"), "fn")
+            out += [_edge(opened, "Load", tmp, "list"), _edge(opened, "Store", "operands[0]", tmp)]
     return union(out)
 
 
@@ -64,6 +69,44 @@ def parameters(params: DataFrame) -> DataFrame:
     return params.select(F.lit("ArgumentDefinition").alias("rel"), "fn", F.col("node").alias("dst"), F.col("fn").alias("src"), F.col("arg_no").cast("bigint").alias("idx"))
 
 
+def variadic(functions: DataFrame) -> DataFrame:
+    """Edges of the model argument list of variadic functions: all further arguments flow into one value, stored in an area that the list points to.
+
+    functions: fn, n_params, list, area, rest (three unused nodes of the function).
+    """
+    out = [
+        functions.select(F.lit("ArgumentDefinition").alias("rel"), "fn", F.col("rest").alias("dst"), F.col("fn").alias("src"), F.col("n_params").cast("bigint").alias("idx")),
+        _edge(functions, "Store", "area", "rest"),
+        _edge(functions, "Store", "list", "area"),
+    ]
+    return union(out)
+
+
+def constants(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of constants and the Assign edges between them. parts: fn, id, parent (null at the top), kind, node.
+
+    A global is its symbol's node; data are none. Of an aggregate or expression without nodes among its parts there is
+    none, with one it is that, and of more its own node (an unused one) gets them all. Rounds: the depth of nesting.
+    """
+    kids = parts.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n_kids"))
+    tree = written(parts.join(kids, "id", "left").select("fn", "id", "parent", "kind", "node", F.coalesce("n_kids", F.lit(0)).alias("n_kids")), "parts")
+    found = [written(tree.where("n_kids = 0").select("id", "parent", F.when(F.col("kind") == "global", F.col("node")).alias("node")), "constants")]
+    assigns = []
+    while True:
+        done = union(found)
+        ready = done.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n_done"), F.count("node").alias("n_nodes"), F.min("node").alias("one"))
+        # done once: a parent is written in the round after its last part
+        next_ = tree.join(ready, "id").where("n_done = n_kids").join(done.select("id"), "id", "left_anti")
+        next_ = written(next_.select("fn", "id", "parent", F.when(F.col("n_nodes") > 1, F.col("node")).otherwise(F.col("one")).alias("node"), (F.col("n_nodes") > 1).alias("own")), "constants")
+        if next_.isEmpty():
+            break
+        of = done.where("node IS NOT NULL").select(F.col("parent").alias("id"), F.col("node").alias("src"))
+        assigns.append(_edge(next_.where("own").select("fn", "id", F.col("node").alias("dst")).join(of, "id"), "Assign", "dst", "src"))
+        found.append(next_.select("id", "parent", "node"))
+    none = _edge(tree.where("false"), "Assign", "node", "node")
+    return union(found).select("id", "node"), union([none, *assigns]).distinct()
+
+
 def initialisers(globals_: DataFrame) -> DataFrame:
     """Store edges of global initialisers, in one synthetic function a group. globals_: comdat, global, value."""
     fn = F.concat(F.lit("globals_"), F.coalesce("comdat", F.lit("")))

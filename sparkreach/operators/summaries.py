@@ -17,9 +17,13 @@ def values(edges: DataFrame, by: list[str]) -> DataFrame:
     return edges.select(*by, F.explode(F.array("dst", "src")).alias("v")).where("v IS NOT NULL").distinct()
 
 
-def substitutions(edges: DataFrame, by: list[str]) -> DataFrame:
+def substitutions(edges: DataFrame, by: list[str], stars: DataFrame | None = None, congruent: bool = False) -> DataFrame:
     """by, x, y: the least relation that is reflexive and transitive, holds assignments, returns and arguments of known
-    calls, and what is loaded from where it was stored."""
+    calls, and what is loaded from where it was stored.
+
+    stars: starred, node (what node points to). What is stored where node may point stands for its starred form, and the
+    starred form for what is loaded from there; congruent (phase two): starred forms of substitutes are substitutes.
+    """
     of = lambda rel: edges.where(F.col("rel") == rel)
     assign = of("Assign").select(*by, F.col("dst").alias("x"), F.col("src").alias("y"))
     call, ret = of("Call").select(*by, F.col("dst").alias("site"), F.col("src").alias("f")), of("Return").select(F.col("dst").alias("f"), F.col("src").alias("y"))
@@ -28,6 +32,10 @@ def substitutions(edges: DataFrame, by: list[str]) -> DataFrame:
     given = of("ArgumentSupply").select(*by, F.col("dst").alias("site"), F.col("src").alias("y"), "idx")
     passed = call.join(given, [*by, "site"]).join(defs, ["f", "idx"]).select(*by, "x", "y")
     v = values(edges, by)
+    if stars is not None:
+        stars = written(stars.select("starred", "node").distinct(), "stars")
+        ends = stars.select(F.explode(F.array("starred", "node")).alias("v"), "starred", "node")
+        v = fixpoint(v, lambda new, _: new.join(ends, "v").select(*by, F.explode(F.array("starred", "node")).alias("v")))
     base = union([v.select(*by, F.col("v").alias("x"), F.col("v").alias("y")), assign, returned, passed]).distinct()
     load, store = of("Load").select(*by, F.col("dst").alias("into"), F.col("src").alias("p")), of("Store").select(*by, F.col("dst").alias("q"), F.col("src").alias("val"))
 
@@ -42,15 +50,31 @@ def substitutions(edges: DataFrame, by: list[str]) -> DataFrame:
         seen = load.join(ends, [*by, "p"]).join(other.join(store, [*by, "q"]), [*by, "at"]).select(*by, F.col("into").alias("x"), F.col("val").alias("y"))
         ends2, other2 = new.select(*by, F.col("x").alias("q"), F.col("y").alias("at")), every.select(*by, F.col("x").alias("p"), F.col("y").alias("at"))
         seen2 = store.join(ends2, [*by, "q"]).join(other2.join(load, [*by, "p"]), [*by, "at"]).select(*by, F.col("into").alias("x"), F.col("val").alias("y"))
-        return union([onward, before, seen, seen2])
+        out = [onward, before, seen, seen2]
+        if stars is not None:
+            under, over = stars.select(F.col("node").alias("x"), F.col("starred").alias("sx")), stars.select(F.col("node").alias("y"), F.col("starred").alias("sy"))
+            out.append(store.join(new.select(*by, F.col("x").alias("q"), "y"), [*by, "q"]).join(over, "y").select(*by, F.col("sy").alias("x"), F.col("val").alias("y")))
+            out.append(load.join(new.select(*by, F.col("x").alias("p"), "y"), [*by, "p"]).join(over, "y").select(*by, F.col("into").alias("x"), F.col("sy").alias("y")))
+            if congruent:
+                out.append(new.join(under, "x").join(over, "y").select(*by, F.col("sx").alias("x"), F.col("sy").alias("y")))
+        return union(out)
 
     return fixpoint(base, step)
 
 
-def precious(edges: DataFrame, symbols: DataFrame, allocas: DataFrame) -> DataFrame:
-    """v: what the rest of the program can see: symbols, arguments, call sites and supplied allocations."""
+def precious(edges: DataFrame, symbols: DataFrame, allocas: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """v: what the rest of the program can see: symbols, arguments, call sites and supplied allocations, and, level by level, the value names (core, value) of those."""
     given = edges.where("rel = 'ArgumentSupply'").select(F.col("src").alias("v")).join(allocas.select(F.col("node").alias("v")), "v", "left_semi")
-    return union([symbols.select(F.col("node").alias("v")), edges.where("rel = 'ArgumentDefinition'").select(F.col("dst").alias("v")), edges.where("rel IN ('Call', 'ArgumentSupply')").select(F.col("dst").alias("v")), given]).where("v IS NOT NULL").distinct()
+    seen = union([symbols.select(F.col("node").alias("v")), edges.where("rel = 'ArgumentDefinition'").select(F.col("dst").alias("v")), edges.where("rel IN ('Call', 'ArgumentSupply')").select(F.col("dst").alias("v")), given]).where("v IS NOT NULL").distinct()
+    if names is None:
+        return seen
+    return fixpoint(seen, lambda new, _: new.join(names.select(F.col("core").alias("v"), "value"), "v").select(F.col("value").alias("v")))
+
+
+def precious_facts(kept: DataFrame, stars: DataFrame, names: DataFrame, allocas: DataFrame) -> DataFrame:
+    """rel, a, b: what phase two needs to know of precious values: starred forms, value names and which are allocations."""
+    of = lambda rows, rel, a, b: rows.join(kept.select(F.col("v").alias(a)), a, "left_semi").select(F.lit(rel).alias("rel"), F.col(a).alias("a"), b.alias("b"))
+    return union([of(stars, "Starred", "starred", F.col("node")), of(names, "ValueName", "core", F.col("value")), of(allocas, "IsAlloca", "node", F.lit(None).cast("bigint"))]).distinct()
 
 
 def summarise(edges: DataFrame, symbols: DataFrame, allocas: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ VIEWS = {
     "fx_store": "SELECT DISTINCT fn AS dst, tgt AS src FROM fx_line WHERE q = 1 AND rf = 'A'",
     "fx_instr": "SELECT fn, ok * 10 + ln AS pos, CASE ln WHEN 1 THEN 'store' WHEN 2 THEN 'load' WHEN 3 THEN 'phi' WHEN 4 THEN 'call' WHEN 5 THEN 'ret' WHEN 6 THEN 'bitcast' ELSE 'atomicrmw' END AS opcode, ok AS dst, tgt AS a, CASE WHEN sk % 4 <> 0 THEN sk END AS b FROM fx_line",
     "fx_model_call": "SELECT concat(CAST(ok AS STRING), '_', CAST(ln AS STRING)) AS site, CASE fn % 6 WHEN 0 THEN 'malloc' WHEN 1 THEN 'realloc' WHEN 2 THEN 'memcpy' WHEN 3 THEN 'pthread_create' WHEN 4 THEN 'qsort' ELSE 'puts' END AS name, CAST(tgt AS STRING) AS a, CAST(sk AS STRING) AS b, concat('f', CAST(fn AS STRING)) AS c, concat('g', CAST(fn AS STRING)) AS d FROM fx_line",
+    "fx_model_more": "SELECT concat(CAST(ok AS STRING), '_', CAST(ln AS STRING)) AS site, CASE fn % 9 WHEN 0 THEN '__mmap' WHEN 1 THEN 'shmat' WHEN 2 THEN 'fopencookie' WHEN 3 THEN 'qsort_r@GLIBC_2.8' WHEN 4 THEN '_ZNSt6thread15_M_start_threadESt10unique_ptrINS_6_StateESt14default_deleteIS1_EEPFvvE' WHEN 5 THEN 'posix_memalign' WHEN 6 THEN 'strstr' WHEN 7 THEN '_ZSt18_Rb_tree_incrementPSt18_Rb_tree_node_base' ELSE 'strtol' END AS name, CAST(tgt AS STRING) AS a, CAST(sk AS STRING) AS b, concat('f', CAST(fn AS STRING)) AS c, concat('g', CAST(fn AS STRING)) AS d, concat('h', CAST(sk AS STRING)) AS e FROM fx_line",
+    "fx_constant": "SELECT fn, (ok * 10 + ln) * 3 AS id, (ok * 10 + sk % 2) * 3 + 1 AS parent, CASE WHEN q <= 2 THEN 'global' ELSE 'data' END AS kind, tgt AS node FROM fx_line UNION ALL SELECT min(fn), (ok * 10 + sk % 2) * 3 + 1, ok * 3 + 2, 'aggregate', -2 - (ok * 10 + sk % 2) * 3 FROM fx_line GROUP BY ok, sk % 2 UNION ALL SELECT min(fn), ok * 3 + 2, CAST(NULL AS BIGINT), 'aggregate', -3 - ok * 3 FROM fx_line GROUP BY ok",
     "an_site": "SELECT CAST(fn AS STRING) AS fn, concat(CAST(fn AS STRING), ':', CAST(ok AS STRING), '_', CAST(ln AS STRING)) AS site, q, CAST(tgt AS STRING) AS tgt, sk, tax FROM fx_line",
     "an_name": "SELECT CAST(sym AS STRING) AS node, CASE WHEN sym % 501 = 5 THEN 'pthread_create' ELSE fname END AS name FROM fx_fn",
     "an_call": "SELECT site, CASE WHEN q <= 2 THEN tgt ELSE site END AS callee FROM an_site WHERE q <= 2 OR (q = 3 AND sk % 10 = 0)",

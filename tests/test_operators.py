@@ -150,6 +150,39 @@ def test_two_phases(spark):
     assert values(again, "node") == {1, 2, 3}
 
 
+def starred_brute(assign, loads, stores, stars, congruent):
+    vs = {v for pair in (*assign, *loads, *stores, *stars) for v in pair}
+    found = {(v, v) for v in vs} | set(assign)
+    while True:
+        new = {(a, d) for a, b in found for c, d in found if b == c}
+        # what may be stored at p, and what may be loaded from it
+        at = {(p, val) for q, val in stores for x, p in found if x == q}
+        new |= {(into, val) for into, q in loads for x, p in found if x == q for p2, val in at if p2 == p}
+        new |= {(s, val) for s, n in stars for p, val in at if p == n}
+        new |= {(into, s) for into, q in loads for x, p in found if x == q for s, n in stars if n == p}
+        if congruent:
+            new |= {(s, t) for s, n in stars for t, m in stars if (n, m) in found}
+        if new <= found:
+            return found
+        found |= new
+
+
+@pytest.mark.parametrize(("seed", "congruent"), [(1, False), (2, True), (3, True)])
+def test_starred_substitutions(spark, seed, congruent):
+    r = random.Random(seed)
+    pair = lambda: (r.randrange(8), r.randrange(8))
+    assign, loads, stores = [pair() for _ in range(3)], [pair() for _ in range(2)], [pair() for _ in range(2)]
+    stars = [(100 + v, v) for v in range(8)] + [(200 + v, 100 + v) for v in range(3)]
+    rows = [("Assign", 1, *p, None) for p in assign] + [("Load", 1, *p, None) for p in loads] + [("Store", 1, *p, None) for p in stores]
+    e = spark.createDataFrame(rows, "rel string, fn bigint, dst bigint, src bigint, idx bigint")
+    got = values(summaries.substitutions(e, ["fn"], spark.createDataFrame(stars, "starred bigint, node bigint"), congruent), "x", "y")
+    known = {v for p in (*assign, *loads, *stores) for v in p}
+    known |= {100 + v for v in known if v < 100}
+    known |= {200 + v - 100 for v in known if 100 <= v < 103}
+    want = {p for p in starred_brute(assign, loads, stores, [s for s in stars if s[1] in known], congruent)}
+    assert got == want
+
+
 def test_lookups(spark):
     ranges = spark.createDataFrame([(1, 100, 50), (2, 200, 10), (3, 70000, 70000)], "id bigint, start bigint, size bigint")
     points = spark.createDataFrame([(a,) for a in (99, 100, 149, 150, 209, 210, 70000, 139999, 140000)], "at bigint")
@@ -196,6 +229,28 @@ def test_overrides(spark):
     assert {("Alloc", "c1", "heap:c1"), ("Alloc", "c2", "heap:c2"), ("Assign", "c2", "p"), ("Assign", "c3", "d"), ("Load", "tmp:c3", "s"), ("Store", "d", "tmp:c3"), ("IndirectCall", "c4", "fn"), ("Pass", "c4", "arg")} == got
 
 
+def test_more_overrides(spark):
+    rows = [("c1", "fopencookie", ["k", "mode", "fs"]), ("c2", "qsort_r", ["b", "n", "s", "cmp", "ctx"]), ("c3", overrides.THREAD, ["this", "state", "run"]), ("c4", "shmat", ["id", "at", "0"]), ("c5", "strtol", ["s", "e", "10"])]
+    got = values(overrides.edges(spark.createDataFrame(rows, "site string, name string, args array<string>")), "rel", "dst", "src")
+    cookie = {("Alloc", "c1", "heap:c1"), ("Store", "c1", "k"), ("Load", "tmp:c1", "fs"), ("Store", "c1", "tmp:c1")}
+    assert got == cookie | {("IndirectCall", "c2", "cmp"), ("Pass", "c2", "b"), ("Pass", "c2", "ctx"), ("IndirectCall", "c3", "run"), ("Alloc", "c4", "heap:c4"), ("Assign", "c4", "at")}
+
+
+def test_variadic_lists(spark):
+    functions = spark.createDataFrame([(1, 2, 90, 91, 92)], "fn bigint, n_params bigint, list bigint, area bigint, rest bigint")
+    assert values(lifting.variadic(functions), "rel", "dst", "src", "idx") == {("ArgumentDefinition", 92, 1, 2), ("Store", 91, 92, None), ("Store", 90, 91, None)}
+    rows = [(1, 4, "call", None, [30], 7, "llvm.va_start.p0", 1), (2, 5, "call", None, [31], 7, "llvm.va_start.p0", 1)]
+    calls = spark.createDataFrame(rows, "fn bigint, pos bigint, opcode string, dst bigint, operands array<bigint>, callee bigint, callee_name string, nargs bigint")
+    assert values(lifting.lift(calls, lists=functions), "rel", "fn", "dst", "src") == {("Load", 1, -5, 90), ("Store", 1, 30, -5)}
+
+
+def test_constants(spark):
+    rows = [(1, 1, None, "aggregate", -1), (1, 2, 1, "global", 50), (1, 3, 1, "data", None), (1, 4, 1, "aggregate", -4), (1, 5, 4, "global", 51), (1, 6, 4, "data", None), (1, 7, None, "aggregate", -7), (1, 8, 7, "data", None), (2, 9, None, "aggregate", -9)]
+    nodes_, assigns = lifting.constants(spark.createDataFrame(rows, "fn bigint, id bigint, parent bigint, kind string, node bigint"))
+    assert dict(values(nodes_, "id", "node")) == {1: -1, 2: 50, 3: None, 4: 51, 5: 51, 6: None, 7: None, 8: None, 9: None}
+    assert values(assigns, "rel", "fn", "dst", "src") == {("Assign", 1, -1, 50), ("Assign", 1, -1, 51)}
+
+
 def test_facts(spark):
     uses = spark.createDataFrame([(1, "data"), (1, "undefined"), (2, "function"), (2, "data"), (3, "undefined")], "node bigint, state string")
     assert values(facts.node_state(uses), "node", "state") == {(1, "data"), (2, "conflict"), (3, "undefined")}
