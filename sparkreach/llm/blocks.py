@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from .common import written
 
@@ -36,8 +36,14 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def pack(docs: DataFrame, describe: Callable[[bytes], tuple[str | None, int]], size: int = 2 << 20) -> DataFrame:
-    """block, rids, doc_ids, marks, sizes (of the marks), lengths, data. describe: a text's mark (equal for documents that are alike) and its size."""
+def pack(docs: DataFrame, describe: Callable[[bytes], tuple], size: int = 2 << 20) -> DataFrame:
+    """block, rids, doc_ids, marks, sizes (of the marks), extras, lengths, data.
+
+    describe: a text's mark (equal for documents that are alike), its size and, if wanted, numbers of 64 bits. Ids keep their
+    type.
+    """
+    kind = docs.schema["doc_id"].dataType
+    arrow_kind = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 20
@@ -50,13 +56,14 @@ def pack(docs: DataFrame, describe: Callable[[bytes], tuple[str | None, int]], s
                 [
                     pa.array([block], pa.int64()),
                     one([(block << 20) + i for i in range(len(held))], pa.int64()),
-                    one([d for d, _ in held], pa.int64()),
-                    one([m for m, _ in marks], pa.string()),
-                    one([n for _, n in marks], pa.int64()),
+                    one([d for d, _ in held], arrow_kind),
+                    one([m[0] for m in marks], pa.string()),
+                    one([m[1] for m in marks], pa.int64()),
+                    one([m[2] if len(m) > 2 else None for m in marks], pa.list_(pa.int64())),
                     one([len(t) for _, t in held], pa.int64()),
                     pa.array([squeeze(b"".join(t for _, t in held))], pa.binary()),
                 ],
-                names=["block", "rids", "doc_ids", "marks", "sizes", "lengths", "data"],
+                names=["block", "rids", "doc_ids", "marks", "sizes", "extras", "lengths", "data"],
             )
 
         for b in batches:
@@ -70,14 +77,15 @@ def pack(docs: DataFrame, describe: Callable[[bytes], tuple[str | None, int]], s
         if held:
             yield out()
 
-    shape = "block bigint, rids array<bigint>, doc_ids array<bigint>, marks array<string>, sizes array<bigint>, lengths array<bigint>, data binary"
-    return written(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, shape), "blocks", "none")
+    shape = f"block bigint, rids array<bigint>, doc_ids array<{kind.simpleString()}>, marks array<string>, sizes array<bigint>, extras array<array<bigint>>, lengths array<bigint>, data binary"
+    return written(docs.select("doc_id", "text").mapInArrow(run, shape), "blocks", "none")
 
 
-def members(blocks: DataFrame) -> DataFrame:
-    """rid, doc_id, mark, size, length, one row a document, written."""
-    rows = blocks.select("block", F.explode(F.arrays_zip("rids", "doc_ids", "marks", "sizes", "lengths")).alias("x"))
-    return written(rows.select("block", F.col("x.rids").alias("rid"), F.col("x.doc_ids").alias("doc_id"), F.col("x.marks").alias("mark"), F.col("x.sizes").alias("size"), F.col("x.lengths").alias("length")), "members")
+def members(blocks: DataFrame, *more: str) -> DataFrame:
+    """block, rid, doc_id, mark, size, length (and extra), one row a document, written."""
+    names = {"rids": "rid", "doc_ids": "doc_id", "marks": "mark", "sizes": "size", "lengths": "length", **{f"{m}s": m for m in more}}
+    rows = blocks.select("block", F.explode(F.arrays_zip(*names)).alias("x"))
+    return written(rows.select("block", *(F.col(f"x.{k}").alias(v) for k, v in names.items())), "members")
 
 
 def alike(rows: DataFrame) -> DataFrame:

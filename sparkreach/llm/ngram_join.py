@@ -12,17 +12,21 @@ Equal sets are told apart first by a digest, and one document stands for them. S
 In each of ROUNDS rounds a document is verified against CENTRES documents of other components that it shares most keys
 with, and links merge components. What then still shares a key across components forms clusters; in each, documents
 outside the largest component are held against all of other components, so no link between components is lost. A
-cluster is dealt out as a grid of cells of bounded size, each of which counts overlaps through a small inverted index.
+cluster is dealt out by size class (similar sets are of the same or neighbouring classes) and within one as a grid of
+cells of at most some CELL documents a side, however large it is; a cell counts overlaps through an inverted index.
 
 Frequencies move as packed keys by block and bucket (see blocks.py); tables of candidates are written.
 
 Cases: null and blank texts have no shingles and are linked with nothing; fewer than four words are one shingle; equal
 texts are of one component; rows are told apart where their ids are equal; a null doc_id never names a component that
-has another.
+has another. Ids may be of any ordered type. Texts of any length are taken whole (one over 2 MB is a block of its own);
+an empty table gives no rows; further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,7 +39,7 @@ from .common import scratch, unveiled, veiled, written
 SHINGLE, PERCENT = 4, 85
 FREQUENT, SMALL = 32, 200
 ROUNDS, CENTRES = 3, 4
-CELL, GRID = 32, 64
+CELL = 128
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 REMEMBERED = 1 << 17
 KNOWN: dict[bytes, int] = {}
@@ -155,11 +159,14 @@ def near_in_size(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
 
-def link(found: DataFrame) -> DataFrame:
-    """rid, c of the candidates: their components."""
-    entries = found.select("rid", "n", F.explode("keys").alias("key"))
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """The entries (key, rid, n) whose key another document has too, written."""
     shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    entries = written(entries.join(written(shared, "keys"), "key"), "entries")
+    return written(entries.join(written(shared, "keys"), "key"), "entries")
+
+
+def link(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """rid, c of the candidates (rid, n, shingles): components of the similar among those that share a key of entries (key, rid, n)."""
     comp = written(found.select("rid", F.col("rid").alias("c")), "components")
     tried = None
     for r in range(ROUNDS):
@@ -190,17 +197,22 @@ def cross_links(entries: DataFrame, comp: DataFrame, found: DataFrame) -> DataFr
     if near.isEmpty():
         return near
     clusters = components(near).select(F.col("v").alias("rid"), F.col("c").alias("g"))
-    some = written(clusters.join(comp, "rid"), "clusters")
-    sizes = some.groupBy("g", "c").agg(F.count("*").alias("m"))
-    sizes = sizes.groupBy("g").agg(F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("main"))
-    # cells of CELL documents a side, larger ones where a cluster would have over GRID of them
-    side = F.greatest(F.lit(CELL), F.ceil(F.col("all") / GRID))
-    sizes = written(sizes.select("g", F.col("main.c").alias("main"), F.ceil(F.col("all") / side).alias("rows"), F.ceil((F.col("all") - F.col("main.m")) / side).alias("cols")), "sizes")
-    placed = some.join(sizes, "g").join(found.select("rid", "n", "shingles"), "rid")
+    # k: similar sets are of the same or neighbouring classes of size
+    size_class = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int").alias("k")
+    some = written(clusters.join(comp, "rid").join(found.select("rid", "n", size_class), "rid"), "clusters")
+    main = some.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
+    some = written(some.join(main, "g"), "clusters")
+    every = some.groupBy("g", "k").agg(F.count("*").alias("all"))
+    aimed = F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k")
+    opened = some.where("c <> main").groupBy("g", "k").agg(F.count("*").alias("open")).select("g", "open", aimed)
+    opened = opened.groupBy("g", "k").agg(F.sum("open").alias("open"))
+    sizes = written(every.join(opened, ["g", "k"]).select("g", "k", F.ceil(F.col("all") / CELL).alias("rows"), F.ceil(F.col("open") / CELL).alias("cols")), "sizes")
     spot = lambda n: F.pmod(F.xxhash64("rid"), n)
-    every = placed.select("g", spot(F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cols") - 1)).alias("j"), F.lit(False).alias("open"), "rid", "c", "n", "shingles")
-    opened = placed.where("c <> main").select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)).alias("i"), spot(F.col("cols")).alias("j"), F.lit(True).alias("open"), "rid", "c", "n", "shingles")
-    return every.unionByName(opened).groupBy("g", "i", "j").applyInArrow(cell_links, "a bigint, b bigint").distinct()
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    every = some.join(sizes, ["g", "k"]).select("g", "k", spot(F.col("rows")).alias("i"), upto("cols").alias("j"), F.lit(False).alias("open"), "rid", "c")
+    opened = some.where("c <> main").select("g", "rid", "c", aimed).join(sizes, ["g", "k"]).select("g", "k", upto("rows").alias("i"), spot(F.col("cols")).alias("j"), F.lit(True).alias("open"), "rid", "c")
+    placed = every.unionByName(opened).join(found.select("rid", "n", "shingles"), "rid")
+    return placed.groupBy("g", "k", "i", "j").applyInArrow(cell_links, "a bigint, b bigint").distinct()
 
 
 def cell_links(rows: pa.Table) -> pa.Table:
@@ -236,11 +248,22 @@ def cell_links(rows: pa.Table) -> pa.Table:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs, written. Ids are whole numbers."""
+    """doc_id, n_shingles, component_id for each row of docs, written."""
     with scratch(docs.sparkSession):
         return written(found_classes(docs), "classes", lasting=True)
 
 
+def named(rows: DataFrame, same: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of all rows, by the components of the found (rid, mark, doc_id)."""
+    lows = found.select("rid", "mark", "doc_id").join(same.select("mark", "low"), "mark", "left").select("rid", "mark", F.coalesce("low", "doc_id").alias("low"))
+    lows = written(lows.join(comp, "rid"), "lows")
+    lowest = written(lows.groupBy("c").agg(F.min("low").alias("component_id")), "lowest")
+    by_mark = lows.join(lowest, "c").select("mark", "component_id")
+    others = same.join(by_mark, "mark", "left_anti").select("mark", F.col("low").alias("component_id"))
+    names = written(by_mark.unionByName(others), "named")
+    return rows.join(names, "mark", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def found_classes(docs: DataFrame) -> DataFrame:
     blocks = pack(docs, describe)
     rows = members(blocks)
@@ -252,19 +275,12 @@ def found_classes(docs: DataFrame) -> DataFrame:
         return np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
     counted = count_keys(blocks.select("block", "lengths", "data"), every, total, 4)
-    shape = "rid bigint, doc_id bigint, mark string, n bigint, keys array<bigint>, shingles array<bigint>"
+    shape = f"rid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark string, n bigint, keys array<bigint>, shingles array<bigint>"
     found = written(with_answers(blocks.select("block", "rids", "doc_ids", "marks", "lengths", "data"), counted, candidates, shape, copies(rows, same)), "candidates")
-    comp = link(found)
-    lows = found.select("rid", "mark", "doc_id").join(same.select("mark", "low"), "mark", "left").select("rid", "mark", F.coalesce("low", "doc_id").alias("low"))
-    lows = written(lows.join(comp, "rid"), "lows")
-    lowest = written(lows.groupBy("c").agg(F.min("low").alias("component_id")), "lowest")
-    by_mark = lows.join(lowest, "c").select("mark", "component_id")
-    others = same.join(by_mark, "mark", "left_anti").select("mark", F.col("low").alias("component_id"))
-    named = written(by_mark.unionByName(others), "named")
-    return rows.join(named, "mark", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named(rows, same, found, link(shared_entries(found.select("rid", "n", F.explode("keys").alias("key"))), found))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
     """One row of docs for each component: that of the smallest doc_id (null last), of equal ones the first."""
     hidden, names = veiled(docs)
     rows = written(hidden.select(*names, F.monotonically_increasing_id().alias("row")), "rows")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontamination, kneser_ney, language, ngram_join, pii, quality_rules, secrets, suffix_dedup, warc
+from . import bpe, decontamination, filter_audit, kneser_ney, language, merkle, minhash, ngram_join, pii, quality_rules, secrets, suffix_dedup, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -67,6 +67,21 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_minmax_dedup(spark, sf_dir):
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ORACLES["op4_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -97,3 +112,42 @@ r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.y FROM r JO
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
+ORACLES["op11_minmax_dedup"] = f"SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM ({ORACLES['op10_ngram_join'].replace('least(4,', 'least(5,')})"
+ORACLES["op12_merkle_manifest"] = r"""
+WITH RECURSIVE b AS (SELECT doc_id, text, coalesce('=' || source, '') AS tree,
+  coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM documents),
+d AS (SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS cut,
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, x:
+    list_reduce(list_prepend(xor(a, x), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))) AS crc FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS total FROM d),
+t(tree, lvl, place, node, total) AS (SELECT tree, 0, place, leaf, total FROM p
+  UNION ALL SELECT tree, any_value(lvl) + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)), (any_value(total) + 2) // 3 FROM t WHERE total > 1 GROUP BY tree, place // 3),
+s AS (SELECT tree AS name, node, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS total FROM t WHERE total = 1),
+u(lvl, place, node, total) AS (SELECT 0, place, node, total FROM s
+  UNION ALL SELECT any_value(lvl) + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)), (any_value(total) + 2) // 3 FROM u WHERE total > 1 GROUP BY place // 3),
+root AS (SELECT node AS root FROM u WHERE total = 1),
+sib AS (SELECT p.tree, p.place, t.lvl AS lvl, coalesce(string_agg(t.node, '' ORDER BY t.place) FILTER (t.place < p.place // CAST(pow(3, t.lvl) AS BIGINT)), '') AS a, coalesce(string_agg(t.node, '' ORDER BY t.place) FILTER (t.place > p.place // CAST(pow(3, t.lvl) AS BIGINT)), '') AS z
+  FROM p JOIN t ON t.tree = p.tree AND t.total > 1 AND t.place // 3 = p.place // CAST(pow(3, t.lvl + 1) AS BIGINT) GROUP BY 1, 2, 3
+  UNION ALL SELECT p.tree, p.place, 100 + u.lvl, coalesce(string_agg(u.node, '' ORDER BY u.place) FILTER (u.place < s.place // CAST(pow(3, u.lvl) AS BIGINT)), ''), coalesce(string_agg(u.node, '' ORDER BY u.place) FILTER (u.place > s.place // CAST(pow(3, u.lvl) AS BIGINT)), '')
+  FROM p JOIN s ON s.name = p.tree JOIN u ON u.total > 1 AND u.place // 3 = s.place // CAST(pow(3, u.lvl + 1) AS BIGINT) GROUP BY 1, 2, 3),
+proof AS (SELECT tree, place, string_agg(a || z, '' ORDER BY lvl) AS proof, list(a || '|' || z ORDER BY lvl) AS steps FROM sib GROUP BY 1, 2),
+f AS (SELECT doc_id, leaf, node AS subroot, coalesce(proof, '') AS proof, list_reduce(list_prepend(CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN cut ELSE leaf END, coalesce(steps, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+  FROM p LEFT JOIN proof USING (tree, place) JOIN s ON s.name = p.tree)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM f, root
+"""
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * strlen(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, f.bit AS own, (SELECT coalesce(sum(g.bit), 0) FROM f g WHERE instr(substr(filter_order, 1, step - 1), g.x) > 0) AS before FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o) JOIN f ON f.x = substr(filter_order, step, 1)),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN good AND mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN toxic AND mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS toxic_lost
+  FROM c, (SELECT filter_order, step, CAST(own AS BIGINT) AS own, CAST(before AS BIGINT) AS before FROM s) GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""

@@ -155,7 +155,7 @@ def removed(row: dict, counts: np.ndarray, _: dict[int, int]) -> dict[str, list]
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (byte spans removed) for each row of docs, written. Ids are whole numbers."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (byte spans removed) for each row of docs, written."""
     with scratch(docs.sparkSession):
         return written(found_repeats(docs), "repeats", lasting=True)
 

@@ -27,14 +27,14 @@ def repeats(texts):
     return out
 
 
-def shingles(text):
+def shingles(text, size=4):
     w = BLANK_WORD.findall((text or "").translate(LOWER))
-    return frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset()
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
-def components(docs):
+def components(docs, size=4):
     """docs: [(doc_id, text)] with distinct ids."""
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, size) for i, t in docs}
     parent = {i: i for i in sets}
 
     def find(x):
