@@ -12,12 +12,13 @@ from .registry import query
 
 # ---- the default analysis
 
-AN = ("an_site", "an_name", "an_call", "an_edge", "fx_seed")
+AN = ("an_site", "an_name", "an_call", "an_edge", "an_gassign", "an_gstore", "fx_seed")
 ATOMS = (
-    "+refs AS (SELECT DISTINCT e.src AS v, s.fn AS f FROM an_edge e JOIN an_site s ON e.dst = s.site), "
+    "+gs(dst, src) AS (SELECT dst, src FROM an_gstore UNION SELECT gs.dst, a.src FROM gs JOIN an_gassign a ON gs.src = a.dst), "
+    "refs AS (SELECT DISTINCT e.src AS v, s.fn AS f FROM an_edge e JOIN an_site s ON e.dst = s.site), "
     "calls AS (SELECT DISTINCT s.fn AS caller, c.callee FROM an_call c JOIN an_site s USING (site) WHERE c.callee IN (SELECT node FROM an_name)), "
     "wide AS (SELECT DISTINCT site FROM an_call WHERE callee NOT IN (SELECT node FROM an_name) OR callee IN (SELECT node FROM an_name WHERE name = 'pthread_create')), "
-    "step AS (SELECT 'R' AS a, caller AS x, 'R' AS b, callee AS y FROM calls UNION SELECT 'R', f, 'Q', v FROM refs UNION SELECT 'Q', dst, 'Q', src FROM an_edge WHERE rel = 'Store'), "
+    "step AS (SELECT 'R' AS a, caller AS x, 'R' AS b, callee AS y FROM calls UNION SELECT 'R', f, 'Q', v FROM refs UNION SELECT 'Q', dst, 'Q', src FROM an_edge WHERE rel = 'Store' UNION SELECT 'Q', dst, 'Q', src FROM gs), "
     "r1(k, n) AS (SELECT 'R', CAST(sym AS VARCHAR) FROM fx_seed UNION SELECT b, y FROM r1 JOIN step ON k = a AND n = x), "
     "flag AS (SELECT count(*) > 0 AS yes FROM r1 JOIN an_site s ON k = 'R' AND n = s.fn WHERE s.site IN (SELECT site FROM wide)), "
     "more AS (SELECT * FROM step UNION SELECT 'Q', y, 'R', y FROM step WHERE b = 'Q' AND (SELECT yes FROM flag)), "
@@ -25,11 +26,15 @@ ATOMS = (
 )
 
 
-def analysed(spark, sf_dir):
+def analysis_facts(spark, sf_dir):
     of = lambda n: fx(spark, sf_dir, n)
     name = of("an_name")
     tables = {"edges": of("an_edge"), "calls": of("an_call"), "enclosing": of("an_site").select("fn", F.col("site").alias("local")), "symbols": name.select("node"), "names": name}
-    return reachability.analysis(tables | {"seeds": of("fx_seed").select(F.col("sym").cast("string").alias("node"))})
+    return tables | {"global_assign": of("an_gassign"), "global_store": of("an_gstore"), "seeds": of("fx_seed").select(F.col("sym").cast("string").alias("node"))}
+
+
+def analysed(spark, sf_dir):
+    return reachability.analysis(analysis_facts(spark, sf_dir))
 
 
 @query(ATOMS + "SELECT CASE k WHEN 'R' THEN 'reachable' ELSE 'referenced' END AS what, n AS node FROM r2", *AN, recursive=True)

@@ -31,9 +31,17 @@ VIEWS = {
     "an_name": "SELECT CAST(sym AS STRING) AS node, CASE WHEN sym % 501 = 5 THEN 'pthread_create' ELSE fname END AS name FROM fx_fn",
     "an_call": "SELECT site, CASE WHEN q <= 2 THEN tgt ELSE site END AS callee FROM an_site WHERE q <= 2 OR (q = 3 AND sk % 10 = 0)",
     "an_edge": "SELECT 'Store' AS rel, site AS dst, tgt AS src FROM an_site WHERE q = 4 AND tax = 0.08 UNION ALL SELECT 'Store' AS rel, tgt AS dst, CAST(sk AS STRING) AS src FROM an_site WHERE q = 4 AND tax = 0.07 UNION ALL SELECT 'Assign' AS rel, site AS dst, tgt AS src FROM an_site WHERE q = 4 AND tax = 0.06",
+    "an_gassign": "SELECT DISTINCT CAST(tgt AS STRING) AS dst, CAST((tgt * 7 + sk) % (SELECT max(p_partkey) + 1 FROM part) AS STRING) AS src FROM fx_line WHERE q = 4 AND tax = 0.05",
+    "an_gstore": "SELECT DISTINCT CAST(fn AS STRING) AS dst, CAST(tgt AS STRING) AS src FROM fx_line WHERE q = 4 AND (tax = 0.04 OR tax = 0.05)",
     "fx_step": "SELECT CAST(caller AS STRING) AS target, CAST(row_number() OVER (PARTITION BY caller ORDER BY ok, ln) - 1 AS BIGINT) AS pos, ok * 10 + ln AS addr FROM fx_call_direct",
     "fx_place": "SELECT DISTINCT o_orderkey * 10 + o_custkey % 7 AS addr, concat('fn_', CAST(o_custkey AS STRING)) AS name, concat(CASE WHEN o_custkey % 3 = 0 THEN '/usr/' ELSE 'src/' END, CAST(o_custkey % 10 AS STRING), '.c') AS file, o_custkey AS line, o_orderkey % 80 AS col, o_custkey + 1 AS end_line, o_orderkey % 80 + 2 AS end_col FROM orders",
     "fx_load": "SELECT DISTINCT tgt AS dst, fn AS src FROM fx_line WHERE q = 3 AND rf = 'A' AND sk % 3 = 0",
+    # facts of the two-phase analysis, of every line: symbols are multiples of 1000, a function's locals follow its own one, its call sites come from the 100th on
+    "tp_line": "SELECT l_partkey * 1000 AS fn, CAST(l_quantity AS BIGINT) AS q, l_partkey * 1000 + 1 + l_orderkey % 11 AS a, l_partkey * 1000 + 1 + l_suppkey % 13 AS b, l_partkey * 1000 + 100 + l_orderkey % 5 AS site, (l_orderkey * 31 + l_suppkey * 17 + l_linenumber * 7) % (SELECT max(p_partkey) + 1 FROM part) * 1000 AS tgt, CAST(l_linenumber % 3 AS BIGINT) AS i FROM lineitem",
+    "tp_edge": "SELECT DISTINCT CASE WHEN q <= 2 THEN 'Call' WHEN q <= 8 THEN 'Assign' WHEN q <= 14 THEN 'Load' WHEN q <= 20 THEN 'Store' WHEN q <= 21 THEN 'Return' WHEN q <= 23 THEN 'ArgumentSupply' ELSE 'ArgumentDefinition' END AS rel, fn, CASE WHEN q IN (1, 2, 22, 23) THEN site WHEN q = 21 THEN fn ELSE a END AS dst, CASE WHEN q IN (1, 3, 15) THEN tgt WHEN q = 24 THEN fn ELSE b END AS src, CASE WHEN q >= 22 THEN i END AS idx FROM tp_line WHERE q <= 24",
+    "tp_alloca": "SELECT DISTINCT fn, a AS v FROM tp_line WHERE q > 24 AND q <= 36",
+    "tp_star": "SELECT DISTINCT fn, b * -1 AS starred, b AS node FROM tp_line WHERE q > 36",
+    "tp_value": "SELECT fn, dst AS v FROM tp_edge UNION SELECT fn, src FROM tp_edge",
 }
 
 
