@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from .fixpoint import union
+from .ordered import asof
 
 
 def pairs(spark, kind: str) -> DataFrame:
@@ -79,3 +80,18 @@ def conservative(args: DataFrame) -> DataFrame:
 def missing_edges(observed: DataFrame, static: DataFrame) -> DataFrame:
     """Observed rows that the analysis does not have."""
     return observed.join(static, observed.columns, "left_anti").distinct()
+
+
+def observed_edges(traced: DataFrame, sites: DataFrame, symbols: DataFrame) -> DataFrame:
+    """node, value: traced (site, value) edges as nodes. sites: addr, node; symbols: start.
+
+    A value that is a site's address is that site's node, any other the start of the symbol at or before it; a value
+    below all symbols is dropped. A traced site that is not known is an error.
+    """
+    known = traced.join(sites.select(F.col("addr").alias("site"), "node"), "site", "left")
+    lost = F.raise_error(F.concat(F.lit("no trace site at "), F.col("site").cast("string"))).cast(sites.schema["node"].dataType)
+    known = known.select(F.coalesce("node", lost).alias("node"), "value").distinct()
+    kind = sites.schema["node"].dataType
+    at_site = known.join(sites.select(F.col("addr").alias("value"), F.col("node").alias("_other")), "value", "left")
+    placed = asof(at_site, "value", symbols.select(F.col("start").alias("_start")).distinct(), "_start")
+    return placed.select("node", F.coalesce("_other", F.col("_start").cast(kind)).alias("value")).where("value IS NOT NULL").distinct()

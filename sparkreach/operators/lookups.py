@@ -1,4 +1,4 @@
-"""Lookups by address and stream codecs: floor and interval joins, interval union, delta coding, keep-first."""
+"""Lookups by key and stream codecs: delta coding, frame slices, keep-first and keep-last. Lookups by address are in `ordered`."""
 
 from __future__ import annotations
 
@@ -6,46 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def floor_join(points: DataFrame, at: str, ranges: DataFrame, start: str, size: str, cell: int = 1 << 16) -> DataFrame:
-    """points with the columns of the range [start, start + size) that holds the point, null if none. Ranges do not overlap.
-
-    Ranges are listed for the cells that they touch, so the join is by equality and spreads whatever the ranges' number.
-    """
-    first, last = F.floor(F.col(start) / cell), F.floor((F.col(start) + F.col(size) - 1) / cell)
-    listed = ranges.where(F.col(size) > 0).withColumn("_cell", F.explode(F.sequence(first, last)))
-    here = points.withColumn("_cell", F.floor(F.col(at) / cell))
-    return here.join(listed, (here["_cell"] == listed["_cell"]) & (here[at] >= listed[start]) & (here[at] < listed[start] + listed[size]), "left").drop("_cell")
-
-
-def within(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, cell: int = 1 << 16) -> DataFrame:
-    """The points that lie in any [lo, hi)."""
-    merged = interval_union(ranges, lo, hi)
-    listed = merged.withColumn("_c", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))))
-    return points.join(listed, (F.floor(points[at] / cell) == listed["_c"]) & (points[at] >= listed["lo"]) & (points[at] < listed["hi"]), "left_semi")
-
-
-def interval_union(ranges: DataFrame, lo: str, hi: str, block: int = 1 << 20) -> DataFrame:
-    """lo, hi of the unions of half-open intervals, touching ones joined.
-
-    Runs are found in blocks of the address space first, in parallel; what is left is joined across blocks.
-    """
-    cut = ranges.where(F.col(lo) < F.col(hi)).select(F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"))
-    cut = cut.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
-    cut = cut.select("b", F.greatest("lo", F.col("b") * block).alias("lo"), F.least("hi", (F.col("b") + 1) * block).alias("hi"))
-    inner = islands(cut, ["b"])
-    # only runs that touch a block's edge can go on; runs of them are joined by their blocks' order
-    edge = inner.where((F.col("lo") == F.col("b") * block) | (F.col("hi") == (F.col("b") + 1) * block))
-    rest = inner.where((F.col("lo") != F.col("b") * block) & (F.col("hi") != (F.col("b") + 1) * block))
-    return rest.select("lo", "hi").unionByName(islands(edge.withColumn("all", F.lit(0)), ["all"]).select("lo", "hi"))
-
-
-def islands(rows: DataFrame, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("lo", "hi")
-    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    run = F.sum(F.when(F.col("lo") <= F.col("_before"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_before", before).withColumn("_run", run).groupBy(*by, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
-
-
 def delta_decode(rows: DataFrame, by: list[str], pos: str, delta: str) -> DataFrame:
     """rows with `value`: the running sum of deltas, modulo 2 ** 32."""
     w = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)

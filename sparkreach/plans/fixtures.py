@@ -36,6 +36,11 @@ VIEWS = {
     "fx_step": "SELECT CAST(caller AS STRING) AS target, CAST(row_number() OVER (PARTITION BY caller ORDER BY ok, ln) - 1 AS BIGINT) AS pos, ok * 10 + ln AS addr FROM fx_call_direct",
     "fx_place": "SELECT DISTINCT o_orderkey * 10 + o_custkey % 7 AS addr, concat('fn_', CAST(o_custkey AS STRING)) AS name, concat(CASE WHEN o_custkey % 3 = 0 THEN '/usr/' ELSE 'src/' END, CAST(o_custkey % 10 AS STRING), '.c') AS file, o_custkey AS line, o_orderkey % 80 AS col, o_custkey + 1 AS end_line, o_orderkey % 80 + 2 AS end_col FROM orders",
     "fx_load": "SELECT DISTINCT tgt AS dst, fn AS src FROM fx_line WHERE q = 3 AND rf = 'A' AND sk % 3 = 0",
+    # bodies that hold each other or are apart: suppliers' of 900, customers' of 55 mostly within them, nations' around all
+    "nb_body": "SELECT concat('s', CAST(s_suppkey AS STRING)) AS fn, s_suppkey * 1000 AS low, s_suppkey * 1000 + 900 AS high FROM supplier UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), c_custkey * 100 + 5, c_custkey * 100 + 60 FROM customer UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), n_nationkey * 40000 - 10, n_nationkey * 40000 + 39000 FROM nation",
+    "nb_point": "SELECT o_orderkey, (o_orderkey * 137) % ((SELECT max(s_suppkey) + 1 FROM supplier) * 1000) AS addr FROM orders",
+    "tv_site": "SELECT DISTINCT site AS addr, site * 65536 + 1 AS node FROM fx_trace",
+    "tv_edge": "SELECT site, CASE WHEN event_id % 3 = 0 THEN val * 2 + 2 ELSE (event_id * 7919) % 400000 END AS value FROM fx_trace",
     # facts of the two-phase analysis, of every line: symbols are multiples of 1000, a function's locals follow its own one, its call sites come from the 100th on
     "tp_line": "SELECT l_partkey * 1000 AS fn, CAST(l_quantity AS BIGINT) AS q, l_partkey * 1000 + 1 + l_orderkey % 11 AS a, l_partkey * 1000 + 1 + l_suppkey % 13 AS b, l_partkey * 1000 + 100 + l_orderkey % 5 AS site, (l_orderkey * 31 + l_suppkey * 17 + l_linenumber * 7) % (SELECT max(p_partkey) + 1 FROM part) * 1000 AS tgt, CAST(l_linenumber % 3 AS BIGINT) AS i FROM lineitem",
     "tp_edge": "SELECT DISTINCT CASE WHEN q <= 2 THEN 'Call' WHEN q <= 8 THEN 'Assign' WHEN q <= 14 THEN 'Load' WHEN q <= 20 THEN 'Store' WHEN q <= 21 THEN 'Return' WHEN q <= 23 THEN 'ArgumentSupply' ELSE 'ArgumentDefinition' END AS rel, fn, CASE WHEN q IN (1, 2, 22, 23) THEN site WHEN q = 21 THEN fn ELSE a END AS dst, CASE WHEN q IN (1, 3, 15) THEN tgt WHEN q = 24 THEN fn ELSE b END AS src, CASE WHEN q >= 22 THEN i END AS idx FROM tp_line WHERE q <= 24",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, nodes
-from ..operators import andersen, facts, fixpoint, graph, lifting, lookups, overrides, reachability, reports, summaries, triage
+from ..operators import andersen, facts, fixpoint, graph, lifting, lookups, ordered, overrides, reachability, reports, summaries, triage
 from ..streaming import traces
 from .fixtures import ctes, fx
 
@@ -318,17 +318,17 @@ def missing_edges(spark, sf_dir):
 
 @query("SELECT o_orderkey, addr, sec FROM fx_addr LEFT JOIN fx_section ON addr >= start_addr AND addr < start_addr + size_bytes", "fx_addr", "fx_section")
 def addr_floor_section(spark, sf_dir):
-    return lookups.floor_join(fx(spark, sf_dir, "fx_addr"), "addr", fx(spark, sf_dir, "fx_section"), "start_addr", "size_bytes").select("o_orderkey", "addr", "sec")
+    return ordered.floor_join(fx(spark, sf_dir, "fx_addr"), "addr", fx(spark, sf_dir, "fx_section"), "start_addr", "size_bytes").select("o_orderkey", "addr", "sec")
 
 
 @query("SELECT o_orderkey, addr FROM fx_addr WHERE EXISTS (SELECT 1 FROM fx_segment WHERE addr >= lo AND addr < hi)", "fx_addr", "fx_segment")
 def segment_semi(spark, sf_dir):
-    return lookups.within(fx(spark, sf_dir, "fx_addr"), "addr", fx(spark, sf_dir, "fx_segment"), "lo", "hi")
+    return ordered.within(fx(spark, sf_dir, "fx_addr"), "addr", fx(spark, sf_dir, "fx_segment"), "lo", "hi")
 
 
 @query("+a AS (SELECT lo, hi, max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM fx_segment), g AS (SELECT lo, hi, sum(CASE WHEN lo <= b THEN 0 ELSE 1 END) OVER (ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM a) SELECT min(lo) AS lo, max(hi) AS hi FROM g GROUP BY run", "fx_segment")
 def interval_union(spark, sf_dir):
-    return lookups.interval_union(fx(spark, sf_dir, "fx_segment"), "lo", "hi")
+    return ordered.interval_union(fx(spark, sf_dir, "fx_segment"), "lo", "hi")
 
 
 @query("SELECT DISTINCT d.caller AS func, d.ok * 10 + d.ln AS addr, d.callee FROM fx_call_direct d JOIN fx_fn f ON f.sym = d.caller", "fx_call_direct", "fx_fn")
@@ -403,4 +403,4 @@ def reach_two_phase(spark, sf_dir):
     return summaries.solve(assign.unionByName(calls).distinct(), symbols, inside, of("fx_seed").select(F.col("sym").alias("node")))[1]
 
 
-from . import analysis_queries, model_queries, rule_queries, source_queries  # noqa: E402, F401  (they register their queries)
+from . import analysis_queries, model_queries, order_queries, rule_queries, source_queries  # noqa: E402, F401  (they register their queries)

@@ -195,7 +195,7 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
 
 def resolve_pointers(slots: DataFrame, relocations: DataFrame, sections: DataFrame) -> DataFrame:
     """slot, target: by relocation; a slot of a section without bytes and without relocation is 0; any other is an error."""
-    from ..operators.lookups import floor_join
+    from ..operators.ordered import floor_join
 
     known = slots.join(relocations, "slot", "left")
     placed = floor_join(known, "slot", sections.select("start", "size", "nobits"), "start", "size")
@@ -214,10 +214,18 @@ def source_lines(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("file", "line", "col").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
 
 
-def label_sites(labels: DataFrame, subprograms: DataFrame, prefix: str) -> DataFrame:
-    """fn, addr, local of call-site labels. labels: name, addr; subprograms: fn, low, size, depth. The outermost body that holds the address counts."""
-    from ..operators.lookups import floor_join
+def label_sites(labels: DataFrame, bodies: DataFrame, prefix: str) -> DataFrame:
+    """fn, addr, local of call-site labels. labels: name, addr; bodies: fn, low, high, of functions and of what is inlined in them. The outermost body that holds the address counts."""
+    from ..operators.ordered import nested
 
     found = labels.where(F.col("name").startswith(prefix)).select("addr", F.substring("name", len(prefix) + 1, 20).cast("int").alias("local"))
-    outer = subprograms.where("depth = 0")
-    return floor_join(found, "addr", outer.select("fn", "low", "size"), "low", "size").where("fn IS NOT NULL").select("fn", "addr", "local")
+    return nested(found, "addr", bodies.select("fn", "low", "high"), "low", "high", outermost=True).where("fn IS NOT NULL").select("fn", "addr", "local")
+
+
+def inline_edges(inlined: DataFrame, bodies: DataFrame) -> DataFrame:
+    """inliner (the least address of the function's bodies), name: what is inlined where. inlined: name (null where there is none), addr; bodies: fn, low, high."""
+    from ..operators.ordered import nested
+
+    first = bodies.where("low < high").groupBy("fn").agg(F.min("low").alias("inliner"))
+    found = nested(inlined.where("name IS NOT NULL"), "addr", bodies.select("fn", "low", "high"), "low", "high", outermost=True)
+    return found.join(first, "fn").select("inliner", "name").distinct()

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.nodes import clear_epoch
-from ..storage import shared_dir
+from ..operators.fixpoint import union
+from ..operators.ordered import asof, floor_join, interval_union
+from ..storage import shared_dir, written
 
 
 def distinct_edges(stream: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -19,15 +23,32 @@ def distinct_edges(stream: DataFrame, watermark: str | None = None) -> DataFrame
     return masked.dropDuplicates(["site", "val"])
 
 
-def classify(values: DataFrame, segments: DataFrame, tags: DataFrame) -> DataFrame:
-    """values with `as_value`: itself inside a segment (lo, hi), else its allocation's tag (start, end, tag); others are dropped.
+def classify(values: DataFrame, segments: DataFrame, slots: DataFrame, tags: DataFrame) -> DataFrame:
+    """values (ts, val, ...) with `as_value`, one row a value at most: itself in a segment, else the tag of its allocation; others are dropped.
 
-    A stream joins the static side anew each batch, so a changed segment table takes effect.
+    segments: since, lo, hi, a whole set for each `since`, in force until the next one. slots: start, size, apart from each
+    other. tags: start (of a slot), since, tag (null once freed). What was in force at the value's ts counts.
     """
-    listed = segments.select("lo", "hi")
-    inside = values.join(F.broadcast(listed), (values["val"] >= listed["lo"]) & (values["val"] < listed["hi"]), "left").withColumn("_in", F.col("lo").isNotNull()).drop("lo", "hi")
-    tagged = inside.join(F.broadcast(tags), (inside["val"] >= tags["start"]) & (inside["val"] < tags["end"]), "left")
-    return tagged.withColumn("as_value", F.when(F.col("_in"), F.col("val")).otherwise(F.col("tag"))).where("as_value IS NOT NULL").drop("_in", "start", "end", "tag")
+    version = segments.select(F.col("since").alias("_version")).distinct()
+    seen = asof(values, "ts", version, "_version")
+    keyed = written(seen, "values")
+    own = interval_union(segments.select(F.col("since").alias("_version"), "lo", "hi"), "lo", "hi", ["_version"])
+    placed = asof(keyed.where("_version IS NOT NULL"), "val", own, "lo", ["_version"])
+    inside = placed.withColumn("_in", F.coalesce(F.col("val") < F.col("hi"), F.lit(False))).select(*values.columns, "_in")
+    inside = written(inside.unionByName(keyed.where("_version IS NULL").select(*values.columns, F.lit(False).alias("_in"))), "placed")
+    there = floor_join(inside.where("NOT _in").drop("_in"), "val", slots.select(F.col("start").alias("_slot"), "size"), "_slot", "size").where("_slot IS NOT NULL")
+    tagged = asof(there.drop("size"), "ts", tags.select(F.col("start").alias("_slot"), F.col("since").alias("_since"), F.col("tag").alias("_tag")), "_since", ["_slot"])
+    return inside.where("_in").select(*values.columns, F.col("val").alias("as_value")).unionByName(tagged.where("_tag IS NOT NULL").select(*values.columns, F.col("_tag").alias("as_value")))
+
+
+def classify_stream(threads: list[DataFrame], tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], out: str, checkpoint: str) -> StreamingQuery:
+    """Classifies the union of the threads' streams (ts, val, ...), batch by batch, into a table at out; tables gives segments, slots and tags as they are when a batch begins."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        found = classify(written(rows, "batch"), *tables())
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that is run again replaces itself
+
+    return union(threads).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def words(buffers: DataFrame) -> DataFrame:

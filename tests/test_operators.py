@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkreach.operators import andersen, facts, fixpoint, graph, lifting, lookups, overrides, reachability, reports, summaries, triage
+from sparkreach.operators import andersen, facts, fixpoint, graph, lifting, lookups, ordered, overrides, reachability, reports, summaries, triage
 
 
 def edges(spark, rows):
@@ -186,16 +186,15 @@ def test_starred_substitutions(spark, seed, congruent):
 def test_lookups(spark):
     ranges = spark.createDataFrame([(1, 100, 50), (2, 200, 10), (3, 70000, 70000)], "id bigint, start bigint, size bigint")
     points = spark.createDataFrame([(a,) for a in (99, 100, 149, 150, 209, 210, 70000, 139999, 140000)], "at bigint")
-    got = dict(values(lookups.floor_join(points, "at", ranges, "start", "size", 1024), "at", "id"))
+    got = dict(values(ordered.floor_join(points, "at", ranges, "start", "size"), "at", "id"))
     assert got == {99: None, 100: 1, 149: 1, 150: None, 209: 2, 210: None, 70000: 3, 139999: 3, 140000: None}
     rng = random.Random(1)
     spans = [(a, a + rng.randrange(30)) for a in (rng.randrange(900) for _ in range(60))]
     df = spark.createDataFrame(spans, "lo bigint, hi bigint")
     covered = {x for a, b in spans for x in range(a, b)}
-    for block in (64, 1 << 20):
-        joined = sorted(values(lookups.interval_union(df, "lo", "hi", block), "lo", "hi"))
-        assert {x for a, b in joined for x in range(a, b)} == covered and all(a[1] < b[0] for a, b in zip(joined, joined[1:]))
-    inside = lookups.within(spark.range(0, 1000).select(F.col("id").alias("at")), "at", df, "lo", "hi", 100)
+    joined = sorted(values(ordered.interval_union(df, "lo", "hi"), "lo", "hi"))
+    assert {x for a, b in joined for x in range(a, b)} == covered and all(a[1] < b[0] for a, b in zip(joined, joined[1:]))
+    inside = ordered.within(spark.range(0, 1000).select(F.col("id").alias("at")), "at", df, "lo", "hi")
     assert values(inside, "at") == covered
 
 
