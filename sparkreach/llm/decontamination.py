@@ -5,25 +5,32 @@ window length there is a shift table over blocks of two words (one word for wind
 may move on from a position whose last block is that one. A shift of nought leads to a bucket of test windows picked by
 the suffix block, then the prefix block, which are compared word by word.
 
-The documents stay where they are read: no shuffle. The benchmark goes out in blocks of at most `block_bytes` of text
-(its size is taken first); with more than one block, hits are carried in a written table from block to block.
-
-Cases: null and empty texts have no words and are not contaminated; items without words have no windows; items with
-a null id mark words but are not named; rows with equal ids are kept apart; further columns are ignored.
+The documents stay where they are read: no shuffle. The benchmark goes out in blocks of about `block_bytes` of text (its
+size is taken first, items are dealt by hash); with more than one block, hits are carried in a written table from block
+to block. A block's words are numbered, and its tables are arrays over the numbers, made once and broadcast: some 20
+bytes for each of its own, so a block of BLOCK_BYTES takes about 200 MB in a worker while it is taken apart and at work
+(tests hold it below 400).
+
+Cases: null and empty texts have no words and are not contaminated; texts are searched whole, however long; items
+without words have no windows; items with a null id mark words but are not named; rows with equal ids, and equal rows,
+are kept apart; an empty table of documents gives no rows, an empty benchmark hits nothing; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from array import array
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, unveiled, veiled, written
 
 WINDOW = 13
+BLOCK_BYTES = 8 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -32,44 +39,92 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
+BLOCK_BITS = np.uint64(32)
+
+
+def blocks_of(ids: np.ndarray, b: int) -> np.ndarray:
+    """The numbers of the blocks of b words (1 or 2) that end at each word but the first b - 1."""
+    if b == 1:
+        return ids.astype(np.uint64)
+    return (ids[:-1].astype(np.uint64) << BLOCK_BITS) | ids[1:].astype(np.uint64)
+
+
+def each(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all runs from starts, and how far each is from its run's start."""
+    far = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(starts, sizes) + far, far
+
+
 class WuManber:
-    """All windows of one length m."""
-
-    def __init__(self, m: int, windows: dict[tuple, set]):
-        self.m, self.block = m, min(2, m)
-        self.far = m - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.tests: dict[tuple, dict[tuple, list]] = {}
-        for window, items in windows.items():
-            for end in range(self.block, m + 1):
-                key = window[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.far), m - end)
-            self.tests.setdefault(window[-self.block :], {}).setdefault(window[: self.block], []).append((window, items))
-
-    def search(self, text: list[bytes]):
-        """(first word, items) of each occurrence."""
-        m, b, far, shift = self.m, self.block, self.far, self.shift
-        end, n = m, len(text)
-        while end <= n:
-            key = tuple(text[end - b : end])
-            move = shift.get(key, far)
-            if move:
-                end += move
+    """All windows of one length m, as arrays: some 40 bytes a window."""
+
+    def __init__(self, m: int, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, items: np.ndarray):
+        """flat: words of all items; starts, sizes: where those of at least m words lie in it; items: their numbers."""
+        self.m, self.b, self.flat = m, min(2, m), flat
+        self.far = m - self.b + 1
+        number = blocks_of(flat, self.b)
+        # a block may stand as far on in a window as its item reaches back from it; the furthest place gives the least shift
+        at, back = each(starts, sizes - self.b + 1)
+        shift = (self.far - 1 - np.minimum(back, self.far - 1)).astype(np.uint8 if m < 256 else np.int32)
+        keys = number[at]
+        order = np.lexsort((shift, keys))
+        keys, shift = keys[order], shift[order]
+        first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+        self.blocks, self.shifts = keys[first], shift[first]
+        at, _ = each(starts, sizes - m + 1)
+        items = np.repeat(items, sizes - m + 1)
+        # tests: windows by suffix block, then prefix block
+        suffix, prefix = number[at + self.far - 1], number[at]
+        order = np.lexsort((prefix, suffix))
+        self.suffix, self.prefix, self.at, self.items = suffix[order], prefix[order], at[order].astype(np.int32), items[order]
+
+    def search(self, text: np.ndarray):
+        """(first word, numbers of items) of each occurrence. text: numbers of words, 0 for those in no item."""
+        m, b = self.m, self.b
+        if len(text) < m or not len(self.blocks):
+            return
+        number = blocks_of(text, b)
+        k = np.minimum(np.searchsorted(self.blocks, number), len(self.blocks) - 1)
+        move = np.where(self.blocks[k] == number, self.shifts[k], self.far).tolist()
+        end, n = m - b, len(move)  # places of blocks
+        while end < n:
+            step = move[end]
+            if step:
+                end += step
                 continue
-            for window, items in self.tests[key].get(tuple(text[end - m : end - m + b]), ()):
-                if all(map(bytes.__eq__, window, text[end - m : end])):
-                    yield end - m, items
+            first = end - (m - b)
+            lo, hi = np.searchsorted(self.suffix, number[end], "left"), np.searchsorted(self.suffix, number[end], "right")
+            lo, hi = lo + np.searchsorted(self.prefix[lo:hi], number[first], "left"), lo + np.searchsorted(self.prefix[lo:hi], number[first], "right")
+            for j in range(lo, hi):
+                start = self.at[j]
+                if np.array_equal(self.flat[start : start + m], text[first : first + m]):
+                    yield first, self.items[j]
             end += 1
 
 
-def matchers(items: list[tuple], window: int) -> list[WuManber]:
-    by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for item_id, text in items:
-        w = words(text)
-        m = min(window, len(w))
-        for i in range(len(w) - m + 1 if m else 0):
-            by_length[m][tuple(w[i : i + m])].add(item_id)
-    return [WuManber(m, found) for m, found in by_length.items()]
+class Patterns:
+    """A block of the benchmark: numbers of its words, its items' names and a matcher for each window length."""
+
+    def __init__(self, rows: Iterable[tuple[str | None, str | None]], window: int):
+        self.vocabulary: dict[bytes, int] = {}
+        self.names: list[str | None] = []
+        flat, bounds = array("I"), array("q", [0])
+        for name, text in rows:
+            w = words(text)
+            if w:
+                flat.extend(self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w)
+                bounds.append(len(flat))
+                self.names.append(name)
+        flat, bounds = np.frombuffer(flat, np.uint32) if len(flat) else np.zeros(0, np.uint32), np.frombuffer(bounds, np.int64)
+        sizes = np.diff(bounds)
+        self.matchers = []
+        for m in np.unique(np.minimum(sizes, window)).tolist():
+            mine = np.flatnonzero(np.minimum(sizes, window) == m)
+            self.matchers.append(WuManber(m, flat, bounds[mine], sizes[mine], mine.astype(np.int32)))
+
+    def numbers(self, w: list[bytes]) -> np.ndarray:
+        known = self.vocabulary
+        return np.fromiter((known.get(x, 0) for x in w), np.uint32, len(w))
 
 
 def spans(hits: list[int]) -> list[int]:
@@ -83,7 +138,7 @@ def spans(hits: list[int]) -> list[int]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs' columns `keep` (doc_id, at least) with n_words, hits (word spans, flat) and items (ids as sorted strings)."""
     keep = keep or ["doc_id"]
     bench = benchmark.select("item_id", "text")
@@ -93,26 +148,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     carried = dict.fromkeys([*keep, "text"])
     state = docs.select(*carried).withColumns({"_hits": F.expr("cast(array() as array<int>)"), "_items": F.expr("cast(array() as array<string>)")})
     for k in range(n_blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()
-        items, last = [(None if r[0] is None else str(r[0]), r[1]) for r in rows], k == n_blocks - 1
+        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).toLocalIterator()
+        patterns = docs.sparkSession.sparkContext.broadcast(Patterns(((None if r[0] is None else str(r[0]), r[1]) for r in rows), window))
+        last = k == n_blocks - 1
         names = keep if last else list(carried)
 
-        def make(items=items, names=names, last=last, at=list(carried)):
-            found = matchers(items, window)
+        def make(patterns=patterns, names=names, last=last, at=list(carried)):
+            found = patterns.value
 
             def run(*columns):
                 texts, hits, named = columns[at.index("text")], columns[-2], columns[-1]
                 out_n, out_hits, out_items = [], [], []
                 for text, old, ids in zip(texts, hits, named, strict=True):
                     w = words(text)
-                    marks, seen = list(old), set(ids)
-                    for m in found:
-                        for first, which in m.search(w):
+                    marks, seen, which = list(old), set(ids), set()
+                    numbers = found.numbers(w)
+                    for m in found.matchers if numbers.any() else ():
+                        for first, item in m.search(numbers):
                             marks += (first, first + m.m)
-                            seen |= which
+                            which.add(int(item))
                     out_n.append(len(w))
                     out_hits.append(spans(marks))
-                    out_items.append(sorted(seen - {None}))
+                    out_items.append(sorted((seen | {found.names[i] for i in which}) - {None}))
                 head = [columns[at.index(c)] for c in names]
                 return [*head, out_n, out_hits, out_items] if last else [*head, out_hits, out_items]
 

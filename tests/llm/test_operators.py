@@ -161,6 +161,44 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.digest(empty, named).count() == 0 and decontamination.digest(docs, named.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_patterns_memory():
+    """A full block of the benchmark, of invented words: bounded memory, windows found."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, random, numpy as np
+from sparkreach.llm.decontamination import BLOCK_BYTES, WINDOW, Patterns
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rng = random.Random(1)
+def rows():
+    size = 0
+    while size < BLOCK_BYTES:
+        t = " ".join("%x" % rng.randrange(1 << 20) for _ in range(200))
+        size += len(t)
+        yield str(size), t
+p = Patterns(rows(), WINDOW)
+text = p.matchers[0].flat[5:30]
+assert sorted({int(f) for f, _ in p.matchers[0].search(text)}) == list(range(13))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 400
+
+
+def test_decontamination_long_and_repeated(spark):
+    """A text far longer than others, repeated rows, windows that stand side by side, items of one word and of two."""
+    rng = random.Random(3)
+    item = prose(rng, 40, 10**6)
+    long = prose(rng, 60_000, 10**5) + " " + item + " " + item
+    rows = [(1, long), (2, item), (2, item), (3, " ".join(item.split()[:12])), (4, "alpha beta gamma"), (5, "beta alpha"), (6, "gamma delta gamma")]
+    items = [(1, item), (2, "alpha"), (3, "Gamma delta"), (4, " ".join(item.split()[20:33]))]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = sorted(tuple(r[c] for c in columns) for r in decontamination.digest(df, bench).collect())
+    assert found == sorted((i, *e) for (i, _), e in zip(rows, helpers.contamination([t for _, t in rows], items)))
+
+
 def test_warc(spark):
     rows = [(5, "http://a/x y", "same"), (2, None, "same"), (9, "http://b", "same"), (1, "u", None), (3, "u", ""), (4, "v", "é\r\n\r\nWARC/1.1\r\n"), (7, "v", "long " * 20000), (None, "n", "same"), (2, "again", "same")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, digest string").repartition(3)
