@@ -1,17 +1,24 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Base rules: fewer than 50 words, or over half the words in repeated three-word windows. The method adds cutoffs on
-ratios (RULES), one per stratum (language) and rule, from labelled holdouts: of the n good documents of a stratum, k
-lie above a cutoff. A cutoff is safe if the exact binomial tail P(X <= k | n, risk) is at most error / tests: then a
-false-rejection rate above `risk` is ruled out at that level (Clopper-Pearson), with Bonferroni's correction over all
-strata, rules and cutoffs of the fixed grid. `max_risk` is shared among the rules, so that a stratum's rejections of
-good documents stay below it. The lowest safe cutoff is used; with none, the rule rejects nothing in that stratum.
+ratios (RULES) for each stratum (language) from labelled holdouts. The rules' grids of cutoffs go together: at level j
+every rule has its j-th cutoff, so what is rejected at one level is rejected at all lower ones too, by any rule. Of the
+n good documents of a stratum k are rejected at a level, and the level is safe if the exact binomial tail
+P(X <= k | n, max_risk) is at most error / strata: then a false-rejection rate above `max_risk`, of all rules together,
+is ruled out (Clopper-Pearson). Levels are tested from the highest on and the first that isn't safe ends it; in such a
+fixed sequence each test may have the full error of its stratum, so only strata need a correction (Bonferroni's). The
+lowest safe level is used; with none, a stratum's documents are rejected by the base rules alone.
+
+A stratum with too few good labels for even a level that rejects none of them is pooled with the others of that kind;
+the guarantee is then on their pool. Languages without a good label get no cutoff.
 
 Texts are scanned once, without a shuffle: windows, lines and words are arrays within a row. What follows works on a
 written table of counts. Cutoffs are a row per stratum; they are broadcast, their count is checked first.
 
 Cases: null and empty texts have no words and fail; null languages are a stratum of their own; a document labelled more
-than once counts as good only if all its labels say so; no labels: only base rules reject.
+than once counts as good only if all its labels say so; rows of equal ids are judged each by its text, and a label of
+the id holds for all of them; texts are read whole, at any length; no labels: only base rules reject; an empty table
+gives no rows; further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,13 +31,14 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLANK = r"\x20\x09-\x0D"
-# rule: ratio of counts, and its grid of cutoffs (lowest, step, number); fixed before any data are seen
+# rule: ratio of counts, and its grid of cutoffs (lowest, step); fixed before any data are seen
 RULES = {
-    "symbols": ("n_symbols / greatest(word_chars, 1)", 0.02, 0.04, 8),
-    "capitals": ("n_capitals / greatest(word_chars, 1)", 0.10, 0.10, 8),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.10, 0.05, 8),
-    "loners": ("n_loners / greatest(n_words, 1)", 0.05, 0.05, 8),
+    "symbols": ("n_symbols / greatest(word_chars, 1)", 0.02, 0.04),
+    "capitals": ("n_capitals / greatest(word_chars, 1)", 0.10, 0.10),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.10, 0.05),
+    "loners": ("n_loners / greatest(n_words, 1)", 0.05, 0.05),
 }
+LEVELS = 8
 MAX_STRATA = 10_000  # of which cutoffs are broadcast; beyond, they are joined
 
 
@@ -84,40 +92,42 @@ def binomial_tail(k, n, p: float):
     return F.exp(F.aggregate(steps, start, step, lambda a: a["sum"]))
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, max_risk: float, error: float, shares: dict[str, float] | None = None) -> DataFrame:
-    """lang, rule, cutoff, n, k, tail of the lowest safe cutoffs. shares: of max_risk for each rule, even if not given; a rule of no share has no cutoffs.
+def level(low: float, step: float, ratio: str):
+    """The last cutoff that the ratio reaches; below all of them -1."""
+    return F.greatest(F.lit(-1), F.least(F.floor((F.expr(ratio) - low) / step), F.lit(LEVELS - 1))).cast("int")
+
+
+def worst():
+    return F.greatest(*(level(low, step, x) for x, low, step in RULES.values()))
+
+
+def cutoffs(counted: DataFrame, labels: DataFrame, max_risk: float, error: float) -> DataFrame:
+    """lang, pooled, at (the level), n, k, tail of the languages that have a safe level.
 
-    With risk r a rule and t tests, a cutoff that rejects no good document needs log(t / error) / -log(1 - r) of them.
+    With risk r, error e and t strata a level that rejects no good document needs log(t / e) / -log(1 - r) of them.
     """
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    held = counted.where(~F.col("base_failed")).join(good, "doc_id")
-    ratios = F.array(*(F.struct(F.lit(name).alias("rule"), F.floor((F.expr(x) - low) / step).alias("b"), F.lit(size).alias("size")) for name, (x, low, step, size) in RULES.items()))
-    # b: the last cutoff that the ratio reaches; below the grid -1
-    bins = held.select("lang", F.explode(ratios).alias("r")).select("lang", "r.rule", F.greatest(F.lit(-1), F.least(F.col("r.b"), F.col("r.size"))).alias("b"), "r.size")
-    bins = bins.groupBy("lang", "rule", "size", "b").agg(F.count("*").alias("m"))
-    # a few dozen bins for each stratum and rule from here on
-    levels = bins.groupBy("lang", "rule", "size").agg(F.collect_list(F.struct("b", "m")).alias("bins"), F.sum("m").alias("n"))
-    levels = levels.withColumn("tests", F.lit(sum(x[3] for x in RULES.values()) * max(1, levels.select("lang").distinct().count())))
-    grid = levels.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"))
-    grid = grid.withColumn("k", F.expr("aggregate(filter(bins, x -> x.b >= at), 0L, (a, x) -> a + x.m)"))
-    tail = F.lit(1.0)
-    for name in RULES:
-        risk = max_risk * (shares.get(name, 0.0) if shares else 1 / len(RULES))
-        if risk > 0:
-            tail = F.when(F.col("rule") != name, tail).when(F.col("k") > F.col("n") * risk, 1.0).otherwise(binomial_tail(F.col("k"), F.col("n"), risk))
-    grid = grid.withColumn("tail", tail)
-    value = F.expr("CASE rule " + " ".join(f"WHEN '{name}' THEN {low}D + {step}D * at" for name, (_, low, step, _) in RULES.items()) + " END")
-    safe = grid.where(F.col("tail") <= error / F.col("tests")).groupBy("lang", "rule").agg(F.min_by(F.struct(F.col("at"), F.col("n"), F.col("k"), F.col("tail")), "at").alias("best"))
-    return safe.select("lang", "rule", F.col("best.at").alias("at"), F.col("best.n").alias("n"), F.col("best.k").alias("k"), F.col("best.tail").alias("tail")).withColumn("cutoff", value)
-
-
-def judge(docs: DataFrame, labels: DataFrame, max_risk: float = 0.02, error: float = 0.05, shares: dict[str, float] | None = None) -> DataFrame:
-    """counts of each row with kept and failed (names of the rules above their cutoff)."""
+    held = counted.where(~F.col("base_failed")).join(good, "doc_id").groupBy("lang", worst().alias("b")).agg(F.count("*").alias("m"))
+    held = written(held, "held")  # ten rows a language at most
+    sizes = held.groupBy("lang").agg(F.sum("m").alias("n"))
+    strata = sizes.count() + 1  # the pool may be one more
+    enough = math.log(strata / error) / -math.log1p(-max_risk)
+    sizes = sizes.select(F.col("lang").alias("own"), (F.col("n") < enough).alias("pooled"))
+    sizes = sizes.withColumn("stratum", F.when(F.col("pooled"), "pool").otherwise(F.coalesce(F.concat(F.lit("="), "own"), F.lit("null"))))
+    bins = held.join(sizes, F.col("lang").eqNullSafe(F.col("own"))).groupBy("stratum").agg(F.collect_list(F.struct("b", "m")).alias("bins"), F.sum("m").alias("n"))
+    grid = bins.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("at")).withColumn("k", F.expr("aggregate(filter(bins, x -> x.b >= at), 0L, (a, x) -> a + x.m)"))
+    grid = grid.withColumn("tail", F.when(F.col("k") > F.col("n") * max_risk, 1.0).otherwise(binomial_tail(F.col("k"), F.col("n"), max_risk)))
+    # k falls as levels rise, and so does the tail: the safe levels are those from the lowest safe one on
+    safe = grid.where(F.col("tail") <= error / strata).groupBy("stratum").agg(F.min(F.struct("at", "n", "k", "tail")).alias("best"))
+    return sizes.join(safe, "stratum").select(F.col("own").alias("lang"), "pooled", "best.*")
+
+
+def judge(docs: DataFrame, labels: DataFrame, max_risk: float = 0.02, error: float = 0.05) -> DataFrame:
+    """counts of each row with kept and failed (names of the rules at or above their cutoff)."""
     counted = written(counts(docs), "counts")
-    safe = written(cutoffs(counted, labels, max_risk, error, shares), "cutoffs")
-    by_stratum = safe.groupBy(F.col("lang").alias("stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "at"))).alias("at"))
-    found = counted.join(F.broadcast(by_stratum) if by_stratum.count() <= MAX_STRATA else by_stratum, F.col("lang").eqNullSafe(F.col("stratum")), "left")
-    failed = F.array_compact(F.array(*(F.when(F.floor((F.expr(x) - low) / step) >= F.col("at")[name], F.lit(name)) for name, (x, low, step, _) in RULES.items())))
+    safe = written(cutoffs(counted, labels, max_risk, error).select(F.col("lang").alias("stratum"), "at"), "cutoffs")
+    found = counted.join(F.broadcast(safe) if safe.count() <= MAX_STRATA else safe, F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    failed = F.array_compact(F.array(*(F.when(level(low, step, x) >= F.col("at"), F.lit(name)) for name, (x, low, step) in RULES.items())))
     return found.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("stratum", "at")
 
 

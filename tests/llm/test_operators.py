@@ -319,6 +319,83 @@ def test_binomial_tail_and_risk(spark):
     assert {(r["doc_id"] % 10 != 0) for r in judged.where("kept").collect()} == {True} and judged.where("kept").count() == 3600
 
 
+def verdict(rows, labels, max_risk=0.02, error=0.05):
+    """Which of rows (doc_id, lang, ratio level, base_failed) are rejected, by the rule of the docstring; ratios as levels."""
+    from math import comb, log, log1p
+
+    labelled = {}
+    for i, q in labels:
+        labelled[i] = min(q, labelled.get(i, 1))
+    held = {}
+    for i, lang, b, failed in rows:
+        if labelled.get(i) == 1 and not failed:
+            held.setdefault(lang, []).append(b)
+    strata = len(held) + 1
+    small = {x for x, bs in held.items() if len(bs) < log(strata / error) / -log1p(-max_risk)}
+    groups = {x: (bs if x not in small else [b for y in small for b in held[y]]) for x, bs in held.items()}
+    safe = {}
+    for x, bs in groups.items():
+        for at in reversed(range(quality_rules.LEVELS)):
+            k, n = sum(b >= at for b in bs), len(bs)
+            if sum(comb(n, j) * max_risk**j * (1 - max_risk) ** (n - j) for j in range(k + 1)) > error / strata:
+                break
+            safe[x] = at
+    return {i for i, lang, b, failed in rows if failed or b >= safe.get(lang, 99)}
+
+
+def leveled(rng, i, level, rule):
+    """A text of 60 words whose `rule` ratio lies at the level, and its capitals below all."""
+    words = [f"word{i}x{k}" for k in range(60)]
+    if level >= 0 and rule == "symbols":
+        size = len("".join(words))
+        share = 0.02 + 0.04 * level + 0.02
+        words[0] += "#" * round(share * size / (1 - share))
+    elif level >= 0:
+        size = len("".join(words))
+        words[1] += "Q" * round((0.15 + 0.1 * level) * size / (0.85 - 0.1 * level))
+    return " ".join(words)
+
+
+def test_rule_verdicts(spark):
+    """Several rules failing at once, strata large, pooled, null and without labels, against the rule in plain Python."""
+    rng, rows, labels, texts = random.Random(12), [], [], []
+    for i in range(1500):
+        lang = rng.choices(["en", "de", "fr", None, "xx"], [60, 20, 5, 5, 10])[0]
+        good = rng.random() < 0.8
+        b = rng.choices([-1, 0, 1, 2, 4, 6], [90, 6, 2, 1, 0, 0] if good else [10, 10, 20, 20, 20, 20])[0]
+        rows.append((i, lang, b, False))
+        texts.append((i, leveled(rng, i, b, rng.choice(["symbols", "capitals"])), lang, 1))
+        if lang != "xx" and rng.random() < 0.9:
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, at int").repartition(3)
+    known = spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id bigint, quality int, toxic int")
+    found = {r["doc_id"] for r in quality_rules.report(docs, known).where("NOT kept").collect()}
+    assert found == verdict(rows, labels) and len(found) > 100
+    strict = {r["doc_id"] for r in quality_rules.report(docs, known, max_risk=0.1).where("NOT kept").collect()}
+    assert strict == verdict(rows, labels, max_risk=0.1) and strict != found
+
+
+def test_rule_guarantee():
+    """Simulated: the share of holdouts whose cutoffs reject more good documents than the risk stays below the error."""
+    rng, wrong = random.Random(5), 0
+    chances = [0.90, 0.05, 0.022, 0.012, 0.009, 0.007]  # of levels -1, 0, 1, 2, 3, 4; above 2 % from level 1 on
+    for _ in range(300):
+        rows = [(i, "en", rng.choices([-1, 0, 1, 2, 3, 4], chances)[0], False) for i in range(400)]
+        rejected = verdict(rows, [(i, 1) for i in range(400)])
+        lowest = min((b for i, _, b, _ in rows if i in rejected), default=9)
+        wrong += sum(chances[k + 1] for k in range(lowest, 5)) > 0.02 if lowest < 9 else 0
+    assert wrong <= 0.05 * 300
+
+
+def test_rules_reject_on_given_tables(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    found = quality_rules.report(spark.read.parquet(f"{d}/documents.parquet"), labels)
+    assert found.where("NOT base_failed AND NOT kept").count() > 0
+    good = found.where("NOT base_failed").join(labels.where("quality = 1"), "doc_id")
+    assert good.where("NOT kept").count() <= 0.02 * good.count()
+
+
 def test_kneser_ney(spark, docs, empty):
     rng = random.Random(5)
     rows = [(i, prose(rng, 80) if i % 10 else "".join(rng.choice("#@!~^{}") for _ in range(300)), "en", "x") for i in range(400)]
