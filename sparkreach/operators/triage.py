@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import function_name
 from ..functions.versions import parse, satisfies
+from ..storage import written
+from .fixpoint import union
+from .graph import through
 
 UNREACHABLE, POSSIBLE, REACHABLE, UNKNOWN = "unreachable", "potentially reachable", "reachable", "unassessable"
 # fixed values: which verdict wins when a vulnerability has several functions
@@ -65,16 +68,37 @@ def required_symbols(required: DataFrame, names: DataFrame, reached: DataFrame)
     return run
 
 
-def waypoints(costs: dict[str, DataFrame], names: DataFrame) -> Filter:
-    """costs: cve_id to the nodes (node) that a path through the vulnerability's waypoints can reach."""
+def waypoints(calls: DataFrame, start: DataFrame, way: DataFrame, names: DataFrame) -> Filter:
+    """way: cve_id, pos, name of the waypoints that a path from start (node) has to pass in order. names: sym, fname. One search for all vulnerabilities.
+
+    A target whose waypoints are not all in the program is unreachable, and so is one without a path through them; the
+    note then names another path, if there is one. A path is told as a note without a verdict.
+    """
 
     def run(targets: DataFrame) -> DataFrame:
-        out = targets.withColumn("verdict", F.lit(None).cast("string")).withColumn("note", F.lit(None).cast("string"))
-        for cve, nodes in costs.items():
-            own = nodes.select(F.col("node").alias("sym"), F.lit(True).alias("_in"))
-            miss = (F.col("cve_id") == cve) & F.col("_in").isNull()
-            out = out.join(own, "sym", "left").select(*targets.columns, F.when(miss, UNREACHABLE).otherwise(F.col("verdict")).alias("verdict"), F.when(miss, F.concat("fname", F.lit(" has no path through the waypoints"))).otherwise(F.col("note")).alias("note"))
-        return out
+        begin = start.agg(F.min("node")).first()[0]
+        symbol = names.groupBy(F.col("fname").alias("name")).agg(F.min("sym").alias("node"))
+        placed = written(way.join(symbol, "name", "left").select("cve_id", F.col("pos").cast("bigint").alias("pos"), "name", "node"), "waypoints")
+        named = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), ", ")
+        lost = placed.groupBy("cve_id").agg(F.min_by("name", F.when(F.col("node").isNull(), F.col("pos"))).alias("_lost"), named.alias("_way"))
+        mine = written(targets.select("cve_id", "sym").distinct().withColumn("request", F.concat_ws(">", "cve_id", F.col("sym").cast("string"))), "requests")
+        straight = F.concat(F.lit("straight>"), F.col("request"))  # the same targets without waypoints, for those that miss their way
+        both = union([mine.select("request", "sym"), mine.select(straight.alias("request"), "sym")])
+        ends = both.select("request", F.inline(F.array(F.struct(F.lit(-1).cast("bigint").alias("pos"), F.lit(begin).cast(names.schema["sym"].dataType).alias("node")), F.struct(F.lit(1 << 40).alias("pos"), F.col("sym").alias("node")))))
+        inner = mine.join(placed, "cve_id").select("request", "pos", "node")
+        found = through(calls, ends.unionByName(inner))
+        name = names.select(F.col("sym").alias("node"), "fname")
+        steps = found.join(name, "node", "left").withColumn("fname", F.coalesce("fname", F.col("node").cast("string"))).where("pos > 0 OR leg = 0")
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leg", "pos", "fname"))), lambda x: x["fname"]), " > ")
+        told = written(steps.groupBy("request").agg(text.alias("path")), "paths")
+        whole = told.select("request", F.col("path").alias("_path"))
+        other = told.where(F.col("request").startswith("straight>")).select(F.expr("substring(request, 10)").alias("request"), F.col("path").alias("_other"))
+        judged = mine.join(whole, "request", "left").join(other, "request", "left").join(lost, "cve_id", "left").drop("request")
+        out = targets.join(judged, ["cve_id", "sym"], "left")
+        bad = F.col("_lost").isNotNull() | F.col("_path").isNull()
+        note = F.when(F.col("_lost").isNotNull(), F.concat("fname", F.lit(" needs a waypoint that is not in the program: "), "_lost")).when(F.col("_path").isNotNull(), F.concat(F.lit("path: "), "_path"))
+        note = note.otherwise(F.concat("fname", F.lit(" has no path through "), F.coalesce("_way", F.lit("the call graph")), F.coalesce(F.concat(F.lit("; another path: "), "_other"), F.lit(""))))
+        return out.select(*targets.columns, F.when(bad, UNREACHABLE).alias("verdict"), note.alias("note"))
 
     return run
 
@@ -88,17 +112,19 @@ def apply(targets: DataFrame, filters: list[Filter]) -> DataFrame:
 
 
 def merge(vulns: DataFrame, judged: DataFrame) -> DataFrame:
-    """cve_id, classification, n_targets, n_reachable, justification: the strongest verdict of a vulnerability's functions and its notes."""
+    """cve_id, classification, n_targets, n_reachable, address, justification: the strongest verdict of a vulnerability's functions, the first function (by address) that has it if it may be reached, and their notes by address."""
     rank = F.create_map(*(F.lit(x) for kv in RANK.items() for x in kv))
     rows = judged.withColumn("_r", rank[F.col("verdict")])
-    some = rows.groupBy("cve_id").agg(F.max(F.struct("_r", "verdict")).alias("_best"), F.count("*").alias("n_targets"), F.sum((F.col("verdict") != UNREACHABLE).cast("bigint")).alias("n_reachable"), F.collect_set(F.struct("_r", "note")).alias("_notes"))
-    notes = F.array_join(F.array_sort(F.transform(F.filter("_notes", lambda x: (x["_r"] == F.col("_best")["_r"]) & (x["note"] != "")), lambda x: x["note"])), "; ")
+    some = rows.groupBy("cve_id").agg(F.max(F.struct("_r", "verdict")).alias("_best"), F.count("*").alias("n_targets"), F.sum((F.col("verdict") != UNREACHABLE).cast("bigint")).alias("n_reachable"), F.collect_list(F.struct("sym", "_r", "note")).alias("_notes"))
+    best = F.array_sort(F.filter("_notes", lambda x: x["_r"] == F.col("_best")["_r"]))
+    told = F.array_join(F.transform(F.filter(best, lambda x: x["note"] != ""), lambda x: x["note"]), "; ")
     return vulns.select("cve_id").distinct().join(some, "cve_id", "left").select(
         "cve_id",
         F.coalesce(F.col("_best")["verdict"], F.lit(UNREACHABLE)).alias("classification"),
         F.coalesce("n_targets", F.lit(0)).cast("bigint").alias("n_targets"),
         F.coalesce("n_reachable", F.lit(0)).cast("bigint").alias("n_reachable"),
-        F.when(F.col("_best").isNull(), F.lit("no function of the vulnerable component and version")).otherwise(notes).alias("justification"),
+        F.when(F.col("_best")["verdict"] != UNREACHABLE, F.try_element_at(best, F.lit(1))["sym"]).alias("address"),
+        F.when(F.col("_best").isNull(), F.lit("no function of the vulnerable component and version")).otherwise(told).alias("justification"),
     )
 
 

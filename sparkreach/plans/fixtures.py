@@ -36,6 +36,10 @@ VIEWS = {
     "fx_step": "SELECT CAST(caller AS STRING) AS target, CAST(row_number() OVER (PARTITION BY caller ORDER BY ok, ln) - 1 AS BIGINT) AS pos, ok * 10 + ln AS addr FROM fx_call_direct",
     "fx_place": "SELECT DISTINCT o_orderkey * 10 + o_custkey % 7 AS addr, concat('fn_', CAST(o_custkey AS STRING)) AS name, concat(CASE WHEN o_custkey % 3 = 0 THEN '/usr/' ELSE 'src/' END, CAST(o_custkey % 10 AS STRING), '.c') AS file, o_custkey AS line, o_orderkey % 80 AS col, o_custkey + 1 AS end_line, o_orderkey % 80 + 2 AS end_col FROM orders",
     "fx_load": "SELECT DISTINCT tgt AS dst, fn AS src FROM fx_line WHERE q = 3 AND rf = 'A' AND sk % 3 = 0",
+    # a request for each supplier: a path from one function by way of a second to a third
+    "pw_start": "SELECT s_suppkey AS request, (s_suppkey * 131) % (SELECT max(p_partkey) + 1 FROM part) AS start FROM supplier",
+    "pw_stop": "SELECT request, 0 AS pos, start AS node FROM pw_start UNION ALL SELECT request, 1, max(callee) FROM pw_start LEFT JOIN fx_call_direct ON caller = start GROUP BY request UNION ALL SELECT request, 2, (start * 29 + 11) % (SELECT max(p_partkey) + 1 FROM part) FROM pw_start",
+    "pw_target": "SELECT DISTINCT (s_suppkey * 17 + 3) % (SELECT max(p_partkey) + 1 FROM part) AS node FROM supplier",
     # bodies that hold each other or are apart: suppliers' of 900, customers' of 55 mostly within them, nations' around all
     "nb_body": "SELECT concat('s', CAST(s_suppkey AS STRING)) AS fn, s_suppkey * 1000 AS low, s_suppkey * 1000 + 900 AS high FROM supplier UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), c_custkey * 100 + 5, c_custkey * 100 + 60 FROM customer UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), n_nationkey * 40000 - 10, n_nationkey * 40000 + 39000 FROM nation",
     "nb_point": "SELECT o_orderkey, (o_orderkey * 137) % ((SELECT max(s_suppkey) + 1 FROM supplier) * 1000) AS addr FROM orders",

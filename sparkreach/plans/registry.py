@@ -272,14 +272,14 @@ def vuln_inline(spark, sf_dir):
     return triage.match(fx(spark, sf_dir, "fx_vuln"), functions, inlined)
 
 
-TRIAGE = "SELECT x.cve_id, CASE WHEN count(r.node) > 0 THEN 'potentially reachable' ELSE 'unreachable' END AS classification, CAST(count(m.sym) AS BIGINT) AS n_targets, CAST(count(r.node) AS BIGINT) AS n_reachable FROM (SELECT DISTINCT cve_id FROM fx_vuln) x LEFT JOIN m ON m.cve_id = x.cve_id LEFT JOIN r ON r.node = m.sym GROUP BY 1"
+TRIAGE = "SELECT x.cve_id, CASE WHEN count(r.node) > 0 THEN 'potentially reachable' ELSE 'unreachable' END AS classification, CAST(count(m.sym) AS BIGINT) AS n_targets, CAST(count(r.node) AS BIGINT) AS n_reachable, min(r.node) AS address, CASE WHEN count(m.sym) = 0 THEN 'no function of the vulnerable component and version' WHEN count(r.node) > 0 THEN '' ELSE string_agg(concat(m.fname, ' is not reachable from the program''s entry'), '; ' ORDER BY m.sym) END AS justification FROM (SELECT DISTINCT cve_id FROM fx_vuln) x LEFT JOIN m ON m.cve_id = x.cve_id LEFT JOIN r ON r.node = m.sym GROUP BY 1"
 
 
 @query(PARTS + ", " + REACH[1:] + TRIAGE, "fx_fn", "fx_vuln", "fx_seed", "fx_call", recursive=True)
 def triage_verdicts(spark, sf_dir):
     of = lambda n: fx(spark, sf_dir, n)
     reached = fixpoint.reach(of("fx_seed").select(F.col("sym").alias("node")), of("fx_call"))
-    return triage.run(of("fx_vuln"), of("fx_fn"), reached).drop("justification")
+    return triage.run(of("fx_vuln"), of("fx_fn"), reached)
 
 
 QUERIES["triage"] = QUERIES.pop("triage_verdicts")
@@ -403,4 +403,4 @@ def reach_two_phase(spark, sf_dir):
     return summaries.solve(assign.unionByName(calls).distinct(), symbols, inside, of("fx_seed").select(F.col("sym").alias("node")))[1]
 
 
-from . import analysis_queries, model_queries, order_queries, rule_queries, source_queries  # noqa: E402, F401  (they register their queries)
+from . import analysis_queries, model_queries, order_queries, path_queries, rule_queries, source_queries  # noqa: E402, F401  (they register their queries)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,10 @@ def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df as a Parquet table, read again, and its number of rows, taken as it is written."""
+    rows = Observation()
+    table = written(df.observe(rows, F.count(F.lit(1)).alias("n")), name)
+    return table, rows.get["n"]
