@@ -35,13 +35,22 @@ def defined(functions: DataFrame) -> DataFrame:
 
 
 def lift(instr: DataFrame, aliases: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
-    """All edges of the instructions. aliases: alias, target, resolved in callees. lists: fn, list, the model argument list that va_start copies."""
+    """All edges of the instructions. aliases: alias, target, resolved in callees. lists: fn, list, the model argument list that va_start copies.
+
+    Where instr has is_variadic and n_params (of the called type), all arguments of a variadic call beyond its
+    parameters go to one place, the next one, and so many are told; a call of none is not taken as variadic.
+    """
     if aliases is not None:
         instr = instr.join(aliases, instr["callee"] == aliases["alias"], "left").withColumn("callee", F.coalesce("target", "callee")).drop("alias", "target")
     op = lambda *names: instr.where(F.col("opcode").isin(*names))
     each = op(*EVERY_OPERAND).select("fn", "dst", F.explode("operands").alias("o"))
     calls = op("call", "invoke").where("callee IS NOT NULL")
     plain = calls.where("coalesce(callee_name, '') <> 'dlsym' AND NOT coalesce(callee_name, '') LIKE 'llvm.%'") if "callee_name" in instr.columns else calls
+    nargs, at = "nargs", "i"
+    if "is_variadic" in instr.columns:
+        wide = "coalesce(is_variadic, false) AND size(operands) > 0"
+        nargs, at = f"n_params + if({wide}, 1, 0)", f"if({wide}, least(i, n_params), i)"
+    supplied = plain.select("*", F.posexplode("operands").alias("i", "o"))
     out = [
         _edge(op("store"), "Store", "operands[1]", "operands[0]"),
         _edge(op("load"), "Load", "dst", "operands[0]"),
@@ -50,8 +59,8 @@ def lift(instr: DataFrame, aliases: DataFrame | None = None, lists: DataFrame |
         _edge(op(*FIRST_OPERAND), "Assign", "dst", "operands[0]"),
         _edge(each, "Assign", "dst", "o"),
         _edge(op("ret").where("size(operands) > 0"), "Return", "fn", "operands[0]"),
-        _edge(plain, "Call", "dst", "callee", "nargs"),
-        _edge(plain.select("fn", "dst", F.posexplode("operands").alias("i", "o")), "ArgumentSupply", "dst", "o", "i"),
+        _edge(plain, "Call", "dst", "callee", nargs),
+        _edge(supplied, "ArgumentSupply", "dst", "o", at),
     ]
     if "callee_name" in instr.columns:
         out.append(_edge(calls.where("callee_name = 'dlsym'"), "Dlsym", "dst", "dst"))

@@ -91,6 +91,19 @@ def lift_constant_edges(spark, sf_dir):
     return lifting.constants(fx(spark, sf_dir, "fx_constant"))[1]
 
 
+@query(
+    "+c AS (SELECT fn, ok * 10 + ln AS dst, fn % 3 > 0 AS wide, 1 + ln % 2 AS n, unnest([tgt, sk, ok, CASE WHEN sk % 2 = 0 THEN tgt + sk END][1:ln % 5]) AS src, unnest(range(0, CAST(ln % 5 AS BIGINT))) AS i FROM fx_line WHERE ln % 5 < 5), "
+    "k AS (SELECT fn, ok * 10 + ln AS dst, tgt AS src, CAST(1 + ln % 2 + CASE WHEN fn % 3 > 0 AND ln % 5 > 0 THEN 1 ELSE 0 END AS BIGINT) AS idx FROM fx_line) "
+    "SELECT 'ArgumentSupply' AS rel, fn, dst, src, CASE WHEN wide THEN least(i, n) ELSE i END AS idx FROM c WHERE src IS NOT NULL UNION ALL SELECT 'Call', fn, dst, src, idx FROM k",
+    "fx_line",
+)
+def lift_variadic_calls(spark, sf_dir):
+    line = fx(spark, sf_dir, "fx_line")
+    given = F.slice(F.array("tgt", "sk", "ok", F.when(F.col("sk") % 2 == 0, F.col("tgt") + F.col("sk"))), F.lit(1), (F.col("ln") % 5).cast("int"))
+    calls = line.select("fn", (F.col("ok") * 10 + F.col("ln")).alias("pos"), F.lit("call").alias("opcode"), (F.col("ok") * 10 + F.col("ln")).alias("dst"), given.alias("operands"), F.col("tgt").alias("callee"), (F.col("fn") % 3 > 0).alias("is_variadic"), (1 + F.col("ln") % 2).alias("n_params"))
+    return lifting.lift(calls)
+
+
 # ---- precious values
 
 SITE = 1 << 40
