@@ -36,6 +36,9 @@ VIEWS = {
     "fx_step": "SELECT CAST(caller AS STRING) AS target, CAST(row_number() OVER (PARTITION BY caller ORDER BY ok, ln) - 1 AS BIGINT) AS pos, ok * 10 + ln AS addr FROM fx_call_direct",
     "fx_place": "SELECT DISTINCT o_orderkey * 10 + o_custkey % 7 AS addr, concat('fn_', CAST(o_custkey AS STRING)) AS name, concat(CASE WHEN o_custkey % 3 = 0 THEN '/usr/' ELSE 'src/' END, CAST(o_custkey % 10 AS STRING), '.c') AS file, o_custkey AS line, o_orderkey % 80 AS col, o_custkey + 1 AS end_line, o_orderkey % 80 + 2 AS end_col FROM orders",
     "fx_load": "SELECT DISTINCT tgt AS dst, fn AS src FROM fx_line WHERE q = 3 AND rf = 'A' AND sk % 3 = 0",
+    # functions that are suppliers: edges of all lines between their locals and parts
+    "fd_edge": "SELECT DISTINCT concat('0x', CAST(l_suppkey AS STRING)) AS fn, concat('0x', CAST(l_suppkey AS STRING), ':0x', CAST(l_orderkey % 10 AS STRING)) AS dst, CASE WHEN l_linenumber % 2 = 0 THEN concat('0x', CAST(l_partkey + 100000 AS STRING)) ELSE concat('0x', CAST(l_suppkey AS STRING), ':0x', CAST(l_partkey % 10 AS STRING)) END AS src FROM lineitem",
+    "fd_fn": "SELECT concat('0x', CAST(s_suppkey AS STRING)) AS fn, CAST(s_nationkey % 7 AS BIGINT) AS num_allocas, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS component, CASE WHEN s_suppkey % 4 > 0 THEN concat('1.', CAST(s_nationkey AS STRING)) END AS version FROM supplier",
     # a request for each supplier: a path from one function by way of a second to a third
     "pw_start": "SELECT s_suppkey AS request, (s_suppkey * 131) % (SELECT max(p_partkey) + 1 FROM part) AS start FROM supplier",
     "pw_stop": "SELECT request, 0 AS pos, start AS node FROM pw_start UNION ALL SELECT request, 1, max(callee) FROM pw_start LEFT JOIN fx_call_direct ON caller = start GROUP BY request UNION ALL SELECT request, 2, (start * 29 + 11) % (SELECT max(p_partkey) + 1 FROM part) FROM pw_start",

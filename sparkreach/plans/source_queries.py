@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.nodes import text
 from ..operators import reports
-from ..sources import binary, facts
+from ..operators.fixpoint import union
+from ..sources import binary, facts, folders
 from ..storage import new_path
 from ..streaming import traces
 from .fixtures import fx
@@ -36,21 +37,49 @@ def src_typed_nodes(spark, sf_dir):
     return facts.typed(rows, "node").select("sym", "node.symbol", "node.local")
 
 
-@query("SELECT concat('0x', lpad(lower(to_hex(fn)), 16, '0')) AS fn, concat('0x', lpad(lower(to_hex(ok)), 16, '0')) AS callsite, concat('0x', lpad(lower(to_hex(tgt)), 16, '0')) AS callee, CAST(CASE WHEN ln % 2 = 0 THEN ln END AS BIGINT) AS nargs FROM fx_line WHERE fn % 50 = 0", "fx_line")
+@query("SELECT DISTINCT concat('0x', lpad(lower(to_hex(l_suppkey)), 16, '0')) AS fn, concat('0x', lpad(lower(to_hex(l_orderkey)), 16, '0')) AS callsite, concat('0x', lpad(lower(to_hex(l_partkey)), 16, '0')) AS callee, CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS BIGINT) AS nargs FROM lineitem", "fx_seed")
 def src_function_folders(spark, sf_dir):
-    """Function folders 0x..., each with a Call.facts of its own; last columns may be missing."""
+    """Function folders 0x..., each with a Call.facts of its own; last columns may be missing. A function is a supplier."""
     path = new_path(spark, "functions")
-    rows = fx(spark, sf_dir, "fx_line").where("fn % 50 = 0").select(text(F.col("fn")).alias("fn"), F.concat_ws("\t", text(F.col("ok")), text(F.col("tgt")), F.when(F.col("ln") % 2 == 0, F.col("ln").cast("string"))).alias("value"))
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_partkey", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber").cast("string")).alias("n")).distinct()
+    rows = line.select(text(F.col("l_suppkey")).alias("fn"), F.concat_ws("\t", text(F.col("l_orderkey")), text(F.col("l_partkey")), "n").alias("value"))
     facts.write_by_function(rows, path, "Call")
     return facts.read_by_function(spark, path, "Call").select("fn", "callsite", "callee", "nargs")
 
 
-@query("SELECT cve_id, component AS package_name, version_range AS package_version, fname_pattern AS affected_function, CAST(len(CASE WHEN cve_id = 'V-1' THEN ['main'] ELSE [] END) AS INTEGER) AS n_waypoints FROM fx_vuln", "fx_vuln")
+FOLDER = (
+    "+n AS (SELECT fn, dst AS node FROM fd_edge UNION SELECT fn, src FROM fd_edge), i AS (SELECT unnest(range(0, 4)) AS k), st AS (SELECT fn, k, node AS core, CASE k WHEN 0 THEN node WHEN 1 THEN concat('*', node) WHEN 2 THEN concat('**', node) ELSE concat('$***', node) END AS s FROM n, i) "
+    "SELECT 'IsSymbol' AS relation, fn, node AS a, NULL AS b FROM n WHERE node NOT LIKE '%:%' UNION ALL SELECT 'EnclosingFunctionForLocal', fn, fn, node FROM n WHERE node LIKE '%:%' "
+    "UNION ALL SELECT 'IsAlloca', n.fn, node, NULL FROM n JOIN fd_fn f ON f.fn = n.fn WHERE node LIKE '%:%' AND CAST(split_part(node, ':0x', 2) AS BIGINT) < num_allocas UNION ALL SELECT 'ValueName', fn, core, s FROM st "
+    "UNION ALL SELECT 'Starred', a.fn, b.s, a.s FROM st a JOIN st b ON b.fn = a.fn AND b.core = a.core AND b.k = least(a.k + 1, 3) UNION ALL SELECT 'SbomTable', fn, component, version FROM fd_fn WHERE component IS NOT NULL "
+    "UNION ALL SELECT 'InlineFunctions', concat('0x', CAST(c_custkey AS VARCHAR)), concat('0x', CAST(c_custkey AS VARCHAR)), c_name FROM customer WHERE concat('0x', CAST(c_custkey AS VARCHAR)) IN (SELECT fn FROM fd_fn)"
+)
+
+
+@query(FOLDER, "fd_edge", "fd_fn")
+def src_side_tables(spark, sf_dir):
+    """All side tables of all functions, written in one go and read back; what is inlined in unknown functions is left out."""
+    path = new_path(spark, "functions")
+    functions = fx(spark, sf_dir, "fd_fn")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("0x"), F.col("c_custkey").cast("string")).alias("fn"), F.col("c_name").alias("inlined_name"))
+    inlined = folders.known_only(customer.withColumn("inliner", F.col("fn")), functions, "InlineFunctions")
+    folders.write(folders.side_tables(fx(spark, sf_dir, "fd_edge"), functions).unionByName(inlined), path)
+    shown = {"IsSymbol": "node", "IsAlloca": "node", "EnclosingFunctionForLocal": "func,local", "Starred": "starred,node", "ValueName": "core,value", "SbomTable": "component,version", "InlineFunctions": "inliner,inlined_name"}
+    out = []
+    for relation, columns in shown.items():
+        a, *b = columns.split(",")
+        out.append(folders.read(spark, path, relation).select(F.lit(relation).alias("relation"), "fn", F.col(a).alias("a"), (F.col(b[0]) if b else F.lit(None).cast("string")).alias("b")))
+    return union(out)
+
+
+@query("SELECT concat('V-', CAST(p_partkey AS VARCHAR)) AS cve_id, p_brand AS package_name, concat('<=', CAST(p_size AS VARCHAR), '.0.0') AS package_version, p_name AS affected_function, CAST(CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_waypoints FROM part", "fx_seed")
 def src_vulnerabilities(spark, sf_dir):
+    """A vulnerability for each part, a file for each brand."""
     path = new_path(spark, "vulnerabilities")
-    v = fx(spark, sf_dir, "fx_vuln")
-    one = F.struct(F.col("cve_id").alias("cve-id"), F.col("component").alias("package-name"), F.col("version_range").alias("package-version"), F.col("fname_pattern").alias("affected-function"), F.when(F.col("cve_id") == "V-1", F.array(F.lit("main"))).alias("waypoint-syms"))
-    v.select(F.to_json(F.struct(F.array(one).alias("vulnerabilities")))).write.text(path)
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    way = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("main"), F.col("p_brand")))
+    one = F.struct(F.concat(F.lit("V-"), F.col("p_partkey").cast("string")).alias("cve-id"), F.col("p_brand").alias("package-name"), F.concat(F.lit("<="), F.col("p_size").cast("string"), F.lit(".0.0")).alias("package-version"), F.col("p_name").alias("affected-function"), way.alias("waypoint-syms"))
+    p.groupBy("p_brand").agg(F.collect_list(one).alias("vulnerabilities")).select(F.to_json(F.struct("vulnerabilities"))).write.option("maxRecordsPerFile", 1).text(path)
     return facts.read_vulnerabilities(spark, path).select("cve_id", "package_name", "package_version", "affected_function", F.size("waypoint_syms").alias("n_waypoints"))
 
 
@@ -201,9 +230,10 @@ def src_source_lines(spark, sf_dir):
     return binary.source_lines(o).select("line", F.transform("ranges", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))).alias("ranges"))
 
 
-@query("SELECT cve_id AS id, 'reachable' AS classification FROM fx_vuln", "fx_vuln")
+@query("SELECT concat('C-', CAST(p_partkey AS VARCHAR)) AS id, CASE WHEN p_size % 2 = 0 THEN 'unreachable' ELSE 'potentially reachable' END AS classification, p_name AS justification FROM part", "fx_seed")
 def sink_results(spark, sf_dir):
     path = new_path(spark, "verdicts")
-    v = fx(spark, sf_dir, "fx_vuln").select("cve_id", F.lit("reachable").alias("classification"), F.lit("x").alias("justification"))
-    reports.results_json(v).write.text(path)
-    return spark.read.schema("`cve-id` string, classification string").json(path).select(F.col("cve-id").alias("id"), "classification")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    verdict = F.when(F.col("p_size") % 2 == 0, F.lit("unreachable")).otherwise(F.lit("potentially reachable"))
+    reports.results_json(p.select(F.concat(F.lit("C-"), F.col("p_partkey").cast("string")).alias("cve_id"), verdict.alias("classification"), F.col("p_name").alias("justification"))).write.text(path)
+    return spark.read.schema("`cve-id` string, classification string, justification string").json(path).select(F.col("cve-id").alias("id"), "classification", "justification")
