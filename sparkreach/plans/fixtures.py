@@ -8,7 +8,7 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 VIEWS = {
     "fx_fn": "SELECT p_partkey AS sym, CASE WHEN p_partkey = 0 THEN 'main' WHEN p_partkey % 97 = 0 THEN concat('globals_', CAST(p_partkey AS STRING)) ELSE concat('f_', CAST(p_partkey AS STRING)) END AS fname, p_brand AS component, concat(CAST(p_size % 3 AS STRING), '.', CAST(p_size % 10 AS STRING), '.', CAST(p_partkey % 7 AS STRING)) AS version FROM part",
-    "fx_line": "SELECT DISTINCT l_partkey AS fn, l_orderkey AS ok, l_linenumber AS ln, l_quantity AS q, (l_orderkey * 31 + l_suppkey * 17 + l_linenumber * 7) % (SELECT max(p_partkey) + 1 FROM part) AS tgt, l_suppkey AS sk, l_tax AS tax, l_returnflag AS rf FROM lineitem WHERE l_quantity <= 4",
+    "fx_line": "SELECT DISTINCT l_partkey AS fn, l_orderkey AS ok, l_linenumber AS ln, l_quantity AS q, (l_orderkey * 31 + l_suppkey * 17 + l_linenumber * 7) % (SELECT max(p_partkey) + 1 FROM part) AS tgt, l_suppkey AS sk, l_tax AS tax, l_returnflag AS rf FROM lineitem",
     "fx_call_direct": "SELECT fn AS caller, ok, ln, tgt AS callee, CASE rf WHEN 'N' THEN 'Direct' WHEN 'A' THEN 'Indirect' ELSE 'Conservative' END AS kind FROM fx_line WHERE q <= 2",
     "fx_call_indirect": "SELECT fn AS caller, ok, ln FROM fx_line WHERE q = 3 AND sk % 10 = 0",
     "fx_addr_ref": "SELECT DISTINCT tgt AS v, fn AS f FROM fx_line WHERE q = 4 AND tax = 0.08",

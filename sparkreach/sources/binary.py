@@ -16,11 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fixpoint import fixpoint
+from .layouts import EDGE, PAGE, PAGE_POINTERS, SITE, records
 
-# fixed values: record layouts
-SITE = np.dtype([("function", "<u8"), ("local", "<u4"), ("pad", "<u4")])
-EDGE = np.dtype([("site", "<u8"), ("value", "<u8")])
-PAGE_POINTERS = 2046
+BASE = r"(?:0x|[-/])([0-9a-fA-F]+)(?:\.[^/]*)?$"  # an address at the end of a file's name
 MAGIC = b"SPKGRAPH"
 RELATIONS = ("Assign", "Load", "Store", "Call", "Return", "ArgumentDefinition", "ArgumentSupply", "Dlsym")
 INDEXED = ("Call", "ArgumentDefinition", "ArgumentSupply")
@@ -43,25 +41,20 @@ def _mapped(df: DataFrame, rows, schema: str, names: list[str], types: list) ->
 
 def read_trace_sites(spark: SparkSession, path: str) -> DataFrame:
     """site, function, local; a site's address is its place in the section whose base is in the file's name (0x...)."""
-
-    def rows(name: str, data: bytes):
-        found = np.frombuffer(data, SITE, len(data) // SITE.itemsize)
-        base = int(name.rsplit("/", 1)[1].split(".")[0].rsplit("-", 1)[-1], 16)
-        return [str(base + i * SITE.itemsize) for i in range(len(found))], [str(x) for x in found["function"].tolist()], found["local"].tolist()
-
-    return _mapped(files(spark, path), rows, "site string, function string, local bigint", ["site", "function", "local"], [pa.string(), pa.string(), pa.int64()]).select(F.col("site").cast("decimal(20,0)").alias("site"), F.col("function").cast("decimal(20,0)").alias("function"), "local")
+    base = F.conv(F.regexp_extract("path", BASE, 1), 16, 10).cast("decimal(20,0)")
+    return records(files(spark, path), SITE).select((base + F.col("number") * SITE.size).cast("decimal(20,0)").alias("site"), "function", F.col("local").cast("bigint").alias("local"))
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """site (its lowest bit cleared), value; empty records are skipped, a short tail is ignored."""
+    site = (F.col("site") - F.col("site") % 2).cast("decimal(20,0)").alias("site")
+    return records(files(spark, path), EDGE).select(site, "value").where("site <> 0")
 
-    def rows(_: str, data: bytes):
-        found = np.frombuffer(data, EDGE, len(data) // EDGE.itemsize)
-        site = found["site"] & ~np.uint64(1)
-        keep = site != 0
-        return [[str(x) for x in site[keep].tolist()], [str(x) for x in found["value"][keep].tolist()]]
 
-    return _mapped(files(spark, path), rows, "site string, value string", ["site", "value"], [pa.string(), pa.string()]).select(F.col("site").cast("decimal(20,0)").alias("site"), F.col("value").cast("decimal(20,0)").alias("value"))
+def read_dlsym_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page (its address: the base in the file's name and its place), next, count, pointers."""
+    base = F.conv(F.regexp_extract("path", BASE, 1), 16, 10).cast("decimal(20,0)")
+    return records(files(spark, path), PAGE).select((base + F.col("number") * PAGE.size).cast("decimal(20,0)").alias("page"), "next", "count", "pointers")
 
 
 def dlsym_pointers(pages: DataFrame, heads: DataFrame) -> DataFrame:

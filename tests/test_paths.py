@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkreach.operators import andersen, graph, lifting, rules, triage
+from sparkreach.operators import andersen, graph, lifting, rules, strategies, triage
 
 
 def rows(df, *c):
@@ -142,3 +142,29 @@ def test_variadic_calls(spark):
     alloc = spark.createDataFrame([(x, 1000 + x) for x in (10, 11, 12, 13, 14)], "node bigint, obj bigint")
     pts = andersen.points_to(spark, alloc, none, none, none, spark.createDataFrame([(2,), (3,)], "node bigint"), e.where("rel = 'Call'").select(F.col("dst").alias("site"), F.col("src").alias("callee")), supply, params)
     assert {o for n, o in rows(pts, "node", "obj") if n == 92} == {1011, 1012, 1013, 1014}
+
+
+def test_strategies(spark, tmp_path):
+    """One program by all strategies: main calls f directly and g through a pointer that f's address never reaches."""
+    site, kind = "main:1", "string"
+    edges = spark.createDataFrame([("Assign", "main", "main:2", "g", None), ("Call", "main", site, "f", None), ("Call", "main", "main:3", "main:2", None)], "rel string, fn string, dst string, src string, idx bigint")
+    symbols = [("main",), ("f",), ("g",), ("h",)]
+    enclosing = spark.createDataFrame([("main", f"main:{i}") for i in (1, 2, 3)], "fn string, local string")
+    seeds = spark.createDataFrame([("main",)], f"node {kind}")
+    calls = spark.createDataFrame([(site, "f"), ("main:3", "main:2")], "site string, callee string")
+    names = spark.createDataFrame([(s, s) for (s,) in symbols], "node string, name string")
+    facts = {"edges": edges.where("rel <> 'Call'").select("rel", "dst", "src"), "calls": calls, "enclosing": enclosing, "symbols": names.select("node"), "names": names, "seeds": seeds}
+    two = lambda c: spark.createDataFrame([], f"fn string, {c}")
+    side = {"IsSymbol": spark.createDataFrame([("main", s) for (s,) in symbols], "fn string, v string"), "IsAlloca": two("v string"), "Starred": two("starred string, node string"), "ValueName": two("core string, value string")}
+    pair = spark.createDataFrame([], "dst string, src string")
+    points = {"alloc": spark.createDataFrame([], "node string, obj string"), "assign": facts["edges"].select("dst", "src"), "load": pair, "store": pair, "funcs": names.select("node"), "calls": calls}
+    reached = {"main", "f", "g"}
+    for strategy in (strategies.simple(facts), strategies.summaries(edges, side, enclosing, seeds), strategies.pointers(points, enclosing, seeds)):
+        found = strategy()
+        assert {r["node"] for r in found.reachable.collect()} == reached
+        assert {(r["site"], r["callee"]) for r in found.callgraph.collect()} == {(site, "f"), ("main:3", "g")}
+    number = spark.createDataFrame([("0x0000000000000010",), ("10:0x1",), ("main",), ("ffffffffffffffff",)], "node string")
+    strategies.save(strategies.Reached(number, found.callgraph), str(tmp_path / "r"), str(tmp_path / "c"))
+    again = strategies.saved(spark, str(tmp_path / "r"), str(tmp_path / "c"))()
+    assert {int(r["node"]) for r in again.reachable.collect()} == {16, (1 << 64) - 1}
+    assert set(map(tuple, again.callgraph.collect())) == set(map(tuple, found.callgraph.collect()))

@@ -75,6 +75,7 @@ def test_stream_and_words(spark, tmp_path):
     assert got == {((i % 3 + 1) * 2, i % 50) for i in range(40)}
     buffers = spark.createDataFrame([(1, struct.pack("<2Q", 5, 2**64 - 1) + b"x"), (2, b"")], "site bigint, data binary")
     assert {(r["site"], int(r["val"])) for r in traces.words(buffers).collect()} == {(1, 5), (1, 2**64 - 1)}
-    values = spark.createDataFrame([(1, 15), (1, 55), (1, 99)], "site bigint, val bigint")
-    segments, tags = spark.createDataFrame([(10, 20)], "lo bigint, hi bigint"), spark.createDataFrame([(50, 60, 7)], "start bigint, end bigint, tag bigint")
-    assert {r["as_value"] for r in traces.classify(values, segments, tags).collect()} == {15, 7}
+    values = spark.createDataFrame([(1, 1, 15), (1, 1, 55), (1, 1, 99)], "site bigint, ts bigint, val bigint")
+    segments, slots = spark.createDataFrame([(0, 10, 20)], "since bigint, lo bigint, hi bigint"), spark.createDataFrame([(50, 10)], "start bigint, size bigint")
+    tags = spark.createDataFrame([(50, 0, 7)], "start bigint, since bigint, tag bigint")
+    assert {r["as_value"] for r in traces.classify(values, segments, slots, tags).collect()} == {15, 7}
