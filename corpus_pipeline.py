@@ -3,7 +3,12 @@
 Each stage calls one operator of sparkreach.llm on all that the stage before kept, and its decisions take effect:
 documents that the quality classifier rejects go, one document of each near-duplicate component stays, contaminated
 documents go, personal data are replaced in the text, and what is left is encoded and decoded. All but the last return
-the columns of documents.
+the columns of documents, under their names and whatever these are.
+
+Cases: documents without text, or with an empty one, have no perplexity and go in the first stage; a null lang is judged
+by the threshold of all; of repeated rows and copies the one of the smallest doc_id stays (a null id last, of equal rows
+the first); a stage that is given an empty table returns one, with its columns; without labels nothing that has text is
+rejected; without benchmark items nothing is contaminated; texts are read whole in every stage.
 """
 
 from __future__ import annotations

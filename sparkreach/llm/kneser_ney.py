@@ -16,7 +16,9 @@ The last quarter of the trusted documents sets the threshold of each language: t
 over all languages where a language has fewer than `LEAST` of them. Documents above it are rejected.
 
 Cases: null and empty texts have no perplexity and are rejected; a null or unseen language uses the overall
-threshold; without trusted documents everything with text is kept; labels repeated for a document must all be good.
+threshold; without trusted documents everything with text is kept; labels repeated for a document must all be good; repeated
+rows are scored alike, and count as often as they stand in trusted text; texts are scored whole, a long one in several
+blocks; an empty table gives no rows; further columns, whatever their names, are not looked at and clean keeps them.
 """
 
 from __future__ import annotations

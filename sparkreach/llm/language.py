@@ -7,7 +7,7 @@ whose second-best size is within `margin` (a fraction of the best size) is rejec
 
 Cases: null texts and texts without letters give `und`, score 0 and are not accepted, as do all if nothing was
 learned; ties go to the language with more training rows, then by name; null languages are not learned; repeated rows
-are predicted alike; further columns are ignored; an empty table gives no rows.
+are predicted alike; texts are compressed whole, at any length; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

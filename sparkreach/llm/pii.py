@@ -10,8 +10,9 @@ Document frequencies of terms cover all documents: tasks count in bounded tables
 by document, those alone that can reach `disclose` (their frequency is at most the entity's over `disclose`), so that
 common words make no pairs. Disclosing terms go to the tasks in blocks of `PART`; texts are not shuffled.
 
-Cases: null and empty texts have no entities; equal doc_ids are kept apart; further columns are carried by sanitise and
-ignored by report.
+Cases: null and empty texts have no entities, and stay as they are; equal doc_ids and repeated rows are kept apart, and
+each counts as a document; texts are searched whole, at any length, in linear time; an empty table gives no rows;
+further columns, whatever their names, are carried by sanitise and ignored by report.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ of a complementary kind overlaps its scope (identifier and value, endpoint and i
 the part itself. The join is a semi join, so no pairs are listed, however dense the parts.
 
 Cases: null and empty texts have no parts; base spans stay whatever is linked; equal doc_ids are kept apart by a row
-number taken as the texts are scanned; further columns are ignored.
+number taken as the texts are scanned, so repeated rows each have their own spans; texts are scanned whole, at any
+length; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

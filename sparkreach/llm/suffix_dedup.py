@@ -14,7 +14,8 @@ told apart by digest: all are repeats throughout if they have 200 bytes; of each
 when windows are sorted, and only where its sample ties with more suffixes than its own copies.
 
 Cases: null and empty texts, and those below 200 bytes, keep all bytes; equal rows are copies of each other; matches
-never cross documents.
+never cross documents; ids may be of any type, nulls and repeated ones too; a text of over 2 MB is a block of its own;
+an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations

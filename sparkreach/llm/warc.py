@@ -15,7 +15,7 @@ until it is known which records revisit others; then each file meets the list of
 
 Cases: null html is an empty payload; null urls are written as `-`, blanks in urls are escaped when written; a null page
 id is kept, and never the one that others refer to if there is one; rows with the same smallest page id are all
-responses; an empty table gives no records; further columns are ignored. Malformed records (header lines with too few
+responses; repeated rows are pages of their own; payloads are kept whole, at any length; an empty table gives no records; further columns are ignored. Malformed records (header lines with too few
 fields or a bad length, unknown versions, files that end within a record) are rows of `problems`; reading goes on at
 the next header line.
 """
