@@ -39,6 +39,10 @@ VIEWS = {
     # functions that are suppliers: edges of all lines between their locals and parts
     "fd_edge": "SELECT DISTINCT concat('0x', CAST(l_suppkey AS STRING)) AS fn, concat('0x', CAST(l_suppkey AS STRING), ':0x', CAST(l_orderkey % 10 AS STRING)) AS dst, CASE WHEN l_linenumber % 2 = 0 THEN concat('0x', CAST(l_partkey + 100000 AS STRING)) ELSE concat('0x', CAST(l_suppkey AS STRING), ':0x', CAST(l_partkey % 10 AS STRING)) END AS src FROM lineitem",
     "fd_fn": "SELECT concat('0x', CAST(s_suppkey AS STRING)) AS fn, CAST(s_nationkey % 7 AS BIGINT) AS num_allocas, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS component, CASE WHEN s_suppkey % 4 > 0 THEN concat('1.', CAST(s_nationkey AS STRING)) END AS version FROM supplier",
+    # frames: a function's locals are its lines, each with an edge
+    "gf_local": "SELECT fn, CAST(row_number() OVER (PARTITION BY fn ORDER BY ok, ln, tgt, q, sk) - 1 AS BIGINT) AS local, concat('v', CAST(ln AS STRING)) AS name, ok, CAST(ln AS BIGINT) AS ln, tgt, q FROM fx_line",
+    "gf_edge": "SELECT fn, CASE WHEN q <= 15 THEN 'Call' WHEN q <= 25 THEN 'Assign' WHEN q <= 35 THEN 'ArgumentSupply' ELSE 'Store' END AS rel, CASE WHEN q <= 35 THEN fn ELSE tgt END AS to_symbol, CASE WHEN q <= 35 THEN local END AS to_local, CASE WHEN q <= 15 OR (q > 25 AND q <= 35) THEN tgt ELSE fn END AS from_symbol, CASE WHEN q > 15 AND q <= 25 THEN ok % 10 WHEN q > 35 THEN local END AS from_local, CASE WHEN q <= 15 OR (q > 25 AND q <= 35) THEN ln END AS idx FROM gf_local",
+    "gf_fn": "SELECT sym AS fn, CASE WHEN sym % 4 > 0 THEN component END AS component, CASE WHEN sym % 4 > 0 THEN version END AS version, CAST(sym % 3 AS BIGINT) AS num_allocas FROM fx_fn",
     # a request for each supplier: a path from one function by way of a second to a third
     "pw_start": "SELECT s_suppkey AS request, (s_suppkey * 131) % (SELECT max(p_partkey) + 1 FROM part) AS start FROM supplier",
     "pw_stop": "SELECT request, 0 AS pos, start AS node FROM pw_start UNION ALL SELECT request, 1, max(callee) FROM pw_start LEFT JOIN fx_call_direct ON caller = start GROUP BY request UNION ALL SELECT request, 2, (start * 29 + 11) % (SELECT max(p_partkey) + 1 FROM part) FROM pw_start",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.nodes import text
 from ..operators import reports
 from ..operators.fixpoint import union
-from ..sources import binary, facts, folders
+from ..sources import binary, facts, folders, frames
 from ..storage import new_path
 from ..streaming import traces
 from .fixtures import fx
@@ -188,23 +188,54 @@ def src_traces(spark, sf_dir):
     return binary.read_traces(spark, path).select(F.col("site").cast("bigint").alias("site"), F.col("value").cast("bigint").alias("value")).distinct()
 
 
+def framed(spark, functions, edges, locals_=None):
+    """Objects with a frame for some 64 functions, written as files and read back as frames. functions: fn and what is known of it; edges, locals_: fn and theirs."""
+    ends = {"to_local": "bigint", "from_local": "bigint", "idx": "bigint"}
+    edges = edges.withColumns({c: F.lit(None).cast(t) for c, t in ends.items() if c not in edges.columns})
+    by = edges.groupBy("fn").agg(F.collect_list(F.struct("rel", "to_symbol", "to_local", "from_symbol", "from_local", "idx")).alias("edges"))
+    known = functions.join(by, "fn", "left").withColumn("edges", F.coalesce("edges", F.array().cast(by.schema["edges"].dataType)))
+    if locals_ is None:
+        known = known.withColumn("names", F.array().cast("array<string>"))
+    else:
+        names = locals_.groupBy("fn").agg(F.transform(F.array_sort(F.collect_list(F.struct("local", "name"))), lambda x: x["name"]).alias("names"))
+        known = known.join(names, "fn", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    one = F.struct("fn", "component", "version", "num_allocas", "names", "edges")
+    units = known.groupBy(F.expr("fn div 64").alias("unit")).agg(F.collect_list(one).alias("functions"))
+    path = new_path(spark, "objects")
+    frames.images(units).select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+    return frames.read_frames(spark, path)
+
+
 @query("SELECT dst AS fn, 'Assign' AS rel, dst AS to_symbol, src AS from_symbol FROM fx_assign UNION ALL SELECT dst, 'Store', dst, src FROM fx_store", "fx_assign", "fx_store")
 def src_graph_frames(spark, sf_dir):
-    path = new_path(spark, "frames")
-    of = lambda n, rel: fx(spark, sf_dir, n).select(F.col("dst").alias("fn"), F.lit(rel).alias("rel"), "src")
-    units = of("fx_assign", "Assign").unionByName(of("fx_store", "Store")).groupBy("fn").agg(F.collect_list(F.struct("rel", "src")).alias("edges"))
+    of = lambda n, rel: fx(spark, sf_dir, n).select(F.col("dst").alias("fn"), F.lit(rel).alias("rel"), F.col("dst").alias("to_symbol"), F.col("src").alias("from_symbol"))
+    edges = of("fx_assign", "Assign").unionByName(of("fx_store", "Store"))
+    return frames.edges(framed(spark, fx(spark, sf_dir, "gf_fn").withColumn("num_allocas", F.lit(0)), edges)).select("fn", "rel", "to_symbol", "from_symbol")
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for fn, edges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                symbols = sorted({fn, *(e["src"] for e in edges)})
-                by = {rel: [((fn,), (e["src"],)) for e in edges if e["rel"] == rel] for rel in ("Assign", "Store")}
-                out.append(binary.encode_frame(symbols, [{"symbol": fn, "num_locals": 0, "num_allocas": 0, "edges": by}]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
-    units.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
-    return binary.read_frames(spark, path).select("fn", "rel", "to_symbol", "from_symbol")
+
+@query("SELECT * FROM gf_edge", "gf_edge")
+def src_frame_edges(spark, sf_dir):
+    """Every line an edge of its function's frame, between symbols and locals, some with an index."""
+    return frames.edges(_frames_of(spark, sf_dir)).drop("path")
+
+
+@query("SELECT f.fn, count(local) AS num_locals, least(count(local), min(num_allocas)) AS num_allocas, component, version FROM gf_fn f LEFT JOIN gf_local l ON l.fn = f.fn GROUP BY f.fn, component, version", "gf_fn", "gf_local")
+def src_frame_functions(spark, sf_dir):
+    """Functions with their counts and the component of their software, from the streams and the debug strings."""
+    return frames.functions(_frames_of(spark, sf_dir)).drop("path")
+
+
+@query("SELECT fn, local, name FROM gf_local", "gf_local")
+def src_frame_locals(spark, sf_dir):
+    """Names of locals, from the delta-coded places of the debug data."""
+    return frames.local_names(_frames_of(spark, sf_dir)).drop("path")
+
+
+def _frames_of(spark, sf_dir):
+    local = fx(spark, sf_dir, "gf_local")
+    count = local.groupBy("fn").agg(F.count("*").alias("n"))
+    functions = fx(spark, sf_dir, "gf_fn").join(count, "fn", "left").withColumn("num_allocas", F.least(F.coalesce("n", F.lit(0)), "num_allocas")).drop("n")
+    return framed(spark, functions, fx(spark, sf_dir, "gf_edge"), local)
 
 
 @query("SELECT site, val, CAST(min(event_id) AS BIGINT) AS n FROM (SELECT site, val * 2 AS val, event_id FROM fx_trace) GROUP BY 1, 2", "fx_trace")

@@ -1,4 +1,4 @@
-"""Binary inputs: trace sites and traces, dlsym pages, graph frames, object files' sections and symbols.
+"""Binary inputs: trace sites and traces, dlsym pages, object files' sections and symbols.
 
 Files come whole from binaryFile, one a row; records are cut with numpy in Arrow batches. Numbers of 64 bits without
 sign are decimals.
@@ -9,9 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +17,6 @@ from ..operators.fixpoint import fixpoint
 from .layouts import EDGE, PAGE, PAGE_POINTERS, SITE, records
 
 BASE = r"(?:0x|[-/])([0-9a-fA-F]+)(?:\.[^/]*)?$"  # an address at the end of a file's name
-MAGIC = b"SPKGRAPH"
-RELATIONS = ("Assign", "Load", "Store", "Call", "Return", "ArgumentDefinition", "ArgumentSupply", "Dlsym")
-INDEXED = ("Call", "ArgumentDefinition", "ArgumentSupply")
-MASK = 0xFFFFFFFF
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -64,85 +58,6 @@ def dlsym_pointers(pages: DataFrame, heads: DataFrame) -> DataFrame:
     return held.where("pointer <> 0").distinct()
 
 
-# ---- graph frames: a header, then a zstd-compressed stream of variable-length 32-bit numbers
-
-
-def pack_numbers(x: np.ndarray) -> bytes:
-    """Count, two bits of length for each number, four to a byte, then the numbers' bytes."""
-    x = np.asarray(x, np.uint32)
-    size = 1 + (x > 0xFF).astype(np.uint8) + (x > 0xFFFF) + (x > 0xFFFFFF)
-    padded = np.concatenate((size - 1, np.zeros(-len(x) % 4, np.uint8))).reshape(-1, 4).astype(np.uint8)
-    control = padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6
-    raw = x.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return struct.pack("<I", len(x)) + control.astype(np.uint8).tobytes() + raw[np.arange(4) < size[:, None]].tobytes()
-
-
-def unpack_numbers(data: bytes) -> np.ndarray:
-    (n,) = struct.unpack_from("<I", data)
-    control = np.frombuffer(data, np.uint8, (n + 3) // 4, 4)
-    size = (np.stack([control >> s & 3 for s in (0, 2, 4, 6)], axis=1).ravel()[:n] + 1).astype(np.int64)
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8, int(size.sum()), 4 + len(control))
-    return out.view("<u4").ravel()
-
-
-def encode_frame(symbols: list[int], functions: list[dict]) -> bytes:
-    """One unit. functions: symbol, num_locals, num_allocas, edges {rel: [(to, from[, idx])]}; ends are ints (a local's index) or (symbol,)."""
-    place = {s: i for i, s in enumerate(symbols)}
-    word = lambda e: place[e[0]] * 2 + 1 if isinstance(e, tuple) else e * 2
-    stream = [len(functions)]
-    for f in functions:
-        stream += [place[f["symbol"]], f["num_locals"], f["num_allocas"]]
-        for rel in RELATIONS:
-            found = sorted(((word(e[0]), word(e[1]), *e[2:]) for e in f["edges"].get(rel, ())), key=lambda e: e)
-            stream.append(len(found))
-            last = 0
-            for e in found:
-                for v in e[:2]:
-                    d = v - last
-                    stream.append((d << 1 ^ d >> 31) & MASK)
-                    last = v
-                stream += e[2:]
-    body = zstandard.ZstdCompressor(level=9).compress(pack_numbers(np.array(stream, np.uint32)))
-    return MAGIC + struct.pack("<II", len(symbols), len(body)) + struct.pack(f"<{len(symbols)}Q", *symbols) + body
-
-
-def decode_frames(data: bytes) -> Iterator[tuple]:
-    """fn, rel, to_symbol, to_local, from_symbol, from_local, idx of every edge of the frames in data."""
-    at = data.find(MAGIC)
-    while at >= 0:
-        n, size = struct.unpack_from("<II", data, at + 8)
-        symbols = struct.unpack_from(f"<{n}Q", data, at + 16)
-        start = at + 16 + 8 * n
-        x = unpack_numbers(zstandard.ZstdDecompressor().decompress(data[start : start + size])).tolist()
-        i = 1
-        for _ in range(x[0]):
-            fn = symbols[x[i]]
-            i += 3
-            for rel in RELATIONS:
-                count, last, i = x[i], 0, i + 1
-                for _ in range(count):
-                    ends = []
-                    for _ in range(2):
-                        last = (last + (x[i] >> 1 ^ -(x[i] & 1))) & MASK
-                        ends += [symbols[last >> 1], None] if last & 1 else [fn, last >> 1]
-                        i += 1
-                    idx = None
-                    if rel in INDEXED:
-                        idx, i = x[i], i + 1
-                    yield (fn, rel, *ends, idx)
-        at = data.find(MAGIC, start + size)
-
-
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    def rows(_: str, data: bytes):
-        return list(zip(*decode_frames(data), strict=True)) or [[] for _ in range(7)]
-
-    names = ["fn", "rel", "to_symbol", "to_local", "from_symbol", "from_local", "idx"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    return _mapped(files(spark, path), rows, "fn bigint, rel string, to_symbol bigint, to_local bigint, from_symbol bigint, from_local bigint, idx bigint", names, kinds)
-
-
 # ---- object files
 
 

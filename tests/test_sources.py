@@ -4,10 +4,7 @@ import gzip
 import json
 import struct
 
-import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from sparkreach.sources import binary, facts
 from sparkreach.streaming import traces
@@ -40,20 +37,6 @@ def test_json_and_csv(spark, tmp_path):
     assert [tuple(r) for r in facts.read_file_table(spark, str(tmp_path / "t.json")).collect()] == [("a.c", "z", "1")]
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 2**32 - 1), max_size=300))
-def test_packed_numbers(xs):
-    assert binary.unpack_numbers(binary.pack_numbers(np.array(xs, np.uint32))).tolist() == xs
-
-
-def test_frames(spark, tmp_path):
-    one = {"symbol": 100, "num_locals": 3, "num_allocas": 1, "edges": {"Assign": [(1, 0), (2, (200,))], "ArgumentDefinition": [(0, (100,), 23)], "Return": [((100,), 2)]}}
-    two = {"symbol": 200, "num_locals": 1, "num_allocas": 0, "edges": {"Call": [(0, (100,), 2)]}}
-    (tmp_path / "obj").write_bytes(b"\0" * 7 + binary.encode_frame([100, 200], [one, two]) + b"pad" + binary.encode_frame([5], []))
-    got = {tuple(r) for r in binary.read_frames(spark, str(tmp_path / "obj")).collect()}
-    assert got == {(100, "Assign", 100, 1, 100, 0, None), (100, "Assign", 100, 2, 200, None, None), (100, "ArgumentDefinition", 100, 0, 100, None, 23), (100, "Return", 100, None, 100, 2, None), (200, "Call", 200, 0, 100, None, 2)}
-
-
 def test_traces(spark, tmp_path):
     (tmp_path / "trace-1").write_bytes(struct.pack("<6Q", 9, 5, 0, 7, 2**64 - 1, 2**63) + b"tail")
     got = {tuple(int(x) for x in r) for r in binary.read_traces(spark, str(tmp_path / "trace-1")).collect()}
