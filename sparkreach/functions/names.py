@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,14 +85,81 @@ def short_names(x: pd.Series) -> pd.Series:
 
 
 def function_name(x: Column) -> Column:
-    """The short name; only mangled names leave the JVM."""
+    """The short name. All names go through Python, also those that are not mangled; `with_function_name` sends distinct mangled ones alone."""
     return F.when(x.startswith("_Z"), short_names(x)).otherwise(x)
 
 
+def with_function_name(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """rows with the short name of a column; each distinct mangled name leaves the JVM once."""
+    mangled = rows.where(F.col(column).startswith("_Z")).select(F.col(column).alias("_mangled")).distinct()
+    short = mangled.select("_mangled", short_names("_mangled").alias("_short"))
+    held = rows.join(short, rows[column] == short["_mangled"], "left")
+    return held.withColumn(out, F.when(F.col(column).startswith("_Z"), F.col("_short")).otherwise(F.col(column))).drop("_mangled", "_short")
+
+
 def identifier(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"\W", "_"), "_+", "_")
 
 
+# fixed values: the texts of verdicts that reports change
+PRESENT = "Target function (.*?) is present"
+NO_SYMBOLS = "No additional symbols were required to be reachable."
+
+
+def address_name(address: Column, prefix: str = "node_", suffix: str = "x") -> Column:
+    """The identifier of a node without a name of its own."""
+    return F.concat(F.lit(prefix), F.lower(F.hex(address)), F.lit(suffix))
+
+
+def name_address(name: Column, prefix: str = "node_", suffix: str = "x") -> Column:
+    """The address that address_name gave the name for, else null."""
+    digits = F.regexp_extract(name, f"^{re.escape(prefix)}([0-9a-fA-F]{{1,16}}){re.escape(suffix)}$", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).try_cast("bigint"))
+
+
+def chosen(values: Column) -> Column:
+    """A C expression that may be any of the values (array of texts): NULL of none, the value of one."""
+    start = F.coalesce(F.get(values, F.lit(0)), F.lit("NULL"))
+    rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
+    return F.aggregate(rest, start, lambda out, x: F.concat(F.lit("NONDET_SELECT("), out, F.lit(", "), x, F.lit(")")))
+
+
+def local_names(locals_: DataFrame) -> DataFrame:
+    """fn, local, name: identifiers of a function's locals, no two alike. locals_: fn, local, debug (the part behind the last bar counts).
+
+    Locals are taken in order; one whose name is taken gets _1 behind it until it is not. Locals with several debug names
+    get none. A function has fewer than 65,536 locals, so it is one group; the n-th of a name is 2 n characters longer.
+    """
+    single = locals_.groupBy("fn", "local").agg(F.min("debug").alias("debug"), F.count_distinct("debug").alias("n")).where("n = 1")
+    wanted = single.select("fn", "local", F.concat(F.lit("LOCAL"), identifier(F.substring_index("debug", "|", -1))).alias("name"))
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, next_try, out = set(), {}, []
+        rows = rows.sort_values("local")
+        for wish in rows["name"]:
+            name = next_try.get(wish, wish)
+            while name in taken:
+                name += "_1"
+            taken.add(name)
+            next_try[wish] = name + "_1"
+            out.append(name)
+        return rows.assign(name=out)
+
+    return wanted.groupBy("fn").applyInPandas(of, wanted.schema)
+
+
+def target_function(justification: Column) -> Column:
+    """The function that a verdict's text names."""
+    found = F.regexp_extract(justification, PRESENT, 1)
+    return F.when(justification.rlike(PRESENT), found).otherwise("Unknown Target")
+
+
+def report_text(justification: Column) -> Column:
+    """A verdict's text as reports show it."""
+    changed = F.replace(F.replace(justification, F.lit("Target function"), F.lit("Vulnerable function")), F.lit(NO_SYMBOLS), F.lit(""))
+    return F.regexp_replace(changed, r"^\s+|\s+$", "")
+
+
 def map_prefix(x: Column, prefixes: list[tuple[str, str]]) -> Column:
     """The first matching prefix is replaced, once."""
     out = x

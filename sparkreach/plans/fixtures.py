@@ -43,6 +43,11 @@ VIEWS = {
     "gf_local": "SELECT fn, CAST(row_number() OVER (PARTITION BY fn ORDER BY ok, ln, tgt, q, sk) - 1 AS BIGINT) AS local, concat('v', CAST(ln AS STRING)) AS name, ok, CAST(ln AS BIGINT) AS ln, tgt, q FROM fx_line",
     "gf_edge": "SELECT fn, CASE WHEN q <= 15 THEN 'Call' WHEN q <= 25 THEN 'Assign' WHEN q <= 35 THEN 'ArgumentSupply' ELSE 'Store' END AS rel, CASE WHEN q <= 35 THEN fn ELSE tgt END AS to_symbol, CASE WHEN q <= 35 THEN local END AS to_local, CASE WHEN q <= 15 OR (q > 25 AND q <= 35) THEN tgt ELSE fn END AS from_symbol, CASE WHEN q > 15 AND q <= 25 THEN ok % 10 WHEN q > 35 THEN local END AS from_local, CASE WHEN q <= 15 OR (q > 25 AND q <= 35) THEN ln END AS idx FROM gf_local",
     "gf_fn": "SELECT sym AS fn, CASE WHEN sym % 4 > 0 THEN component END AS component, CASE WHEN sym % 4 > 0 THEN version END AS version, CAST(sym % 3 AS BIGINT) AS num_allocas FROM fx_fn",
+    # headers and the ports' documents below five folders
+    "hp_header": "SELECT DISTINCT concat('/r', CAST(p_partkey % 5 AS STRING)) AS root, concat('/r', CAST(p_partkey % 5 AS STRING), CASE p_partkey % 4 WHEN 0 THEN '/include/' WHEN 1 THEN '/lib/include/' WHEN 2 THEN concat('/include/d', CAST(p_partkey % 13 AS STRING), '/') ELSE '/other/' END, 'h', CAST(p_partkey % 50 AS STRING), CASE WHEN p_partkey % 3 = 0 THEN concat('_', CAST(p_partkey AS STRING)) ELSE '' END, CASE p_partkey % 7 WHEN 0 THEN '.hpp' WHEN 1 THEN '.c' ELSE '.h' END) AS path FROM part",
+    "hp_port": "SELECT concat('/r', CAST(s_suppkey % 5 AS STRING)) AS root, concat('/r', CAST(s_suppkey % 5 AS STRING), CASE WHEN s_suppkey % 6 = 5 THEN '/doc/' ELSE '/share/' END, CAST(s_suppkey AS STRING), '/vcpkg.spdx.json') AS path, CASE WHEN s_suppkey % 2 = 0 THEN concat('h', CAST(s_suppkey % 50 AS STRING)) ELSE concat('d', CAST(s_suppkey % 13 AS STRING)) END AS name, concat('1.', CAST(s_nationkey AS STRING)) AS version FROM supplier",
+    "sk_symbol": "SELECT s_suppkey * 1000 AS addr, CASE s_suppkey % 3 WHEN 0 THEN concat('_ZN3lib8fn', lpad(CAST(s_suppkey AS STRING), 6, '0'), 'Ev') WHEN 1 THEN concat('_Z?', CAST(s_suppkey AS STRING)) ELSE concat('fn', CAST(s_suppkey AS STRING)) END AS name, 400 + s_nationkey * 20 AS size FROM supplier",
+    "sk_local": "SELECT l_suppkey AS fn, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS BIGINT) AS local, concat('up|', CASE WHEN l_linenumber % 2 = 0 THEN 'i.' ELSE 'p->' END, CAST(l_linenumber AS STRING)) AS debug FROM lineitem",
     # a request for each supplier: a path from one function by way of a second to a third
     "pw_start": "SELECT s_suppkey AS request, (s_suppkey * 131) % (SELECT max(p_partkey) + 1 FROM part) AS start FROM supplier",
     "pw_stop": "SELECT request, 0 AS pos, start AS node FROM pw_start UNION ALL SELECT request, 1, max(callee) FROM pw_start LEFT JOIN fx_call_direct ON caller = start GROUP BY request UNION ALL SELECT request, 2, (start * 29 + 11) % (SELECT max(p_partkey) + 1 FROM part) FROM pw_start",

@@ -403,4 +403,4 @@ def reach_two_phase(spark, sf_dir):
     return summaries.solve(assign.unionByName(calls).distinct(), symbols, inside, of("fx_seed").select(F.col("sym").alias("node")))[1]
 
 
-from . import analysis_queries, model_queries, order_queries, path_queries, rule_queries, source_queries  # noqa: E402, F401  (they register their queries)
+from . import analysis_queries, model_queries, order_queries, path_queries, rule_queries, sink_queries, source_queries  # noqa: E402, F401  (they register their queries)
