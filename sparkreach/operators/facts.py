@@ -94,3 +94,10 @@ def segment_hash(segments: DataFrame) -> DataFrame:
     """digest of a set of segments (lo, hi), whatever their order: a sum of row hashes, so partial sums combine."""
     row = F.xxhash64("lo", "hi")
     return segments.select("lo", "hi").distinct().groupBy().agg(F.sum(row.cast("decimal(38,0)")).cast("string").alias("digest"), F.count("*").alias("n"))
+
+
+def differences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """side (first or second) and the rows that only it has; none if both are the same set. Nulls equal nulls."""
+    one, two = first.withColumn("side", F.lit("first")), second.select(*first.columns).withColumn("side", F.lit("second"))
+    held = one.unionByName(two).groupBy(*first.columns).agg(F.min("side").alias("side"), F.max("side").alias("_last"))
+    return held.where("side = _last").drop("_last")

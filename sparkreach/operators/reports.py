@@ -91,10 +91,35 @@ def sarif(results: DataFrame, flows: DataFrame, traces: DataFrame, lines: DataFr
 
 
 def sarif_log(results: DataFrame) -> DataFrame:
-    """text: one SARIF 2.1.0 log of the result objects; results of a run are few."""
-    every = results.groupBy().agg(F.array_join(F.array_sort(F.collect_list("result")), ",").alias("r"))
+    """pos, line: a SARIF 2.1.0 log of the result objects, a line each between head and end, in order. Results are not gathered in one row."""
     head = '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"sparkreach"}},"results":['
-    return every.select(F.concat(F.lit(head), "r", F.lit("]}]}")).alias("text"))
+    own = results.groupBy("cve_id", "result").agg(F.count("*").alias("n"))
+    first = own.groupBy().agg(F.min(F.struct("cve_id", "result")).alias("f")).select("f.*", F.lit(True).alias("_first"))
+    rows = own.join(first, ["cve_id", "result"], "left")
+    each = rows.select(F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"), "cve_id", "result", "_first")
+    starts = F.coalesce("_first", F.lit(False)) & (F.col("i") == 1)
+    body = each.select(F.when(starts, 1).otherwise(2).alias("pos"), F.concat(F.when(starts, "").otherwise(","), "result").alias("line"))
+    return body.unionByName(results.sparkSession.createDataFrame([(0, head), (3, "]}]}")], "pos int, line string"))
+
+
+def fact_graph(edges: DataFrame, names: DataFrame, sub: DataFrame) -> DataFrame:
+    """pos, line: DOT of a function's facts. edges: rel, dst, src, idx (null for relations without); names: node, name; sub: dst, src.
+
+    A node is shown by its name, up to " (rnd=", and carries the class of each node above and below it in `sub`, so that a
+    viewer can mark these when it is picked; its own class is its id.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '(["\\\\])', r"\\$1"), F.lit('"'))
+    own = lambda c: F.concat(F.lit("class-"), F.regexp_replace(c, r"\W", "_"))
+    above = sub.select(F.col("dst").alias("node"), F.concat(F.lit("PARENT"), own(F.col("src"))).alias("c"))
+    below = sub.select(F.col("src").alias("node"), F.concat(F.lit("CHILD"), own(F.col("dst"))).alias("c"))
+    classes = above.unionByName(below).groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("c")), " ").alias("classes"))
+    label = F.substring_index("name", " (rnd=", 1)
+    nodes = names.groupBy("node").agg(F.min("name").alias("name")).join(classes, "node", "left")
+    shown = F.concat(quoted(F.col("node")), F.lit(" [label="), quoted(label), F.lit(" class="), quoted(F.coalesce("classes", F.lit(""))), F.lit(" id="), quoted(own(F.col("node"))), F.lit("];"))
+    text = F.concat("rel", F.coalesce(F.concat(F.lit(" ("), F.col("idx").cast("string"), F.lit(")")), F.lit("")))
+    arrow = F.concat(quoted(F.col("src")), F.lit(" -> "), quoted(F.col("dst")), F.lit(" [label="), quoted(text), F.lit("];"))
+    ends = edges.sparkSession.createDataFrame([(0, "digraph {"), (3, "}")], "pos int, line string")
+    return ends.unionByName(nodes.select(F.lit(1).alias("pos"), shown.alias("line"))).unionByName(edges.select(F.lit(2).alias("pos"), arrow.alias("line")))
 
 
 def code_quality(results: DataFrame, traces: DataFrame, lines: DataFrame, inside: bool = False) -> DataFrame:

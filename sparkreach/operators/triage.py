@@ -130,3 +130,9 @@ def merge(vulns: DataFrame, judged: DataFrame) -> DataFrame:
 
 def run(vulns: DataFrame, functions: DataFrame, reached: DataFrame, filters: list[Filter] | None = None, inlined: DataFrame | None = None) -> DataFrame:
     return merge(vulns, apply(match(vulns, functions, inlined), [address_set(reached), *(filters or [])]))
+
+
+def to_analyse(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(results that a closer analysis can take up: possibly reachable, with an address; the others, as they are). results: classification, address."""
+    open_ = ~F.coalesce(F.col("classification").isin(UNREACHABLE, UNKNOWN), F.lit(False)) & F.col("address").isNotNull()
+    return results.where(open_), results.where(~open_)

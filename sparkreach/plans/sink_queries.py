@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..operators import facts, reports, triage
 from ..sources import headers, sinks
 from ..storage import new_path
 from .fixtures import fx
@@ -96,3 +97,53 @@ def fx_report_texts(spark, sf_dir):
     p = p.withColumn("text", F.concat(F.lit("Target function "), "p_name", present, F.lit(names.NO_SYMBOLS))).withColumn("ident", names.address_name(F.col("p_partkey")))
     values = F.slice(F.array(*map(F.lit, ("v0", "v1", "v2"))), F.lit(1), (F.col("p_size") % 4).cast("int"))
     return p.select("p_partkey", names.target_function(F.col("text")).alias("target"), names.report_text(F.col("text")).alias("report"), "ident", names.name_address(F.col("ident")).alias("back"), names.chosen(values).alias("choice"))
+
+
+HEAD = '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"sparkreach"}},"results":['
+
+
+@query(f"+o AS (SELECT fn, tgt, ROW_NUMBER() OVER (ORDER BY CAST(fn AS VARCHAR), concat(CAST(tgt AS VARCHAR), '}}')) AS n FROM fx_line) SELECT concat(CASE WHEN n > 1 THEN ',' ELSE '' END, '{{\"ruleId\":\"', CAST(fn AS VARCHAR), '\",\"n\":', CAST(tgt AS VARCHAR), '}}') AS line FROM o UNION ALL SELECT '{HEAD}' UNION ALL SELECT ']}}]}}'", "fx_line")
+def sink_sarif(spark, sf_dir):
+    """A whole log, with a result for each line, written in order and read back."""
+    path = new_path(spark, "sarif")
+    rule = F.col("fn").cast("string")
+    results = fx(spark, sf_dir, "fx_line").select(rule.alias("cve_id"), F.to_json(F.struct(rule.alias("ruleId"), F.col("tgt").alias("n"))).alias("result"))
+    sinks.write_lines(reports.sarif_log(results), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query(
+    "+c AS (SELECT DISTINCT dst, src FROM fx_store), cl AS (SELECT dst AS node, concat('PARENTclass-', CAST(src AS VARCHAR)) AS c FROM c UNION SELECT src, concat('CHILDclass-', CAST(dst AS VARCHAR)) FROM c), k AS (SELECT node, string_agg(c, ' ' ORDER BY c) AS classes FROM cl GROUP BY node) "
+    "SELECT concat('\"', CAST(sym AS VARCHAR), '\" [label=\"', fname, '\" class=\"', coalesce(classes, ''), '\" id=\"class-', CAST(sym AS VARCHAR), '\"];') AS line FROM fx_fn LEFT JOIN k ON node = sym UNION ALL "
+    "SELECT concat('\"', CAST(src AS VARCHAR), '\" -> \"', CAST(dst AS VARCHAR), '\" [label=\"Assign\"];') FROM fx_assign UNION ALL "
+    "SELECT concat('\"', CAST(value AS VARCHAR), '\" -> \"', CAST(fn AS VARCHAR), '\" [label=\"ArgumentSupply (', CAST(arg_no AS VARCHAR), ')\"];') FROM fx_arg UNION ALL SELECT 'digraph {' UNION ALL SELECT '}'",
+    "fx_fn",
+    "fx_assign",
+    "fx_store",
+    "fx_arg",
+)
+def sink_fact_graph(spark, sf_dir):
+    """Facts as DOT, functions with the classes of what is above and below them."""
+    path = new_path(spark, "facts")
+    of = lambda n: fx(spark, sf_dir, n)
+    ends = lambda d: [F.col(a).cast("string").alias(b) for a, b in d.items()]
+    assign = of("fx_assign").select(F.lit("Assign").alias("rel"), *ends({"dst": "dst", "src": "src"}), F.lit(None).cast("bigint").alias("idx"))
+    supply = of("fx_arg").select(F.lit("ArgumentSupply").alias("rel"), *ends({"fn": "dst", "value": "src"}), F.col("arg_no").cast("bigint").alias("idx"))
+    known = of("fx_fn").select(*ends({"sym": "node"}), F.concat("fname", F.lit(" (rnd=7)")).alias("name"))
+    sinks.write_lines(reports.fact_graph(assign.unionByName(supply), known, of("fx_store").select(*ends({"dst": "dst", "src": "src"}))), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("SELECT p_partkey, p_size % 4 IN (1, 2) AND p_partkey % 3 > 0 AS analyse FROM part", "fx_seed")
+def triage_to_analyse(spark, sf_dir):
+    """Which verdicts a closer analysis takes up; all results come back."""
+    verdict = F.get(F.array(F.lit(triage.UNREACHABLE), F.lit(triage.POSSIBLE), F.lit(triage.REACHABLE), F.lit(triage.UNKNOWN)), (F.col("p_size") % 4).cast("int"))
+    results = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", verdict.alias("classification"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey")).alias("address"))
+    taken, rest = triage.to_analyse(results)
+    return taken.select("p_partkey", F.lit(True).alias("analyse")).unionByName(rest.select("p_partkey", F.lit(False).alias("analyse")))
+
+
+@query("SELECT dst, src, CASE WHEN min(s) = 1 THEN 'first' ELSE 'second' END AS side FROM (SELECT dst, src, 1 AS s FROM fx_assign UNION SELECT dst, src, 2 FROM fx_store) GROUP BY 1, 2 HAVING count(*) = 1", "fx_assign", "fx_store")
+def fact_differences(spark, sf_dir):
+    """Rows that one of two relations has alone."""
+    return facts.differences(fx(spark, sf_dir, "fx_assign"), fx(spark, sf_dir, "fx_store"))

@@ -12,6 +12,7 @@ that are not UTF-8 are read with replacements.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -146,8 +147,6 @@ def held(data: bytes, sections: list[tuple], address: int, size: int) -> bytes:
 
 def batches_of(df: DataFrame, rows, schema: str) -> DataFrame:
     """Rows of another schema from each row (a dict): one batch of Arrow columns a row, by a function that yields column lists."""
-    import re
-
     names = re.findall(r"(\w+) \w", schema)
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     types = [kinds[t] for t in re.findall(r"\w+ ([\w<>]+)", schema)]
@@ -162,9 +161,13 @@ def batches_of(df: DataFrame, rows, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """FRAME's columns, a row a frame of every object at path; functions and debug are still packed."""
-    return batches_of(files(spark, path), lambda r: ([[r["path"]], *([x] for x in f)] for f in cut(r["content"])), FRAME)
+def read_frames(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """FRAME's columns, a row a frame of every object at path; functions and debug are still packed. spread: frames of one object go to many tasks, for few objects with many frames.
+
+    An object is read whole, as binaryFile gives it: 2 GB at most.
+    """
+    found = batches_of(files(spark, path), lambda r: ([[r["path"]], *([x] for x in f)] for f in cut(r["content"])), FRAME)
+    return found.repartition("path", "frame") if spread else found
 
 
 # ---- frames

@@ -63,7 +63,7 @@ def test_random_graphs(spark, tmp_path):
                 expected |= {(fn, *e) for e in edges}
             units.append(out)
         (tmp_path / f"o{obj}").write_bytes(frames.image(units))
-    assert rows(frames.edges(frames.read_frames(spark, str(tmp_path)))) == expected
+    assert rows(frames.edges(frames.read_frames(spark, str(tmp_path), spread=True))) == expected
 
 
 def test_bytes_between_and_ends():

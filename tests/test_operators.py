@@ -277,7 +277,7 @@ def test_reports(spark):
     lines = spark.createDataFrame(places, "addr bigint, name string, file string, line int, col int, end_line int, end_col int")
     flows = reports.steps(traces, lines)
     assert [tuple(r) for r in flows.where("target = 'V'").orderBy("pos").select("pos", "nesting", "is_last").collect()] == [(1, 1, False), (3, 2, False), (4, 3, True)]  # callers go, the target stays
-    log = json.loads(reports.sarif_log(reports.sarif(results, flows, traces, lines)).first()["text"])
+    log = json.loads("".join(r["line"] for r in reports.sarif_log(reports.sarif(results, flows, traces, lines)).orderBy("pos", "line").collect()))
     found = {r["ruleId"]: r for r in log["runs"][0]["results"]}
     assert log["version"] == "2.1.0" and found["V"]["message"]["text"] == "[V] REACHABLE\nseen."
     assert [x["location"]["physicalLocation"]["artifactLocation"]["uri"] for x in found["V"]["codeFlows"][0]["threadFlows"][0]["locations"]] == ["s/1.c", "s/3.c", "file:///usr/4.c"]

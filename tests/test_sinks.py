@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkreach.functions import names
+from sparkreach.operators import facts, reports, triage
 from sparkreach.sources import headers, sinks
 
 
@@ -105,3 +106,31 @@ def test_texts(spark):
     assert [tuple(r) for r in df.select(names.target_function(F.col("t")), names.report_text(F.col("t"))).collect()] == [("f", "Vulnerable function f is present. Vulnerable function of zlib."), ("Unknown Target", "nothing"), ("Unknown Target", "")]
     back = spark.createDataFrame([("node_ffx",), ("node_zzx",), ("node_x",), ("main",)], "n string").select(names.name_address(F.col("n")))
     assert [r[0] for r in back.collect()] == [255, None, None, None]
+
+
+def test_fact_graph(spark):
+    edges = spark.createDataFrame([("Assign", "a", "b", None), ("Call", "a", 'q"', 3)], "rel string, dst string, src string, idx bigint")
+    known = spark.createDataFrame([("a", "A (rnd=12)"), ("b", "B"), ("b", "B")], "node string, name string")
+    sub = spark.createDataFrame([("b", "a"), ("b", "0x1:0x2"), ("b", "a")], "dst string, src string")
+    found = [r["line"] for r in reports.fact_graph(edges, known, sub).orderBy("pos", "line").collect()]
+    assert found == ["digraph {", '"a" [label="A" class="CHILDclass-b" id="class-a"];', '"b" [label="B" class="PARENTclass-0x1_0x2 PARENTclass-a" id="class-b"];', '"b" -> "a" [label="Assign"];', '"q\\"" -> "a" [label="Call (3)"];', "}"]
+
+
+def test_sarif_log(spark):
+    form = "cve_id string, result string"
+    whole = lambda rows: json.loads("".join(r["line"] for r in reports.sarif_log(spark.createDataFrame(rows, form)).orderBy("pos", "line").collect()))
+    assert whole([])["runs"][0]["results"] == []
+    assert whole([("b", '{"x":1}'), ("a", '{"x":2}'), ("a", '{"x":2}'), ("a", '{"x":3}')])["runs"][0]["results"] == [{"x": 2}, {"x": 1}, {"x": 2}, {"x": 3}]
+
+
+def test_differences(spark):
+    one = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], "k int, v string")
+    two = spark.createDataFrame([("a", 1), (None, 2), ("d", 3)], "v string, k int")
+    assert rows(facts.differences(one, two)) == {(3, "c", "first"), (3, "d", "second")}
+    assert rows(facts.differences(one, one)) == set()
+
+
+def test_to_analyse(spark):
+    given = [(triage.POSSIBLE, 1), (triage.POSSIBLE, None), (triage.UNREACHABLE, 2), (triage.UNKNOWN, 3), (None, 4)]
+    taken, rest = triage.to_analyse(spark.createDataFrame(given, "classification string, address bigint"))
+    assert rows(taken) == {given[0], given[4]} and rows(rest) == set(given[1:4])
