@@ -91,7 +91,8 @@ def test_damaged_frames():
 
 def test_relocations_by_symbol():
     table = bytes(24) + struct.pack("<IBBHQQ", 0, 0, 0, 1, 5000, 0)
-    rela = struct.pack("<QQq", 64, 1 << 32 | 1, 16) + struct.pack("<QQq", 32, 8, 77) + struct.pack("<QQq", 40, 99, 5)
-    sections = [("", 0, 0, 0, 0, 0, 0), (".dynsym", 11, 0, 0, 48, 0, 24), (".rela", 4, 0, 48, 72, 1, 24)]
+    rela = struct.pack("<QQq", 64, 1 << 32 | 1, 16) + struct.pack("<QQq", 32, 8, 77) + struct.pack("<QQq", 40, 99, 5) + struct.pack("<QQq", 72, 1027, 78) + struct.pack("<QQq", 80, 1 << 32 | 257, -8)
+    sections = [("", 0, 0, 0, 0, 0, 0), (".dynsym", 11, 0, 0, 48, 0, 24), (".rela", 4, 0, 48, 120, 1, 24)]
     p = frames.Pointers(table + rela, sections)
     assert p.at(32, np.array([1, 2, 3, 4, 5], np.uint64)).tolist() == [77, 2, 3, 4, 5016]
+    assert p.at(72, np.array([0, 0], np.uint64)).tolist() == [78, 4992]
