@@ -9,9 +9,11 @@ and those close enough in size to be similar to one, have the frequent tokens of
 any two similar documents share a key. Tokens of one document only are in no index.
 
 Equal sets are told apart first by a digest, and one document stands for them. Shared keys are not turned into pairs.
-In each of ROUNDS rounds a document is verified against CENTRES documents of other components that it shares most keys
-with, and links merge components. What then still shares a key across components forms clusters; in each, documents
-outside the largest component are held against all of other components, so no link between components is lost. A
+Each of ROUNDS rounds takes the LEADS smallest keys of a document and one document, the centre, of each such key; a
+document is verified against CENTRES centres of other components that it shares most of these keys with, and links
+merge components. The rounds only make components large early. What then still shares any key, of all of them, across
+components forms clusters; in each, documents outside the largest component are held against all of other components,
+so no link between components is lost. A
 cluster is dealt out by size class (similar sets are of the same or neighbouring classes) and within one as a grid of
 cells of at most some CELL documents a side, however large it is; a cell counts overlaps through an inverted index.
 
@@ -30,7 +32,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .blocks import MOST, alike, copies, count_keys, expand, members, pack, with_answers
@@ -38,10 +40,13 @@ from .common import scratch, unveiled, veiled, written
 
 SHINGLE, PERCENT = 4, 85
 FREQUENT, SMALL = 32, 200
-ROUNDS, CENTRES = 3, 4
+ROUNDS, CENTRES, LEADS = 3, 2, 8
+WORTH = 20  # a round that links fewer than one pair of so many is the last
 CELL = 128
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 REMEMBERED = 1 << 17
+
+
 KNOWN: dict[bytes, int] = {}
 
 
@@ -133,6 +138,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * PERCENT).select("a", "b")
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df written, and its number of rows, taken as it is written."""
+    rows = Observation()
+    table = written(df.observe(rows, F.count(F.lit(1)).alias("n")), name)
+    return table, rows.get["n"]
+
+
 def components(links: DataFrame) -> DataFrame:
     """v, c: vertices of the links a, b and the smallest vertex of their component. Rounds grow as the logarithm of a path's length."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -165,36 +177,45 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     return written(entries.join(written(shared, "keys"), "key"), "entries")
 
 
+def leading(entries: DataFrame) -> DataFrame:
+    """The entries of each document's LEADS smallest keys, written; documents that share most of their keys share some of these."""
+    least = F.slice(F.array_sort(F.collect_list("key")), 1, LEADS)
+    return written(entries.groupBy("rid", "n").agg(least.alias("keys")).select(F.explode("keys").alias("key"), "rid", "n"), "leads")
+
+
 def link(entries: DataFrame, found: DataFrame) -> DataFrame:
     """rid, c of the candidates (rid, n, shingles): components of the similar among those that share a key of entries (key, rid, n)."""
     comp = written(found.select("rid", F.col("rid").alias("c")), "components")
-    tried = None
+    leads, tried = leading(entries), None
     for r in range(ROUNDS):
-        at = entries.join(comp, "rid")
-        picked = [F.min_by(F.struct("rid", "n", "c"), F.xxhash64("c", "rid", F.lit(r * CENTRES + i))) for i in range(CENTRES)]
-        centres = at.groupBy("key").agg(F.array(*picked).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        centres = written(centres.select("key", F.explode(F.array_distinct("x")).alias("x")).select("key", F.col("x.rid").alias("b"), F.col("x.n").alias("nb"), F.col("x.c").alias("cb")), "centres")
+        at = leads.join(comp, "rid")
+        # one centre a key: a vote is at most a lead, and most documents of a key are of its centre's component once that is large
+        centre = F.min_by(F.struct("rid", "n", "c"), F.xxhash64("rid", F.lit(r))).alias("x")
+        centres = at.groupBy("key").agg(centre, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        centres = centres.select("key", F.col("x.rid").alias("b"), F.col("x.n").alias("nb"), F.col("x.c").alias("cb"))
         votes = at.join(centres, "key").where(f"c <> cb AND {near_in_size('n', 'nb')}").groupBy(F.col("rid").alias("a"), "b").agg(F.count("*").alias("votes"))
         if tried is not None:
             votes = votes.join(tried, ["a", "b"], "left_anti")
         most = F.slice(F.sort_array(F.collect_list(F.struct("votes", "b")), asc=False), 1, CENTRES)
-        pairs = written(votes.groupBy("a").agg(most.alias("x")).select("a", F.explode("x.b").alias("b")), "pairs")
-        links = written(verified(pairs, found), "links")
+        pairs, asked = counted(votes.groupBy("a").agg(most.alias("x")).select("a", F.explode("x.b").alias("b")), "pairs")
+        links, met = counted(verified(pairs, found), "links")
         both = pairs.union(pairs.select("b", "a"))
         tried = both if tried is None else tried.union(both)
-        if links.isEmpty():
+        if not met:
             break
         comp = merged(comp, links)
-    links = written(cross_links(entries, comp, found), "links")
-    return comp if links.isEmpty() else merged(comp, links)
+        if met * WORTH < asked:  # what is left is for cross_links
+            break
+    links, met = counted(cross_links(entries, comp, found), "links")
+    return merged(comp, links) if met else comp
 
 
 def cross_links(entries: DataFrame, comp: DataFrame, found: DataFrame) -> DataFrame:
     """a, b: links that join all components that share a key and have a link; one for each step of a union."""
     at = entries.join(comp, "rid")
     shared = written(at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rid").alias("b")).where("lo <> hi").select("key", "b"), "keys")
-    near = written(entries.select("key", F.col("rid").alias("a")).join(shared, "key").select("a", "b").distinct(), "near")
-    if near.isEmpty():
+    near, met = counted(entries.select("key", F.col("rid").alias("a")).join(shared, "key").select("a", "b").distinct(), "near")
+    if not met:
         return near
     clusters = components(near).select(F.col("v").alias("rid"), F.col("c").alias("g"))
     # k: similar sets are of the same or neighbouring classes of size
