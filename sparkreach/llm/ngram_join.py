@@ -146,18 +146,32 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v, c: vertices of the links a, b and the smallest vertex of their component. Rounds grow as the logarithm of a path's length."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("c")), "labels")
+    """v, c: vertices of the links a, b (but for those linked with themselves alone) and the smallest vertex of their component.
+
+    Vertices are ordered by a hash (one to one on bigints), as if shuffled. In a round every vertex goes to the first of
+    itself and its neighbours, and once more from there, and edges are drawn anew between where their ends went. A star
+    is one vertex after two rounds, a path loses half and more a round: no round reads all links again.
+    """
+    steps, edges = [], links
     while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        met = labels.join(near, "v").select("v", "c", F.least("c", "m").alias("m"))
-        jump = labels.select(F.col("v").alias("m"), F.col("c").alias("far"))
-        new = written(met.join(jump, "m").select("v", F.col("c").alias("old"), F.least("m", "far").alias("c")), "labels")
-        done = new.where("old <> c").isEmpty()
-        labels = new.select("v", "c")
-        if done:
-            return labels
+        drawn = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        edges, left = counted(drawn, "edges")
+        if not left:
+            break
+        near = edges.union(edges.select("b", "a")).select(F.col("a").alias("v"), "b", F.xxhash64("b").alias("h"))
+        low = near.groupBy("v").agg(F.min("h").alias("h"), F.min_by("b", "h").alias("m"))
+        low = low.select("v", F.when(F.col("h") < F.xxhash64("v"), F.col("m")).otherwise(F.col("v")).alias("m"))
+        step = written(low.join(low.select(F.col("v").alias("m"), F.col("m").alias("c")), "m").select("v", "c"), "step")
+        steps.append(step)
+        edges = edges.join(step.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(step.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
+        edges = edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    if not steps:
+        return edges.select(F.col("a").alias("v"), F.col("b").alias("c"))
+    labels = steps[0]
+    for step in steps[1:]:
+        labels = labels.join(step.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+    labels = written(labels, "labels")
+    return written(labels.join(labels.groupBy("c").agg(F.min("v").alias("low")), "c").select("v", F.col("low").alias("c")), "lowest")
 
 
 def merged(comp: DataFrame, links: DataFrame) -> DataFrame:

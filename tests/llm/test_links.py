@@ -26,6 +26,44 @@ def tables(monkeypatch):
     return seen
 
 
+def lowest(links):
+    parent = {x: x for link in links for x in link}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in parent}
+
+
+def graphs():
+    rng = random.Random(5)
+    some = rng.sample(range(10**6), 200)
+    yield [(some[i], some[i + 1]) for i in range(199)]  # a path in no order
+    yield [(10**7, x) for x in some]  # stars around the largest and the smallest
+    yield [(-1, x) for x in some]
+    yield [(i, i + 1) for i in range(150)] + [(7, 7), (8, 7)]
+    yield [(rng.randrange(300), rng.randrange(300)) for _ in range(250)]
+
+
+@pytest.mark.parametrize("links", list(graphs()))
+def test_components(spark, tables, links):
+    """Edges are drawn anew between the vertices that stay; all links are read in the first round alone."""
+    found = {r["v"]: r["c"] for r in ngram_join.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert found == lowest([x for x in links if x[0] != x[1]])
+    left = [n for name, n in tables if name == "edges"]
+    assert left[-1] == 0 and all(2 * b <= max(a, 8) for a, b in zip(left, left[2:])) and [name for name, _ in tables].count("labels") == 1
+
+
+def test_no_components(spark):
+    none = spark.createDataFrame([(1, 1)], "a bigint, b bigint")
+    assert ngram_join.components(none).count() == 0 and ngram_join.components(none.where("false")).columns == ["v", "c"]
+
+
 def test_rounds_of_a_large_group(spark, tables):
     """Near copies that share hundreds of keys vote with LEADS of them and are verified against CENTRES documents."""
     rng = random.Random(6)
