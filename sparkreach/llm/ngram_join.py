@@ -47,18 +47,28 @@ A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 REMEMBERED = 1 << 17
 
 
-KNOWN: dict[bytes, int] = {}
+class Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+KNOWN = Known()
 
 
 def numbers(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, remembered (a bounded number of them) in the process, which outlives its tasks."""
     if len(KNOWN) > REMEMBERED:
         KNOWN.clear()
-    for w in set(words).difference(KNOWN):
-        KNOWN[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(KNOWN.__getitem__, words), np.uint64, len(words))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; np.unique hashes before it sorts, which takes many times as long."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of size-word shingles; the whole sequence as one if there are fewer words."""
     words = text.lower().split()  # of bytes: A-Z only, and blanks are \\x20 and \\x09-\\x0D
@@ -70,7 +80,7 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     for i in range(size):
         h = (h ^ w[i : len(w) - size + 1 + i]) * A
         h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return distinct(h)
 
 
 def texts(row: dict):
@@ -107,7 +117,7 @@ def keys(order: np.ndarray, df: np.ndarray, own: int) -> list[int]:
         shorter = slice(0, n - least + 1)
         s = df[shorter] > own if own <= MOST else np.ones(len(df[shorter]), bool)
         found.append(order[shorter][s & (df[shorter] > FREQUENT)])
-    return np.unique(np.concatenate(found)).view(np.int64).tolist()
+    return distinct(np.concatenate(found)).view(np.int64).tolist()
 
 
 def candidates(row: dict, counts: np.ndarray, copied: dict[int, int]) -> dict[str, list]:
@@ -116,13 +126,17 @@ def candidates(row: dict, counts: np.ndarray, copied: dict[int, int]) -> dict[st
     out: dict[str, list] = {n: [] for n in ("rid", "doc_id", "mark", "n", "keys", "shingles")}
     if not any(map(len, sets)):
         return out
-    every = np.unique(np.concatenate(sets))
+    flat = np.concatenate(sets)
+    by = np.argsort(flat)
+    ranked, every = flat[by], np.empty(len(flat), np.uint8)
+    every[by] = counts[np.cumsum(np.concatenate(([False], ranked[1:] != ranked[:-1])))]
+    ends = np.cumsum([len(s) for s in sets])
     for i, s in enumerate(sets):
         own = copied.get(i, 1)
         if not own or not len(s):
             continue
-        df = counts[np.searchsorted(every, s)]
-        order = np.lexsort((s, df))
+        df = every[ends[i] - len(s) : ends[i]]
+        order = np.argsort(df, kind="stable")  # ties by hash, as sets are sorted
         found = keys(s[order], df[order], own)
         if found:
             for name, v in (("rid", row["rids"][i]), ("doc_id", row["doc_ids"][i]), ("mark", row["marks"][i]), ("n", len(s)), ("keys", found), ("shingles", s.view(np.int64).tolist())):

@@ -77,3 +77,26 @@ def test_rounds_of_a_large_group(spark, tables):
     written = dict(tables)
     assert written["entries"] > 60 * 300 and written["leads"] <= ngram_join.LEADS * 300
     assert all(n <= ngram_join.CENTRES * 300 for name, n in tables if name == "pairs")
+
+
+def test_sets_are_sorted_once(monkeypatch):
+    """Blocks find their counts without np.unique, which hashes all numbers before it sorts them."""
+    rng = random.Random(7)
+    texts = [prose(rng, rng.randint(1, 80), 60) for _ in range(40)] + ["", "one"]
+    data = [t.encode() for t in texts]
+    sets = [ngram_join.shingles(t) for t in data]
+    every, counts = np.unique(np.concatenate(sets), return_counts=True)
+    expected = []
+    for s in sets:
+        df = counts[np.searchsorted(every, s)].astype(np.uint8)
+        order = np.lexsort((s, df))
+        expected.append(ngram_join.keys(s[order], df[order], 1) if len(s) else [])
+    row = {"rids": range(len(texts)), "doc_ids": range(len(texts)), "marks": texts, "lengths": list(map(len, data)), "data": blocks.squeeze(b"".join(data))}
+
+    def refuse(*_, **__):
+        raise AssertionError("np.unique")
+
+    monkeypatch.setattr(np, "unique", refuse)
+    found = ngram_join.candidates(row, counts.astype(np.uint8), {})
+    assert any(expected) and dict(zip(found["rid"], found["keys"], strict=True)) == {i: k for i, k in enumerate(expected) if k}
+    assert ngram_join.distinct(np.array([3, 1, 3, 2, 1], np.uint64)).tolist() == [1, 2, 3] and not len(ngram_join.distinct(np.zeros(0, np.uint64)))
