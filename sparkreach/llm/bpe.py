@@ -24,8 +24,11 @@ from __future__ import annotations
 import base64
 import contextlib
 import heapq
+import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +58,28 @@ def vocabulary(path: str) -> dict[bytes, int]:
 # ---- words
 
 
+def ascii_only(pattern: str) -> Callable[[str], list[str]] | None:
+    """findall of the pattern on ASCII texts by re, which takes half of regex's time; None if the pattern has more than literals, classes, \\s, \\S, \\p{L} and \\p{N}."""
+    parts = regex.findall(r"\\p\{[LN]\}|\\.|[+*?}]\+|\(\?[!=:]?|.", pattern, regex.S)
+    listed = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r\x20", r"\S": ""}
+    out, inside = [], False
+    for x in parts:
+        if x == r"\S" and not inside:
+            out.append(r"[^\t-\r\x20]")
+        elif listed.get(x):
+            out.append(listed[x] if inside else f"[{listed[x]}]")
+        elif len(x) > 1 and x not in (r"\r", r"\n", r"\t", "(?!", "(?=", "(?:") or x == "(" or inside and x in "[&|~-":
+            return None
+        else:
+            inside = x == "[" or inside and x != "]"
+            out.append(x)
+    return re.compile("".join(out)).findall
+
+
 @lru_cache(2)
 def splitter(pattern: str) -> Callable[[str], list[str]]:
-    return regex.compile(pattern).findall
+    every, plain = regex.compile(pattern).findall, ascii_only(pattern)
+    return (lambda text: plain(text) if text.isascii() else every(text)) if plain else every
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -146,14 +168,13 @@ class Block:
     """Texts as numbers of distinct words, in the order in which they are met."""
 
     def __init__(self, number: int):
-        self.number, self.ids, self.lengths, self.texts, self.size, self.words = number, [], [], [], 0, {}
+        self.number, self.ids, self.lengths, self.texts, self.size = number, [], [], [], 0
+        self.words = defaultdict(count().__next__)  # a new word takes the next number as it is looked up
 
     def add(self, doc_id, text: str, split: Callable[[str], list[str]]) -> None:
-        pieces, words = split(text), self.words
-        for x in set(pieces).difference(words):
-            words[x] = len(words)
+        pieces = split(text)
         self.ids.append(doc_id)
-        self.texts.append(np.fromiter(map(words.__getitem__, pieces), np.int32, len(pieces)))
+        self.texts.append(np.fromiter(map(self.words.__getitem__, pieces), np.int32, len(pieces)))
         self.lengths.append(len(text.encode("utf-8", "surrogatepass")))
         self.size += self.lengths[-1] + 64
 
@@ -213,14 +234,18 @@ def described(block: Block, vocab: dict[bytes, int], n_buckets: int) -> list[dic
     order = np.argsort(-np.bincount(every, minlength=len(block.words)), kind="stable")
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
-    words = [w.encode("utf-8", "surrogatepass") for w in block.words]
-    told = [[i, 1, vocab[w]] for i, w in zip(place.tolist(), words, strict=True) if w in vocab]
-    for i, w in zip(place.tolist(), words, strict=True):
-        if len(w) > LONG and w not in vocab:
+    told, asked = [], {}
+    for i, x in zip(place.tolist(), block.words, strict=True):
+        w = x.encode("utf-8", "surrogatepass")
+        if (known := vocab.get(w)) is not None:
+            told.append([i, 1, known])
+        elif len(w) > LONG:
             ids = merge_long(w, vocab)
             told.append([i, len(ids), *ids])
-    asked = sorted((w, i) for i, w in zip(place.tolist(), words, strict=True) if len(w) <= LONG and w not in vocab)
-    asked_words, numbers = [w for w, _ in asked], np.array([i for _, i in asked], np.int64)
+        else:
+            asked[w] = i
+    asked_words = sorted(asked)
+    numbers = np.fromiter(map(asked.__getitem__, asked_words), np.int64, len(asked))
     at = bucket_of(asked_words, n_buckets)
     by = np.argsort(at, kind="stable")
     own = np.array([len(told), *(x[0] for x in told), *(x[1] for x in told), *(y for x in told for y in x[2:])], np.int64)

@@ -100,3 +100,18 @@ def test_sets_are_sorted_once(monkeypatch):
     found = ngram_join.candidates(row, counts.astype(np.uint8), {})
     assert any(expected) and dict(zip(found["rid"], found["keys"], strict=True)) == {i: k for i, k in enumerate(expected) if k}
     assert ngram_join.distinct(np.array([3, 1, 3, 2, 1], np.uint64)).tolist() == [1, 2, 3] and not len(ngram_join.distinct(np.zeros(0, np.uint64)))
+
+
+def test_ascii_texts_are_split_alike():
+    """ASCII texts go another way to the same words; patterns with more than simple classes do not."""
+    pattern = public_tokenizers.PATTERN
+    plain, every, rng = bpe.ascii_only(pattern), regex.compile(pattern).findall, random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice([*map(chr, range(128)), " ", " ", "  ", "'ll", "\n"]) for _ in range(30))
+        assert plain(text) == every(text) == bpe.splitter(pattern)(text)
+    for other in (r"[^\r\n\p{L}]?+\p{L}+", r"(?i:'s)|\p{L}+", r"\p{Lu}+", r"\w+", r"[\p{L}--[a-z]]+"):
+        assert bpe.ascii_only(other) is None and bpe.splitter(other)("Ab c's d") == regex.compile(other).findall("Ab c's d")
+    block = bpe.Block(0)
+    block.add(1, "a b a", bpe.splitter(pattern))
+    block.add(2, "b a c", bpe.splitter(pattern))
+    assert list(block.words) == ["a", " b", " a", "b", " c"] and [t.tolist() for t in block.texts] == [[0, 1, 2], [3, 2, 4]]
