@@ -95,25 +95,32 @@ def constants(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, node) of constants and the Assign edges between them. parts: fn, id, parent (null at the top), kind, node.
 
     A global is its symbol's node; data are none. Of an aggregate or expression without nodes among its parts there is
-    none, with one it is that, and of more its own node (an unused one) gets them all. Rounds: the depth of nesting.
+    none, with one it is that, and of more its own node (an unused one) gets them all. Rounds: the depth of nesting. A
+    round moves what was done in the last one and what still waits, which holds what it knows of its parts.
     """
+    spark = parts.sparkSession
     kids = parts.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n_kids"))
-    tree = written(parts.join(kids, "id", "left").select("fn", "id", "parent", "kind", "node", F.coalesce("n_kids", F.lit(0)).alias("n_kids")), "parts")
-    found = [written(tree.where("n_kids = 0").select("id", "parent", F.when(F.col("kind") == "global", F.col("node")).alias("node")), "constants")]
-    assigns = []
-    while True:
-        done = union(found)
-        ready = done.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n_done"), F.count("node").alias("n_nodes"), F.min("node").alias("one"))
-        # done once: a parent is written in the round after its last part
-        next_ = tree.join(ready, "id").where("n_done = n_kids").join(done.select("id"), "id", "left_anti")
-        next_ = written(next_.select("fn", "id", "parent", F.when(F.col("n_nodes") > 1, F.col("node")).otherwise(F.col("one")).alias("node"), (F.col("n_nodes") > 1).alias("own")), "constants")
-        if next_.isEmpty():
-            break
-        of = done.where("node IS NOT NULL").select(F.col("parent").alias("id"), F.col("node").alias("src"))
-        assigns.append(_edge(next_.where("own").select("fn", "id", F.col("node").alias("dst")).join(of, "id"), "Assign", "dst", "src"))
-        found.append(next_.select("id", "parent", "node"))
-    none = _edge(tree.where("false"), "Assign", "node", "node")
-    return union(found).select("id", "node"), union([none, *assigns]).distinct()
+    tree = parts.select("fn", "id", "parent", "node", (F.col("kind") == "global").alias("is_global")).join(kids, "id", "left")
+    tree = tree.select("fn", "id", "parent", F.when(F.col("n_kids").isNotNull() | F.col("is_global"), F.col("node")).alias("node"), "n_kids")
+    tree = written(tree.withColumn("waits", F.col("n_kids").isNotNull()), "parts", "waits")
+    new = tree.where("NOT waits").select("id", "parent", "node")
+    waiting = tree.where("waits").select("fn", "id", "parent", "node", "n_kids", *(F.lit(0).cast("bigint").alias(c) for c in ("n_done", "n_nodes")), F.lit(None).cast("bigint").alias("one"))
+    found, inner = [new], []
+    while not (new.isEmpty() or waiting.isEmpty()):
+        more = new.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("d"), F.count("node").alias("k"), F.min("node").alias("m"))
+        sums = {"n_done": F.expr("n_done + coalesce(d, 0)"), "n_nodes": F.expr("n_nodes + coalesce(k, 0)"), "one": F.expr("least(one, m)")}  # least passes over nulls
+        state = waiting.join(more, "id", "left").withColumns(sums).select(*waiting.columns)
+        state = written(state.withColumn("done", F.expr("n_done = n_kids")), "constants", "done")
+        done = state.where("done")
+        new = done.select("id", "parent", F.when(F.col("n_nodes") > 1, F.col("node")).otherwise(F.col("one")).alias("node"))
+        found.append(new)
+        inner.append(done.where("n_nodes > 1").select("fn", "id", "node"))
+        waiting = state.where("NOT done").select(*waiting.columns)
+    every = union(found)
+    if not inner:
+        return every.select("id", "node"), _edge(spark.createDataFrame([], tree.schema), "Assign", "node", "node")
+    of = every.where("parent IS NOT NULL AND node IS NOT NULL").select(F.col("parent").alias("id"), F.col("node").alias("src"))
+    return every.select("id", "node"), _edge(union(inner).withColumnRenamed("node", "dst").join(of, "id"), "Assign", "dst", "src").distinct()
 
 
 def initialisers(globals_: DataFrame) -> DataFrame:
